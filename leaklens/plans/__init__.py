@@ -1,6 +1,6 @@
 """Named queries (Spark builder + DuckDB oracle text) per SURVEY operator."""
 
-from leaklens.plans import static_reports  # noqa: F401  (registers queries)
+from leaklens.plans import hook_change_reports, static_reports  # noqa: F401  (register queries)
 from leaklens.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]

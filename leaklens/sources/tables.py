@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,20 +27,22 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
-    def _register_base(self) -> None:
+    def _register_base(self, sql: str) -> None:
+        # Register only the base tables this adapter text reads.
+        words = set(re.findall(r"[a-z_]+", sql))
         for name in BASE_TABLES:
-            path = os.path.join(self.sf_dir, f"{name}.parquet")
-            if os.path.exists(path) or "://" in path:
-                self.spark.read.parquet(path).createOrReplaceTempView(name)
+            if name in words:
+                self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet")) \
+                    .createOrReplaceTempView(name)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._register_base()
             if name in DERIVED:
                 for dep in DERIVED_DEPS[name]:
                     self[dep].createOrReplaceTempView(dep)
                 df = self.spark.sql(DERIVED[name])
             else:
+                self._register_base(ADAPTERS[name])
                 df = self.spark.sql(ADAPTERS[name])
             self._cache[name] = df
         return self._cache[name]
