@@ -1,6 +1,11 @@
 """Named queries (Spark builder + DuckDB oracle text) per SURVEY operator."""
 
-from leaklens.plans import attribution, hook_change_reports, static_reports  # noqa: F401  (register queries)
+from leaklens.plans import (  # noqa: F401  (register queries)
+    attribution,
+    hook_change_reports,
+    static_reports,
+    streaming,
+)
 from leaklens.plans.registry import REGISTRY, Query
 
 __all__ = ["REGISTRY", "Query"]
