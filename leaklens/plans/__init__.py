@@ -3,6 +3,7 @@
 from leaklens.plans import (  # noqa: F401  (register queries)
     attribution,
     hook_change_reports,
+    ingest,
     static_reports,
     static_scan,
     streaming,
