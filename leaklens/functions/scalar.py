@@ -104,7 +104,7 @@ def http_outcome(status: Column | str) -> Column:
 
 # ---------------------------------------------------------------------------
 # Fixed values for P12/P13: sample argument values per declared type/format,
-# as the runner picks them.  Values are carried as JSON text.
+# as the runner picks them, rendered as Python renders them into a URL.
 # ---------------------------------------------------------------------------
 PRINTABLE = string.printable
 MAXSIZE = sys.maxsize
@@ -115,39 +115,38 @@ FORMAT_SAMPLES = {
     "uuid": "123e4567-e89b-12d3-a456-426614174000",
     "hex-color": "#ffffff",
 }
-
-
-def _json_str(c: Column) -> Column:
-    return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+VALID_BY_TYPE = {
+    "null": str(None),
+    "boolean": str(True),
+    "integer": str(MAXSIZE),
+    "number": str(1.23456789),
+    "array": str([PRINTABLE, 123, True, None]),
+    "object": str({PRINTABLE: PRINTABLE}),
+}
+INVALID_MAXSIZE_TYPES = ["string", "null", "boolean"]
 
 
 def valid_sample(arg_type: Column | str, fmt: Column | str, now_iso: str) -> Column:
-    """JSON text of a valid value for a declared type (+ string format).
+    """Text of a valid value for a declared type (+ string format).
 
-    ``now_iso`` is passed in so the result is deterministic for one run.
+    ``now_iso`` stands for the runner's clock and is passed in, so one run
+    gives one deterministic answer.
     """
     t, f = _c(arg_type), _c(fmt)
     fmt_val = F.lit("test")
     for k, v in FORMAT_SAMPLES.items():
         fmt_val = F.when(f == k, F.lit(v)).otherwise(fmt_val)
     fmt_val = F.when(f == "date-time", F.lit(now_iso)).otherwise(fmt_val)
-    string_val = F.when(f.isNotNull(), fmt_val).otherwise(F.lit(PRINTABLE))
-    pj = _json_str(F.lit(PRINTABLE))
-    return (F.when(t == "string", _json_str(string_val))
-            .when(t == "null", F.lit("null"))
-            .when(t == "boolean", F.lit("true"))
-            .when(t == "integer", F.lit(str(MAXSIZE)))
-            .when(t == "number", F.lit("1.23456789"))
-            .when(t == "array", F.concat(F.lit("["), pj, F.lit(",123,true,null]")))
-            .when(t == "object", F.concat(F.lit("{"), pj, F.lit(":"), pj, F.lit("}")))
-            .otherwise(pj))
+    out = F.when(t == "string", F.when(f.isNotNull(), fmt_val).otherwise(F.lit(PRINTABLE)))
+    for k, v in VALID_BY_TYPE.items():
+        out = out.when(t == k, F.lit(v))
+    return out.otherwise(F.lit(PRINTABLE))
 
 
 def invalid_sample(arg_type: Column | str) -> Column:
-    """JSON text of a value of the wrong type."""
+    """Text of a value of the wrong type."""
     t = _c(arg_type)
-    return (F.when(t.isin("string", "null", "boolean"), F.lit(str(MAXSIZE)))
-            .otherwise(_json_str(F.lit(PRINTABLE))))
+    return F.when(t.isin(*INVALID_MAXSIZE_TYPES), F.lit(str(MAXSIZE))).otherwise(F.lit(PRINTABLE))
 
 
 # Fixed value: request-argument access in PHP source, quotes must match.

@@ -4,6 +4,7 @@ from leaklens.plans import (  # noqa: F401  (register queries)
     attribution,
     hook_change_reports,
     ingest,
+    matrix,
     static_reports,
     static_scan,
     streaming,
