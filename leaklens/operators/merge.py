@@ -10,9 +10,11 @@ inlined), not a join.  ``faithful=True`` reproduces the reference's
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaklens.session import checkpoint_dir
+
 
 def run_offset(base_runs: DataFrame, faithful: bool = False) -> Column:
     m = base_runs.select(F.max("run_id")).scalar()
@@ -38,12 +40,22 @@ def hash_key(*cols: str) -> Column:
 
 
 def dense_ids(df: DataFrame, order: list[str], col: str = "id") -> DataFrame:
-    """Dense 0..n-1 ids in ``order`` without a global window.
-
-    The sort range-partitions the data; ``zipWithIndex`` only counts rows
-    per partition (one small job) and numbers each partition in parallel.
+    """Dense 0..n-1 ids in ``order`` without a global window or Python.
+
+    The sorted data is checkpointed to the shared checkpoint folder, so its
+    partitions are fixed even if an executor is lost and a task re-runs.
+    Then ``monotonically_increasing_id`` (partition index in the high bits,
+    row index in the low 33) minus a per-partition offset gives the rank.
+    The offsets table has one row per partition - bounded by the partition
+    count, not by the data - and is broadcast.
     """
-    ordered = df.orderBy(*order)
-    schema = ordered.schema.add(col, "long", False)
-    rdd = ordered.rdd.zipWithIndex().map(lambda ri: (*ri[0], ri[1]))
-    return ordered.sparkSession.createDataFrame(rdd, schema)
+    checkpoint_dir(df.sparkSession)
+    ordered = df.orderBy(*order).checkpoint(eager=True)
+    tagged = ordered.withColumn("__pid", F.spark_partition_id()) \
+        .withColumn("__mono", F.monotonically_increasing_id())
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    rank = F.col("__mono") - F.shiftleft(F.col("__pid").cast("long"), 33) + F.col("__off")
+    return (tagged.join(F.broadcast(offsets), "__pid")
+            .withColumn(col, rank).drop("__pid", "__mono", "__off"))

@@ -7,8 +7,8 @@ chunks ``(key, bucket)`` where ``bucket`` is a non-decreasing function of
 the order (e.g. time // 60 s):
 
 1. a window over ``(key, bucket)`` computes the in-chunk running value;
-2. one aggregate row per chunk (partial aggregation, map-side combine)
-   summarises the chunk;
+2. the last row of each chunk carries the chunk's summary (no second
+   aggregation: the window output already holds it);
 3. the chunk summaries are scanned the same way at the next, coarser
    level (recursively), giving each chunk the carry from earlier chunks;
 4. a join on ``(key, bucket)`` adds the carry to every row.
@@ -47,21 +47,20 @@ def scan(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
 
     names = level_names or [f"__b{i}" for i in range(len(levels))]
     b = names[0]
-    data = df.withColumn(b, levels[0])
-    # 1. running value inside the chunk
-    local_agg = (F.last(value, ignorenulls=True) if how == "last" else F.sum(value))
-    loc, car = f"__local{b}", f"__carry{b}"
-    data = data.withColumn(loc, local_agg.over(_frame(keys + [b], order, exclusive)))
-    # 2. one summary row per chunk
-    if how == "last":
-        order_key = F.struct(*order)
-        summ = data.groupBy(*keys, b).agg(
-            F.max_by(F.col(value), F.when(F.col(value).isNotNull(), order_key)).alias("__v"))
-    else:
-        summ = data.groupBy(*keys, b).agg(F.sum(value).alias("__v"))
+    inc, loc, car, last = f"__inc{b}", f"__local{b}", f"__carry{b}", f"__last{b}"
+    # One shuffle by (key, chunk) serves the window, the summaries and the
+    # carry join (the exchange is shared, the facts are read once).
+    data = df.withColumn(b, levels[0]).repartition(*keys, b)
+    agg = (F.last(value, ignorenulls=True) if how == "last" else F.sum(value))
+    in_chunk = Window.partitionBy(*keys, b).orderBy(*order)
+    # 1. running value inside the chunk (inclusive; exclusive when asked)
+    data = data.withColumn(inc, agg.over(_frame(keys + [b], order, False)))
+    data = data.withColumn(loc, agg.over(_frame(keys + [b], order, True)) if exclusive else F.col(inc))
+    data = data.withColumn(last, F.lead(F.lit(1)).over(in_chunk).isNull())
+    # 2. one summary row per chunk: the inclusive value at the chunk's last row
+    summ = data.filter(F.col(last)).select(*keys, b, F.col(inc).alias("__v"))
     # 3. carry from earlier chunks: exclusive scan of the summaries by chunk
-    coarser = [lv for lv in levels[1:]]
-    carry = scan(summ, keys, [b], "__v", car, how, coarser, names[1:], exclusive=True)
+    carry = scan(summ, keys, [b], "__v", car, how, list(levels[1:]), names[1:], exclusive=True)
     carry = carry.select(*keys, b, car)
     # 4. every row gets its chunk's carry
     joined = data.join(carry, keys + [b], "left")
@@ -69,7 +68,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
         res = F.coalesce(F.col(loc), F.col(car))
     else:
         res = F.coalesce(F.col(loc), F.lit(0)) + F.coalesce(F.col(car), F.lit(0))
-    return joined.withColumn(out, res).drop(loc, car, b)
+    return joined.withColumn(out, res).drop(inc, loc, car, last, b)
 
 
 def bucket_levels(base: Column, widths: list[int]) -> tuple[list[Column], list[str]]:

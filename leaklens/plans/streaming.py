@@ -15,6 +15,7 @@ from leaklens.sources.files import write_time_slices
 from leaklens.streaming.attribution_stream import run_attribution, run_routed_changes
 
 SLICES = 4
+FILES_PER_TRIGGER = 2   # several micro-batches, so state crosses batch boundaries
 
 
 @query("st1_stream_attribution", "ST1 ST2 S10", J7_SQL)
@@ -24,7 +25,8 @@ def st1(t):
     base = scratch_path(spark, "st1")
     ev = watch_events(t).select("event_id", "plugin_slug", "ts", "kind", "test")
     write_time_slices(ev, f"{base}/input", "ts", SLICES)
-    return run_attribution(spark, f"{base}/input", f"{base}/sink", f"{base}/checkpoint")
+    return run_attribution(spark, f"{base}/input", f"{base}/sink", f"{base}/checkpoint",
+                           files_per_trigger=FILES_PER_TRIGGER)
 
 
 @query("st3_stream_routed_changes", "ST3 S10 S12 P10", REGISTRY["p10_routed_changes"].oracle)
@@ -35,6 +37,7 @@ def st3(t):
     c = t["change_records"].select("event_id", "plugin_slug", "ts", "interface", "method", "url",
                                    "data", "name_of_changed_file", "type_of_operation")
     write_time_slices(c, f"{base}/input", "ts", SLICES)
-    out = run_routed_changes(spark, f"{base}/input", f"{base}/table", f"{base}/checkpoint")
+    out = run_routed_changes(spark, f"{base}/input", f"{base}/table", f"{base}/checkpoint",
+                             files_per_trigger=FILES_PER_TRIGGER)
     return out.select(*p10(t).columns)
 
