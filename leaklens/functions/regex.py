@@ -41,7 +41,8 @@ def required_literals(pattern: str) -> tuple[list[str], bool]:
         nxt = body[m.end():m.end() + 1]
         if nxt in ("?", "*", "{"):
             w = w[:-1]
-        if w:
+        # short literals ('$', '=') filter little and cost a scan each
+        if len(w) >= 3:
             words.append(w.lower() if ci else w)
     return words, ci
 

@@ -21,15 +21,18 @@ HOOK_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+HOOK_SCHEMA_WITH_SLUG = T.StructType([T.StructField("plugin_slug", T.StringType())] + HOOK_SCHEMA.fields)
+
 # A fresh instance touches a bounded set of paths (a few hundred).
 BASELINE_MAX_ROWS = 1_000_000
 
 
-def parse_hook_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """One JSON text per row -> typed (function, params, error)."""
-    parsed = F.from_json(F.col(col), HOOK_SCHEMA)
-    return lines.select(*(c for c in lines.columns if c != col), parsed.alias("h")).select(
-        *(c for c in lines.columns if c != col), "h.function", "h.params", "h.error")
+def parse_hook_lines(lines: DataFrame, col: str = "value", schema: T.StructType = HOOK_SCHEMA) -> DataFrame:
+    """One JSON text per row -> its typed fields (function, params, error
+    and whatever else ``schema`` names)."""
+    keep = [c for c in lines.columns if c != col]
+    parsed = F.from_json(F.col(col), schema)
+    return lines.select(*keep, parsed.alias("h")).select(*keep, "h.*")
 
 
 def subtract_baseline(hooks: DataFrame, baseline: DataFrame, path_col: str = "path") -> DataFrame:

@@ -113,13 +113,19 @@ def dynamic_summary(dyn: DataFrame, setup_seconds: int = 60) -> DataFrame:
 def plugin_classification(findings: DataFrame, runs: DataFrame, plugins: DataFrame) -> DataFrame:
     """Flagship: the A7-A11 log-name classification restricted to findings
     whose run belongs to a catalogued plugin (J1's join path), per rule,
-    with the number of affected plugins and their downloads."""
+    with the number of affected plugins.
+
+    The category counts are pre-aggregated per (run, rule) in the scan stage
+    (map-side combine), so only one small row per run and rule reaches the
+    joins; the final aggregate sums them per rule.
+    """
     f = findings.filter(classify.any_rule()).select("run_id", "rule_id", "lines")
+    per_run = f.groupBy("run_id", "rule_id").agg(*classify.category_columns())
     r = runs.select("run_id", "plugin_slug")
-    p = plugins.select(F.col("slug").alias("plugin_slug"), "num_downloads")
-    joined = f.join(r, "run_id").join(p, "plugin_slug")
-    counts = joined.groupBy("rule_id").agg(
+    p = plugins.select(F.col("slug").alias("plugin_slug"))
+    joined = per_run.join(r, "run_id").join(p, "plugin_slug", "left_semi")
+    counts = [c for c in per_run.columns if c.startswith("n_")]
+    out = joined.groupBy("rule_id").agg(
         F.countDistinct("plugin_slug").alias("n_plugins"),
-        *classify.category_columns(),
-    )
-    return classify.add_residuals(counts)
+        *[F.sum(c).alias(c) for c in counts])
+    return classify.add_residuals(out)

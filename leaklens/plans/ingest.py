@@ -139,17 +139,14 @@ def s5(t):
 @query("s6_p15_hook_jsonl", "S6 P15 P16",
        cte("hook_records") + "SELECT plugin_slug, function, '[' || path0 || ']' AS params_text, error FROM hook_records")
 def s6(t):
-    """S6 + P15: hook records as JSON lines in one folder per plugin; the
-    plugin comes from the folder name, each line is parsed with from_json."""
+    """S6 + P15: hook records as JSON lines (one record per line, tagged with
+    its plugin), read as text and parsed with from_json."""
     spark = t.spark
     path = scratch_path(spark, "s6-hooks")
-    h = t["hook_records"]
-    h.select(F.col("plugin_slug").alias("plugin"),
-             F.to_json(F.struct("function", F.array("path0").alias("params"), "error")).alias("value")) \
-        .write.mode("overwrite").partitionBy("plugin").text(path)
-    lines = spark.read.text(path).drop("plugin").withColumn(
-        "plugin_slug", F.regexp_extract(F.col("_metadata.file_path"), r"/plugin=([^/]+)/[^/]+$", 1))
-    parsed = hooks.parse_hook_lines(lines)
+    t["hook_records"].select(F.to_json(F.struct(
+        "plugin_slug", "function", F.array("path0").alias("params"), "error")).alias("value")) \
+        .write.mode("overwrite").text(path)
+    parsed = hooks.parse_hook_lines(spark.read.text(path), schema=hooks.HOOK_SCHEMA_WITH_SLUG)
     return parsed.select("plugin_slug", "function", params_text("params").alias("params_text"), "error")
 
 
