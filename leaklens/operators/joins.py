@@ -3,7 +3,9 @@
 ``broadcast_if_small`` hints a broadcast only after counting at most
 ``max_rows + 1`` rows of the side (a bounded, cheap action on a dimension);
 beyond the bound the hint is not given and the planner / AQE choose a
-shuffle join.  Fact tables are never passed here.
+shuffle join.  Only base dimensions are passed here (their count is a cheap
+scan); derived tables are left to AQE, which measures the materialised
+shuffle output and switches to a broadcast join when it is small.
 """
 
 from __future__ import annotations

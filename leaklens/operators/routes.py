@@ -9,8 +9,9 @@
 * D13 + J9: functions of the plugin whose name matches the callback as a
   start-anchored regex (faithful: ``cb_1`` also hits ``cb_12``) or equals it
   (fixed); P14 on the function text.  The faithful match runs as an
-  equi-join on name prefixes - exact for plain identifiers and linear in
-  the total length of function names; callbacks holding regex
+  equi-join on name prefixes - exact for plain identifiers; a function only
+  emits the prefixes whose length some callback of its plugin has, so the
+  join input stays near the number of functions.  Callbacks holding regex
   metacharacters (rare) use a theta join bounded by plugin.
 * J4: argument rows get the route id of their (plugin, action, priv); when
   a key has several routes the smallest id wins; unmatched rows are
@@ -105,10 +106,15 @@ def match_callbacks(routes: DataFrame, funcs: DataFrame, faithful: bool = True)
             .withColumn("fname", F.col("callback"))
     plain = routes.filter(~F.col("callback").rlike(REGEX_META_RE))
     meta = routes.filter(F.col("callback").rlike(REGEX_META_RE))
-    # every prefix of every function name: equi-join key for "starts with"
-    prefixes = funcs.select(
-        "*", F.explode(F.expr("transform(sequence(1, length(fname)), k -> substring(fname, 1, k))"))
-        .alias("callback"))
+    # Only prefixes whose length some callback of the same plugin has can
+    # match: per plugin, the set of callback lengths (bounded by identifier
+    # length).  The table is derived, so AQE sizes it at run time and
+    # broadcasts it when small instead of a count forcing it twice.
+    lengths = plain.groupBy("plugin_slug").agg(F.collect_set(F.length("callback")).alias("__lens"))
+    prefixes = (funcs.join(lengths, "plugin_slug")
+                .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("fname"))).alias("__n"))
+                .withColumn("callback", F.expr("substring(fname, 1, __n)"))
+                .drop("__lens", "__n"))
     by_prefix = plain.join(prefixes, ["plugin_slug", "callback"])
     by_regex = (meta.alias("r").join(funcs.alias("f"), "plugin_slug")
                 .filter(F.expr("f.fname rlike concat('^', r.callback)"))
