@@ -69,7 +69,8 @@ def debug_enabling_plugins(runs: DataFrame, findings: DataFrame, plugins: DataFr
     r = runs.select("run_id", "plugin_slug")
     p = plugins.select(F.col("slug").alias("plugin_slug"), "num_downloads")
     return (f.join(r, "run_id").join(p, "plugin_slug")
-            .select("plugin_slug", "rule_id", "num_downloads"))
+            .select("plugin_slug", "rule_id", "num_downloads")
+            .orderBy(F.desc("num_downloads"), "plugin_slug", "rule_id"))
 
 
 def scanner_errors(runs: DataFrame) -> DataFrame:
