@@ -61,9 +61,14 @@ def scan(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
     summ = data.filter(F.col(last)).select(*keys, b, F.col(inc).alias("__v"))
     # 3. carry from earlier chunks: exclusive scan of the summaries by chunk
     carry = scan(summ, keys, [b], "__v", car, how, list(levels[1:]), names[1:], exclusive=True)
-    carry = carry.select(*keys, b, car)
-    # 4. every row gets its chunk's carry
-    joined = data.join(carry, keys + [b], "left")
+    ck = [f"__ck{i}" for i in range(len(keys) + 1)]
+    carry = carry.select(*[F.col(c).alias(a) for c, a in zip(keys + [b], ck)], car)
+    # 4. every row gets its chunk's carry.  The null-safe condition keeps
+    # NULL keys exact and stops the optimiser from inferring IS NOT NULL
+    # filters into the summary branch, which would make its shuffle differ
+    # from the main branch's and defeat exchange reuse (a second scan).
+    cond = [data[c].eqNullSafe(carry[a]) for c, a in zip(keys + [b], ck)]
+    joined = data.join(carry, cond, "left").drop(*ck)
     if how == "last":
         res = F.coalesce(F.col(loc), F.col(car))
     else:
