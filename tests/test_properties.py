@@ -80,3 +80,14 @@ def test_distinct_not_above_count_and_antijoin_disjoint(spark, tables):
     base = {x[0] for x in tables["baseline_paths"].collect()}
     kept = {x[0] for x in h.select(F.element_at("params", 1)).collect()}
     assert not (base & kept)
+
+
+def test_chunked_scan_keeps_null_keys(spark):
+    rows = [(None if i % 5 == 0 else f"k{i % 3}", i * 3 % 97, i, f"v{i}" if i % 4 == 0 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o long, i long, v string")
+    levels, names = bucket_levels(F.col("o"), [4, 16])
+    got = scan(df, ["k"], ["o", "i"], "v", "out", "last", levels, names)
+    w = Window.partitionBy("k").orderBy("o", "i").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("ref", F.last("v", ignorenulls=True).over(w))
+    assert got.count() == 400
+    assert sorted((r["i"], r["out"]) for r in got.collect()) == sorted((r["i"], r["ref"]) for r in ref.collect())
