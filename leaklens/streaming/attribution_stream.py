@@ -16,8 +16,11 @@ is the oracle for ST1 on the same input.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,6 +77,12 @@ def _attribute_group(key, pdfs, state):
         yield out
 
 
+# The state function runs in executors' Python workers.  Ship this module's
+# code by value with it, so executors need no installed copy of the package
+# (only pandas and numpy, which PySpark's Arrow path needs anyway).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def attribution_stream(events: DataFrame) -> DataFrame:
     """ST1/ST2: streaming DataFrame of attributed changes with zip counter."""
     return events.groupBy("plugin_slug").applyInPandasWithState(
