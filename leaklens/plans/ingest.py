@@ -301,3 +301,25 @@ def s12(t):
     sinks.write_routed(changes.route_changes(t["change_records"]), path)
     cols = REGISTRY["p10_routed_changes"].build(t).columns
     return sinks.read_table(spark, path).filter(F.col("interface") == "REST").select(*cols)
+
+
+@query("s4_j4_route_documents", "S4 J4 U6 W3",
+       cte("ajax_routes", "ajax_route_arguments") + """SELECT DISTINCT r.plugin_slug, r.action, r.priv, a.method, a.arg_name
+FROM ajax_routes r JOIN ajax_route_arguments a ON a.route_id = r.route_id""")
+def s4_routes(t):
+    """S4 + W3 + J4 + U6: route documents (closures with their arguments,
+    callbacks without) read back; routes get hash ids, arguments are looked
+    up by (plugin, action, priv) and deduplicated."""
+    spark = t.spark
+    base = scratch_path(spark, "s4-routes")
+    r, a = t["ajax_routes"], t["ajax_route_arguments"]
+    args = a.groupBy("route_id").agg(F.collect_list(F.array("method", "arg_name")).alias("args"))
+    with_args = r.join(args, "route_id")
+    with_args.select("plugin_slug", "priv", "action", "args").write.mode("overwrite").json(f"{base}/closures")
+    r.join(args, "route_id", "left_anti").select("plugin_slug", "action", "priv") \
+        .write.mode("overwrite").json(f"{base}/functions")
+    empty = spark.createDataFrame([], "plugin_slug string, action string, priv boolean, method string, arg string")
+    routes, ok, _bad = ingest.load_routes(
+        ingest.read_closure_routes(spark, f"{base}/closures", multi_line=False),
+        ingest.read_function_routes(spark, f"{base}/functions", multi_line=False), empty)
+    return ok.join(routes, "route_id").select("plugin_slug", "action", "priv", "method", "arg_name")
