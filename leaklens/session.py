@@ -59,3 +59,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+# Settings for a large cluster (100 TB of input, ~1000 executors).  The
+# session there is built by the platform; ``apply_cluster_conf`` sets only
+# the SQL options the session does not set itself.
+CLUSTER_CONF = {
+    # AQE: start with many shuffle partitions and let AQE coalesce them to
+    # ~256 MB each, so no reduce task spills and no task is tiny.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.shuffle.partitions": "40000",
+    # skewed join keys (a plugin with a third of all rows) are split at run time
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    # scan splits: large enough for few tasks per file, small enough to fit memory
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    # broadcast only sides AQE has measured under 64 MB
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    # parquet: vectorised reads, nested-column pruning, pushdown
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """Set ``CLUSTER_CONF`` options the session leaves unset; return what was set."""
+    wanted = dict(CLUSTER_CONF, **(overrides or {}))
+    applied = {}
+    for k, v in wanted.items():
+        current = spark.conf.get(k, None)
+        if current is None or k in (overrides or {}):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
