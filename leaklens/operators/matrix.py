@@ -64,9 +64,12 @@ def ajax_cases(routes: DataFrame, args: DataFrame) -> DataFrame:
     return per_arg.unionByName(all_args).unionByName(plain)
 
 
-def rest_cases(specs: DataFrame, now_iso: str) -> DataFrame:
+def rest_cases(specs: DataFrame, now_iso: str, routes: DataFrame | None = None) -> DataFrame:
     """M2: REST cases from flat argument specs (route_id, method, arg, type,
-    format[, enum array]) -> (route_id, method, case_kind, arg, value)."""
+    format[, enum array]) -> (route_id, method, case_kind, arg, value).
+
+    ``routes`` (route_id, methods array), when given, adds one plain call
+    with the first declared method for every route without arguments."""
     s = specs.withColumn("valid", valid_sample("type", "format", now_iso)) \
         .withColumn("invalid", invalid_sample("type"))
     has_enum = "enum" in specs.columns
@@ -89,7 +92,13 @@ def rest_cases(specs: DataFrame, now_iso: str) -> DataFrame:
             F.struct(F.when(F.col("method") == "GET", F.lit("plain")).otherwise(F.lit("empty")).alias("k"),
                      F.lit(None).cast("string").alias("v")))).alias("c")).select(
         "route_id", "method", F.col("c.k").alias("case_kind"), F.lit("*").alias("arg"), F.col("c.v").alias("value"))
-    return per_arg.unionByName(combined)
+    out = per_arg.unionByName(combined)
+    if routes is not None:
+        no_args = routes.join(specs.select("route_id").distinct(), "route_id", "left_anti")
+        out = out.unionByName(no_args.select(
+            "route_id", F.element_at("methods", 1).alias("method"), F.lit("plain").alias("case_kind"),
+            F.lit(None).cast("string").alias("arg"), F.lit(None).cast("string").alias("value")))
+    return out
 
 
 def coverage(cases: DataFrame, attempts: DataFrame, interface: str = "AJAX") -> DataFrame:

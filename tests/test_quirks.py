@@ -157,3 +157,20 @@ def test_two_markers_same_instant(spark):
     got = sorted((r["event_id"], r["test"], r["zip_counter"]) for r in attribution.attribute_changes(ev).collect())
     # same instant: event id orders the markers, so B (id 2) is current
     assert got == [(3, "B", 1), (4, "B", 2)]
+
+
+def test_rest_matrix_shapes(spark):
+    from leaklens.operators import matrix
+
+    specs = spark.createDataFrame([(1, "GET", "q", "integer", None), (1, "GET", "p", "string", "email"),
+                                   (2, "POST", "b", "boolean", None)],
+                                  "route_id long, method string, arg string, type string, format string")
+    routes = spark.createDataFrame([(1, ["GET"]), (2, ["POST"]), (3, ["DELETE", "GET"])], "route_id long, methods array<string>")
+    rows = matrix.rest_cases(specs, "2024-01-01T00:00:00", routes).collect()
+    kinds = sorted((r["route_id"], r["method"], r["case_kind"]) for r in rows)
+    # GET: valid+invalid per arg, all-valid, all-invalid, plain; POST: ..., empty body; no args: first method
+    assert kinds.count((1, "GET", "valid")) == 2 and (1, "GET", "plain") in kinds
+    assert (2, "POST", "empty") in kinds and (3, "DELETE", "plain") in kinds and len(kinds) == 7 + 5 + 1
+    vals = {(r["route_id"], r["arg"], r["case_kind"]): r["value"] for r in rows}
+    assert vals[(1, "p", "valid")] == "test@test.com" and vals[(1, "q", "invalid")].startswith("0123456789abc")
+    assert vals[(1, "*", "all_valid")] == "p=test@test.com&q=9223372036854775807"
