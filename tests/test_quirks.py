@@ -174,3 +174,33 @@ def test_rest_matrix_shapes(spark):
     vals = {(r["route_id"], r["arg"], r["case_kind"]): r["value"] for r in rows}
     assert vals[(1, "p", "valid")] == "test@test.com" and vals[(1, "q", "invalid")].startswith("0123456789abc")
     assert vals[(1, "*", "all_valid")] == "p=test@test.com&q=9223372036854775807"
+
+
+def test_log_file_name_styles(spark):
+    # name styles of the manually reviewed log files: expected (log?, debug?, error?)
+    cases = {
+        "/var/www/html/wp-content/debug.log": (True, True, False),
+        "/x/fatal-errors-7b1f691e744c2fee6b22a11b30d4574e.log": (True, False, True),
+        "/x/wppa-log.txt": (True, False, False),
+        "/x/log.json": (True, False, False),          # .json is not cut by the .js suffix test
+        "/x/cc-blog-paths": (True, False, False),     # 'blog' contains 'log'
+        "/x/CHANGELOG.md": (False, False, False),
+        "/x/logs/error.log": (True, False, True),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "n string")
+    got = {r["n"]: (r["lf"], r["dbg"], r["err"]) for r in df.select(
+        "n", log_file("n", "WP_CLI").alias("lf"), name_contains_ci("n", "debug").alias("dbg"),
+        name_contains_ci("n", "error").alias("err")).collect()}
+    assert got == cases
+
+
+def test_context_lines_merge_overlaps(spark):
+    from leaklens.functions.predicates import finished_line
+
+    rows = [("a.log", i, "Dynamic Analysis Finished" if i in (10, 14) else f"l{i}") for i in range(1, 31)]
+    rows += [("b.log", i * 7, "x") for i in range(1, 5)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+    out = attribution.context_lines(lines, finished_line("line"))
+    got = sorted((r["file"], r["line_no"]) for r in out.collect())
+    # 5 before the first marker to 5 after the second, each line once; b.log has no marker
+    assert got == [("a.log", i) for i in range(5, 20)]
