@@ -23,15 +23,15 @@ def default_zero(col: Column | str) -> Column:
     return F.coalesce(_c(col), F.lit(0))
 
 
-def error_count(errors: Column | str) -> Column:
-    """Number of scanner errors."""
-    return F.size(F.coalesce(_c(errors), F.array()))
+def error_count(errors_json: Column | str) -> Column:
+    """Number of scanner errors in the raw JSON text of the errors array."""
+    return F.coalesce(F.json_array_length(_c(errors_json)), F.lit(0))
 
 
-def error_text(errors: Column | str) -> Column:
-    """Errors as JSON text, the text ``'null'`` (not SQL NULL) when none."""
-    c = _c(errors)
-    return F.when(c.isNull() | (F.size(c) == 0), F.lit("null")).otherwise(F.to_json(c))
+def error_text(errors_json: Column | str) -> Column:
+    """The errors as JSON text; the text ``'null'`` (not SQL NULL) when
+    there are none, as the loader stores them."""
+    return F.when(error_count(errors_json) == 0, F.lit("null")).otherwise(_c(errors_json))
 
 
 def strip_plugins_dir(path: Column | str) -> Column:

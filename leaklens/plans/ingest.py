@@ -113,14 +113,15 @@ def s4(t):
 
 @query("s4_p3_run_errors", "S4 P3",
        cte("semgrep_runs") + """SELECT run_id, plugin_slug,
- CASE WHEN errors = 'null' THEN 0 ELSE CAST(json_array_length(errors) AS INTEGER) END AS error_count FROM semgrep_runs""")
+ CASE WHEN errors = 'null' THEN 0 ELSE CAST(json_array_length(errors) AS INTEGER) END AS error_count, errors FROM semgrep_runs""")
 def s4_errors(t):
-    """S4 + P3: per run, the number of scanner errors from its document."""
+    """S4 + P3: per run, the number of scanner errors and their JSON text
+    ('null' when there are none) from its document."""
     spark = t.spark
     path = scratch_path(spark, "s4-errs")
     _semgrep_docs(t, path)
     runs, _f = ingest.read_semgrep(spark, path, multi_line=False)
-    return runs.select("run_id", "plugin_slug", "error_count")
+    return runs.select("run_id", "plugin_slug", "error_count", "errors")
 
 
 @query("s5_change_jsonl", "S5",
