@@ -79,13 +79,19 @@ def log_path_frequency(hooks: DataFrame) -> DataFrame:
             .orderBy(F.desc("num_of_times"), "filepath"))
 
 
-def hook_overview(hooks: DataFrame) -> DataFrame:
-    """Distinct functions, distinct paths, total hooks."""
-    return hooks.agg(
-        F.countDistinct("function").alias("n_functions"),
-        F.countDistinct("params_text").alias("n_paths"),
-        F.count(F.lit(1)).alias("n_hooks"),
-    )
+def hook_overview(hooks: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """Distinct functions, distinct paths, total hooks.
+
+    Exact distinct counts expand the input once per distinct column; for
+    very large inputs ``approx_rsd`` (e.g. 0.01) switches to HyperLogLog++
+    sketches merged map-side, one pass, bounded memory.
+    """
+    if approx_rsd is None:
+        nf, npaths = F.countDistinct("function"), F.countDistinct("params_text")
+    else:
+        nf = F.approx_count_distinct("function", approx_rsd)
+        npaths = F.approx_count_distinct("params_text", approx_rsd)
+    return hooks.agg(nf.alias("n_functions"), npaths.alias("n_paths"), F.count(F.lit(1)).alias("n_hooks"))
 
 
 def calls_per_function(hooks: DataFrame) -> DataFrame:

@@ -91,3 +91,14 @@ def test_chunked_scan_keeps_null_keys(spark):
     ref = df.withColumn("ref", F.last("v", ignorenulls=True).over(w))
     assert got.count() == 400
     assert sorted((r["i"], r["out"]) for r in got.collect()) == sorted((r["i"], r["ref"]) for r in ref.collect())
+
+
+def test_hook_overview_approx_close_to_exact(spark, tables):
+    from leaklens.plans.hook_change_reports import hook_table
+
+    h = hook_table(tables)
+    exact = hooks.hook_overview(h).collect()[0]
+    approx = hooks.hook_overview(h, approx_rsd=0.01).collect()[0]
+    assert approx["n_hooks"] == exact["n_hooks"]
+    assert abs(approx["n_paths"] - exact["n_paths"]) <= max(2, 0.05 * exact["n_paths"])
+    assert approx["n_functions"] == exact["n_functions"]

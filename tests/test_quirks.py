@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from leaklens.functions import classify
 from leaklens.functions.predicates import log_file, log_path, name_contains_ci
