@@ -134,9 +134,9 @@ def a10(t):
 
 @query("a12_dynamic_summary", "A12 P9",
        cte("dynamic_analysis") + """
-SELECT sum(num_rest_endpoints_called) AS total_rest_called, sum(num_rest_endpoints_http_ok) AS total_rest_ok,
+SELECT CAST(sum(num_rest_endpoints_called) AS BIGINT) AS total_rest_called, CAST(sum(num_rest_endpoints_http_ok) AS BIGINT) AS total_rest_ok,
  CAST(sum(num_rest_endpoints_http_ok) AS DOUBLE) / NULLIF(CAST(sum(num_rest_endpoints_called) AS DOUBLE), 0) AS rest_success_ratio,
- sum(num_ajax_endpoints_called) AS total_ajax_called, sum(num_ajax_endpoints_http_ok) AS total_ajax_ok,
+ CAST(sum(num_ajax_endpoints_called) AS BIGINT) AS total_ajax_called, CAST(sum(num_ajax_endpoints_http_ok) AS BIGINT) AS total_ajax_ok,
  CAST(sum(num_ajax_endpoints_http_ok) AS DOUBLE) / NULLIF(CAST(sum(num_ajax_endpoints_called) AS DOUBLE), 0) AS ajax_success_ratio,
  sum(time_spend) + count(*) * 60 AS total_time_spent
 FROM dynamic_analysis""")

@@ -107,7 +107,7 @@ def d11(t):
 , lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
 , c AS (SELECT plugin_slug, hook, closure, replace(trim(hook, '''"'), 'wp_ajax_', '') AS a0 FROM lastreg WHERE starts_with(closure, 'function'))
 SELECT plugin_slug, hook, CASE WHEN starts_with(a0, 'nopriv_') THEN replace(a0, 'nopriv_', '') ELSE a0 END AS action,
- NOT starts_with(a0, 'nopriv_') AS priv, n_args FROM (SELECT *, len(regexp_extract_all(closure, {_P14}, 1)) AS n_args FROM c)""")
+ NOT starts_with(a0, 'nopriv_') AS priv, n_args FROM (SELECT *, CAST(len(regexp_extract_all(closure, {_P14}, 1)) AS INTEGER) AS n_args FROM c)""")
 def d12(t):
     """Closure AJAX routes and how many request arguments they read."""
     return routes.closure_routes(php_files(t)).select(
