@@ -133,3 +133,44 @@ def plugin_classification(findings: DataFrame, runs: DataFrame, plugins: DataFra
         F.countDistinct("plugin_slug").alias("n_plugins"),
         *[F.sum(c).alias(c) for c in counts])
     return classify.add_residuals(out)
+
+
+def all_reports(w: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Every report of the study over one warehouse, as lazy DataFrames.
+
+    ``w`` maps warehouse table names to DataFrames: plugins, rules,
+    semgrep_runs, findings_semgrep, ajax_routes, ajax_route_arguments,
+    dynamic_analysis, findings_function_hooks (params as array), and the
+    routed change tables findings_rest / findings_ajax / findings_wp_cli.
+    Nothing runs until a report is written or collected.
+    """
+    from leaklens.operators import changes, hooks
+
+    h = hooks.with_params_text(w["findings_function_hooks"])
+    rest, ajax, cli = w["findings_rest"], w["findings_ajax"], w["findings_wp_cli"]
+    return {
+        "route_counts": route_counts(w["ajax_routes"]),
+        "argument_count": row_count(w["ajax_route_arguments"], "n_arguments"),
+        "plugin_count": row_count(w["plugins"], "n_plugins"),
+        "downloads_range": value_range(w["plugins"], "num_downloads", "downloads"),
+        "installs_range": value_range(w["plugins"], "active_installations", "installs"),
+        "findings_per_rule": findings_per_rule(w["rules"], w["findings_semgrep"]),
+        "debug_enabling_plugins": debug_enabling_plugins(w["semgrep_runs"], w["findings_semgrep"], w["plugins"]),
+        "scanner_errors": scanner_errors(w["semgrep_runs"]),
+        "errors_not_type_3": errors_not_type_3(w["semgrep_runs"]),
+        "log_name_classes": log_name_classes(w["findings_semgrep"]),
+        "dynamic_summary": dynamic_summary(w["dynamic_analysis"]),
+        "log_path_counts": hooks.log_path_counts(h),
+        "log_path_counts_per_plugin": hooks.log_path_counts_per_plugin(h),
+        "log_path_frequency": hooks.log_path_frequency(h),
+        "hook_overview": hooks.hook_overview(h),
+        "calls_per_function": hooks.calls_per_function(h),
+        "log_paths_naming": hooks.log_paths_naming(h),
+        "cli_log_files": changes.cli_log_files(cli),
+        "cli_log_files_per_plugin": changes.log_files_per_plugin(cli, "WP_CLI"),
+        "cli_log_file_frequency": changes.log_file_frequency(cli, "WP_CLI"),
+        "rest_findings_counts": changes.findings_counts(rest, "REST"),
+        "rest_log_file_frequency": changes.log_file_frequency(rest, "REST"),
+        "rest_debug_error_files": changes.debug_error_files(rest, "REST"),
+        "ajax_log_files": changes.ajax_log_files(ajax),
+    }

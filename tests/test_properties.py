@@ -102,3 +102,16 @@ def test_hook_overview_approx_close_to_exact(spark, tables):
     assert approx["n_hooks"] == exact["n_hooks"]
     assert abs(approx["n_paths"] - exact["n_paths"]) <= max(2, 0.05 * exact["n_paths"])
     assert approx["n_functions"] == exact["n_functions"]
+
+
+def test_all_reports_build_and_run(spark, tables):
+    from leaklens.plans.hook_change_reports import hook_table
+
+    w = {n: tables[n] for n in ("plugins", "rules", "semgrep_runs", "findings_semgrep", "ajax_routes",
+                                "ajax_route_arguments", "dynamic_analysis", "findings_rest", "findings_ajax",
+                                "findings_wp_cli")}
+    w["findings_function_hooks"] = hook_table(tables).drop("params_text")
+    out = reports.all_reports(w)
+    assert len(out) == 24
+    for name, df in out.items():
+        df.write.format("noop").mode("overwrite").save()
