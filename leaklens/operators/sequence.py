@@ -48,8 +48,10 @@ def scan(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
     names = level_names or [f"__b{i}" for i in range(len(levels))]
     b = names[0]
     inc, loc, car, last = f"__inc{b}", f"__local{b}", f"__carry{b}", f"__last{b}"
-    # One shuffle by (key, chunk) serves the window, the summaries and the
-    # carry join (the exchange is shared, the facts are read once).
+    # One shuffle by (key, chunk) serves the window and the carry join.  The
+    # summary branch needs only the key, order and value columns, so column
+    # pruning gives it its own narrow read: a two-pass prefix scan (AQE
+    # reuses the shuffle where both branches read the same columns).
     data = df.withColumn(b, levels[0]).repartition(*keys, b)
     agg = (F.last(value, ignorenulls=True) if how == "last" else F.sum(value))
     in_chunk = Window.partitionBy(*keys, b).orderBy(*order)
