@@ -12,7 +12,7 @@ from leaklens.plans.hook_change_reports import p10
 from leaklens.plans.registry import REGISTRY, query
 from leaklens.session import scratch_path
 from leaklens.sources.files import write_time_slices
-from leaklens.streaming.attribution_stream import run_attribution, run_routed_changes
+from leaklens.streaming.attribution_stream import run_attribution, run_attribution_chunked, run_routed_changes
 
 SLICES = 4
 FILES_PER_TRIGGER = 2   # several micro-batches, so state crosses batch boundaries
@@ -41,3 +41,15 @@ def st3(t):
                              files_per_trigger=FILES_PER_TRIGGER)
     return out.select(*p10(t).columns)
 
+
+
+@query("st1_stream_attribution_chunked", "ST1 ST2 S10", J7_SQL)
+def st1_chunked(t):
+    """ST1/ST2 without per-plugin groups: each micro-batch runs the chunked
+    batch attribution seeded with the per-plugin state of the previous one."""
+    spark = t.spark
+    base = scratch_path(spark, "st1c")
+    ev = watch_events(t).select("event_id", "plugin_slug", "ts", "kind", "test")
+    write_time_slices(ev, f"{base}/input", "ts", SLICES)
+    return run_attribution_chunked(spark, f"{base}/input", f"{base}/out", f"{base}/checkpoint",
+                                   files_per_trigger=FILES_PER_TRIGGER)

@@ -120,3 +120,72 @@ def run_routed_changes(spark: SparkSession, source_dir: str, table_dir: str, che
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.option("basePath", table_dir).parquet(table_dir).drop("batch_id")
+
+
+# ---------------------------------------------------------------------------
+# ST1, chunked variant: no per-plugin group in one task.
+#
+# ``applyInPandasWithState`` hands all of a plugin's rows of a micro-batch
+# to one Python call.  This variant runs the batch attribution (chunked
+# scan, ``operators.attribution``) on every micro-batch instead, seeded
+# with the state each plugin ended the previous batch with: its last marker
+# (as a marker row before every event) and its counter.  State is a small
+# table (one row per plugin that has seen a marker) versioned by batch id
+# in the checkpoint folder; a re-run batch rewrites its own output and
+# state version, so retries never double-count.
+# ---------------------------------------------------------------------------
+
+STATE_TABLE_SCHEMA = "plugin_slug string, kind string, test string, counter long"
+_SEED_TS = "0001-01-01 00:00:00"
+
+
+def _attribute_batch(batch: DataFrame, prev_state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch: (attributed changes, new per-plugin state)."""
+    from leaklens.operators.attribution import attribute_changes
+
+    ev = batch.select("event_id", "plugin_slug", "ts", "kind", "test")
+    seeds = prev_state.filter(F.col("kind").isNotNull()).select(
+        F.lit(-1).cast("long").alias("event_id"), "plugin_slug",
+        F.lit(_SEED_TS).cast("timestamp_ntz").alias("ts"), "kind", "test")
+    att = attribute_changes(ev.unionByName(seeds))
+    offsets = prev_state.select("plugin_slug", F.col("counter").alias("__prev"))
+    out = (att.join(offsets, "plugin_slug", "left")
+           .withColumn("zip_counter", F.col("zip_counter") + F.coalesce("__prev", F.lit(0)))
+           .select("event_id", "plugin_slug", "ts", "test", "zip_counter"))
+    # new state: last marker over seeds + batch, counter + attributed in batch
+    markers = ev.unionByName(seeds).filter(F.col("kind") != "change")
+    last = markers.groupBy("plugin_slug").agg(
+        F.max_by(F.struct("kind", "test"), F.struct("ts", "event_id")).alias("m"))
+    n_new = att.groupBy("plugin_slug").agg(F.count(F.lit(1)).alias("__n"))
+    state = (last.join(offsets, "plugin_slug", "full").join(n_new, "plugin_slug", "full")
+             .select("plugin_slug", F.col("m.kind").alias("kind"), F.col("m.test").alias("test"),
+                     (F.coalesce("__prev", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("counter")))
+    return out, state
+
+
+def run_attribution_chunked(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str,
+                            files_per_trigger: int = 1) -> DataFrame:
+    """S10 -> ST1 (chunked) -> per-batch output folders; returns all output."""
+    state_dir = f"{checkpoint}/plugin-state"
+    src = (spark.readStream.schema(WATCH_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+           .option("timestampNTZFormat", TS_FORMAT).json(source_dir))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        prev = (s.read.schema(STATE_TABLE_SCHEMA).parquet(f"{state_dir}/batch_id={batch_id - 1}")
+                if batch_id > 0 else s.createDataFrame([], STATE_TABLE_SCHEMA))
+        # two writes read the batch: keep it for the batch's duration (it is
+        # re-read from the source files if an executor holding it is lost)
+        batch = batch.persist()
+        try:
+            out, state = _attribute_batch(batch, prev)
+            out.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+            state.write.mode("overwrite").parquet(f"{state_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    q = (src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(ATTRIBUTED_SCHEMA).option("basePath", out_dir).parquet(f"{out_dir}/batch_id=*") \
+        .select(*[f.name for f in ATTRIBUTED_SCHEMA])

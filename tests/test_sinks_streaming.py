@@ -76,3 +76,26 @@ def test_attribution_stream_state_crosses_batches(spark, tmp_path):
     got = sorted((r["event_id"], r["test"], r["zip_counter"]) for r in out.collect())
     # batch 2 needs the marker of batch 1; after the clear, nothing until T2
     assert got == [(2, "T1", 1), (3, "T1", 2), (7, "T2", 3)]
+
+
+def test_chunked_stream_state_and_restart(spark, tmp_path):
+    from leaklens.streaming.attribution_stream import run_attribution_chunked
+
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    (tmp_path / "in").mkdir()
+    batches = [
+        [(1, "p", 0, "set", "T1"), (2, "p", 1, "change", None), (8, "q", 1, "change", None)],
+        [(3, "p", 2, "change", None), (4, "p", 3, "clear", None), (9, "q", 2, "set", "Q")],
+        [(5, "p", 4, "change", None), (6, "p", 5, "set", "T2"), (7, "p", 6, "change", None),
+         (10, "q", 7, "change", None)],
+    ]
+    for i, rows in enumerate(batches):
+        with open(tmp_path / "in" / f"{i:03d}.json", "w") as fh:
+            for eid, slug, sec, kind, test in rows:
+                fh.write(json.dumps({"event_id": eid, "plugin_slug": slug,
+                                     "ts": f"2024-01-01T00:00:{sec:02d}.000000", "kind": kind, "test": test}) + "\n")
+        res = run_attribution_chunked(spark, src, out, ck)
+    got = sorted((r["event_id"], r["test"], r["zip_counter"]) for r in res.collect())
+    assert got == [(2, "T1", 1), (3, "T1", 2), (7, "T2", 3), (10, "Q", 1)]
+    again = run_attribution_chunked(spark, src, out, ck)     # restart, no new input
+    assert sorted((r["event_id"], r["zip_counter"]) for r in again.collect()) == [(2, 1), (3, 2), (7, 3), (10, 1)]
