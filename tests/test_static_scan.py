@@ -47,3 +47,27 @@ def test_ten_rules_on_php(spark):
     r = rows[("file-put-contents_log-file-var-assignment", 3)]
     assert r["file_path"] == "acme/inc/a.php" and r["plugin_slug"] == "acme"
     assert r["lines"] == "$log = WP_CONTENT_DIR . '/debug.log';\nfile_put_contents($log, $msg);"
+
+
+ROUTES_PHP = "\n".join([
+    "<?php",
+    "add_action('wp_ajax_nopriv_save_item', function() { $id = $_POST['id']; $n = $_REQUEST[\"name\"]; });",
+    "add_action(\"wp_ajax_export\", array($this, 'export'));",
+    "add_action('wp_ajax_load', 'cb_load');",
+    "add_action('wp_ajax_load', 'cb_load2');",
+    "function cb_load2() { $q = $_GET['q']; $f = $_FILES[ 'up' ]; $bad = $_POST['x\"]; }",
+])
+
+
+def test_routes_closures_and_callbacks(spark):
+    from leaklens.operators import routes
+
+    files = spark.createDataFrame([("plugins/acme/inc/r.php", ROUTES_PHP)], "path string, content string")
+    cl = [(r["action"], r["priv"], [(a["method"], a["arg"]) for a in r["args"]])
+          for r in routes.closure_routes(files).collect()]
+    # the array callback is not a closure (F11); quotes must match in P14
+    assert cl == [("save_item", False, [("POST", "id"), ("REQUEST", "name")])]
+    cb = sorted((r["hook"], r["callback"], r["action"], r["priv"]) for r in routes.callback_routes(files).collect())
+    assert cb == [("'wp_ajax_load'", "cb_load2", "load", True)]          # last registration wins (W4)
+    args = sorted((r["fname"], r["method"], r["arg"]) for r in routes.callback_arguments(files, faithful=False).collect())
+    assert args == [("cb_load2", "FILES", "up"), ("cb_load2", "GET", "q")]
