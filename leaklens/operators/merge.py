@@ -6,6 +6,10 @@ that reference them - by ``max(base run_id) + 1`` and appends all tables.
 The offset is a scalar subquery (one tiny aggregate, evaluated once and
 inlined), not a join.  ``faithful=True`` reproduces the reference's
 ``max`` offset (which collides: ids start at 0) for comparison.
+
+Routes and their arguments need no shift here: their ids are W3 hash keys
+of (plugin, action, priv), equal in every shard for the same route, so the
+merged route tables are a union with duplicates dropped.
 """
 
 from __future__ import annotations
@@ -59,3 +63,10 @@ def dense_ids(df: DataFrame, order: list[str], col: str = "id") -> DataFrame:
     rank = F.col("__mono") - F.shiftleft(F.col("__pid").cast("long"), 33) + F.col("__off")
     return (tagged.join(F.broadcast(offsets), "__pid")
             .withColumn(col, rank).drop("__pid", "__mono", "__off"))
+
+
+def merge_routes(base_routes: DataFrame, shard_routes: DataFrame,
+                 base_args: DataFrame, shard_args: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """U4 for the route tables: hash-keyed ids, so union and drop duplicates."""
+    return (base_routes.unionByName(shard_routes).dropDuplicates(["route_id"]),
+            base_args.unionByName(shard_args).dropDuplicates(["route_id", "method", "arg_name"]))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 
 from leaklens.functions import classify
 from leaklens.functions.predicates import log_file, log_path, name_contains_ci
@@ -203,3 +205,15 @@ def test_context_lines_merge_overlaps(spark):
     got = sorted((r["file"], r["line_no"]) for r in out.collect())
     # 5 before the first marker to 5 after the second, each line once; b.log has no marker
     assert got == [("a.log", i) for i in range(5, 20)]
+
+
+def test_merge_routes_hash_keys(spark):
+    from leaklens.operators import routes as r
+
+    a = r.route_ids(spark.createDataFrame([("p", "save", True)], "plugin_slug string, action string, priv boolean"))
+    b = r.route_ids(spark.createDataFrame([("p", "save", True), ("q", "go", False)],
+                                          "plugin_slug string, action string, priv boolean"))
+    args_a = a.select("route_id", F.lit("POST").alias("method"), F.lit("x").alias("arg_name"))
+    args_b = b.select("route_id", F.lit("POST").alias("method"), F.lit("x").alias("arg_name"))
+    routes_m, args_m = merge.merge_routes(a, b, args_a, args_b)
+    assert routes_m.count() == 2 and args_m.count() == 2
