@@ -99,3 +99,20 @@ def test_chunked_stream_state_and_restart(spark, tmp_path):
     assert got == [(2, "T1", 1), (3, "T1", 2), (7, "T2", 3), (10, "Q", 1)]
     again = run_attribution_chunked(spark, src, out, ck)     # restart, no new input
     assert sorted((r["event_id"], r["zip_counter"]) for r in again.collect()) == [(2, 1), (3, 2), (7, 3), (10, 1)]
+
+
+def test_report_cli_over_a_warehouse(spark, tables, tmp_path):
+    from leaklens.operators import changes as ch
+    from leaklens.plans.hook_change_reports import hook_table
+    from leaklens.report import write_reports
+
+    root, out = str(tmp_path / "wh"), str(tmp_path / "reports")
+    w = {n: tables[n] for n in ("plugins", "rules", "semgrep_runs", "findings_semgrep", "ajax_routes",
+                                "ajax_route_arguments", "dynamic_analysis")}
+    w["findings_function_hooks"] = hook_table(tables).drop("params_text")
+    w["findings_changes"] = ch.route_changes(tables["change_records"])
+    sinks.write_warehouse(w, root, {"findings_changes": ["interface"]})
+    names = write_reports(spark, root, out)
+    assert len(names) == 24
+    fpr = spark.read.option("header", True).csv(f"{out}/findings_per_rule")
+    assert fpr.count() == 10
