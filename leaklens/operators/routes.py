@@ -69,9 +69,9 @@ def callback_routes(files: DataFrame) -> DataFrame:
     return last.select("plugin_slug", "hook", "callback", action.alias("action"), priv.alias("priv"))
 
 
-def closure_routes(files: DataFrame) -> DataFrame:
-    """D12 + W4 + F11 + P8 + P14: closure routes with their arguments
-    (array of (method, arg))."""
+def second_arguments(files: DataFrame) -> DataFrame:
+    """D12 + W4 + P8 (closure branch): the last registration per (plugin,
+    hook) with its second argument, flagged by F11 (is it a closure?)."""
     m = files.select(
         "path", slug_of("path").alias("plugin_slug"),
         F.arrays_zip(F.regexp_extract_all("content", F.lit(SECOND_ARG_RE), 1).alias("hook"),
@@ -80,9 +80,15 @@ def closure_routes(files: DataFrame) -> DataFrame:
         "plugin_slug", "path", "n", "r.hook", "r.closure")
     last = last_per_hook(regs, ["path", "n"], ["closure"])
     action, priv = hook_to_route_closure("hook")
-    return (last.filter(is_closure("closure"))
-            .select("plugin_slug", "hook", action.alias("action"), priv.alias("priv"),
-                    request_args("closure").alias("args")))
+    return last.select("plugin_slug", "hook", "closure", action.alias("action"), priv.alias("priv"),
+                       is_closure("closure").alias("is_closure"))
+
+
+def closure_routes(files: DataFrame) -> DataFrame:
+    """D12 + W4 + F11 + P8 + P14: closure routes with their arguments
+    (array of (method, arg))."""
+    return (second_arguments(files).filter("is_closure")
+            .select("plugin_slug", "hook", "action", "priv", request_args("closure").alias("args")))
 
 
 def functions_of(files: DataFrame) -> DataFrame:

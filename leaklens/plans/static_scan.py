@@ -114,6 +114,23 @@ def d12(t):
         "plugin_slug", "hook", "action", "priv", F.size("args").alias("n_args"))
 
 
+_SECOND = sql_str(routes.SECOND_ARG_RE)
+
+
+@query("d12_w4_second_arguments", "D12 W4 F11 P8",
+       _F + f""", regs AS (SELECT plugin_slug, path, unnest(regexp_extract_all(content, {_SECOND}, 1)) AS hook,
+ unnest(regexp_extract_all(content, {_SECOND}, 2)) AS closure,
+ generate_subscripts(regexp_extract_all(content, {_SECOND}, 1), 1) AS n FROM f)
+, lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
+, c AS (SELECT plugin_slug, hook, closure, replace(trim(hook, '''"'), 'wp_ajax_', '') AS a0 FROM lastreg)
+SELECT plugin_slug, hook, closure, CASE WHEN starts_with(a0, 'nopriv_') THEN replace(a0, 'nopriv_', '') ELSE a0 END AS action,
+ NOT starts_with(a0, 'nopriv_') AS priv, starts_with(closure, 'function') AS is_closure FROM c""")
+def d12_all(t):
+    """D12 before F11: every route registration's second argument (last per
+    hook), with the closure flag and the closure-branch (action, priv)."""
+    return routes.second_arguments(php_files(t))
+
+
 _FN = f""", fn AS (SELECT plugin_slug, path, seg AS body, regexp_extract(seg, {sql_str('^' + _HEAD)}, 1) AS fname FROM (
  SELECT plugin_slug, path, unnest(string_split(regexp_replace(content, {sql_str('(' + _HEAD + ')')}, chr(1) || '\\1', 'g'), chr(1))) AS seg FROM f)
  WHERE regexp_matches(seg, {sql_str('^' + _HEAD)}))
