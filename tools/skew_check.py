@@ -49,12 +49,11 @@ def plain_attribution(ev):
                       F.row_number().over(w2).alias("zip_counter"))
 
 
-def stage_shares(log_file: str, job_group: str) -> tuple[float, int]:
-    """(largest share of a shuffle stage's records read by one task, #stages)."""
+def max_task_records(log_file: str, job_group: str) -> tuple[int, int]:
+    """(most shuffle records any single task of the job read, #shuffle stages)."""
     jobs, stages_of_job, tasks = {}, {}, {}
     files = sorted(glob.glob(os.path.join(log_file, "*"))) if os.path.isdir(log_file) else [log_file]
-    lines = (ln for f in files for ln in open(f))
-    for line in lines:
+    for line in (ln for f in files for ln in open(f)):
         e = json.loads(line)
         ev = e.get("Event")
         if ev == "SparkListenerJobStart":
@@ -66,12 +65,8 @@ def stage_shares(log_file: str, job_group: str) -> tuple[float, int]:
             r = (m.get("Shuffle Read Metrics") or {}).get("Total Records Read", 0)
             tasks.setdefault(e["Stage ID"], []).append(r)
     wanted = {s for j, d in jobs.items() if job_group in d for s in stages_of_job[j]}
-    best, n = 0.0, 0
-    for s, recs in tasks.items():
-        if s in wanted and sum(recs) > 1000:
-            n += 1
-            best = max(best, max(recs) / sum(recs))
-    return best, n
+    reads = [(s, max(recs)) for s, recs in tasks.items() if s in wanted and sum(recs) > 0]
+    return (max(r for _, r in reads) if reads else 0), len(reads)
 
 
 def main() -> None:
@@ -94,23 +89,43 @@ def main() -> None:
         out = fn(ev)
         out.write.format("noop").mode("overwrite").save()
         results[label] = sorted(tuple(r) for r in out.select("event_id", "test", "zip_counter").collect())
+    # per-plugin aggregations under the same hot key: partial aggregation
+    # collapses the hot plugin to one row per map task before the shuffle
+    from leaklens.operators import hooks, routes
+    from leaklens.plans.hook_change_reports import hook_table
+
+    t = Tables(spark, sf_dir)
+    h = hook_table(t).withColumn("plugin_slug", F.when(F.col("event_id") % 3 == 0, F.lit("plugin-hot"))
+                                 .otherwise(F.col("plugin_slug")))
+    n_hooks = h.count()
+    spark.sparkContext.setJobDescription("A14 per-plugin log-path counts")
+    hooks.log_path_counts_per_plugin(h).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setJobDescription("W4-style last-wins per plugin (max_by)")
+    routes.last_per_hook(h.withColumn("hook", F.lit("h")), ["event_id"], ["function"]) \
+        .write.format("noop").mode("overwrite").save()
     spark.sparkContext.setJobDescription(None)
     same = results["chunked scan (library)"] == results["plain window per plugin"]
     app = spark.sparkContext.applicationId
     spark.stop()
     log = [f for f in glob.glob(os.path.join(log_dir, "*")) if app in f][0]
     rows = ["# SKEW", "",
-            f"Events at `{sf_dir}`: {total} rows; the hot plugin holds {hot} ({hot / total:.0%}). "
-            "local[8], 8 shuffle partitions, AQE on with partition coalescing off. Generated by `tools/skew_check.py` from Spark's event log.", "",
-            "| J7 implementation | largest share of a shuffle stage's rows read by one task | shuffle stages |",
-            "|---|---|---|"]
-    for label in results:
-        share, n = stage_shares(log, label)
-        rows.append(f"| {label} | {share:.1%} | {n} |")
-    rows += ["", f"Both give identical attributed rows: {same}.", "",
-             "With 8 partitions an even spread is 12.5% per task. The plain window must give the hot "
-             "plugin's third of the rows to one task, while the chunked scan spreads that plugin's "
-             "time chunks over all tasks."]
+            f"Events at `{sf_dir}`: {total} rows, of which the hot plugin holds {hot} ({hot / total:.0%}). "
+            "Run on local[8] with 8 shuffle partitions and AQE on, partition coalescing off. Generated by "
+            "`tools/skew_check.py` from Spark's event log.", "",
+            "The metric is the most rows any single task read from a shuffle, as a share of the operator's input rows. "
+            "With 8 tasks an even spread is 12.5 %; a task that holds the hot plugin whole reads at least 33 %.", "",
+            "| operator | input rows | largest task read | share of input | shuffle stages |",
+            "|---|---|---|---|---|"]
+    for label, n_in in ((lab, total) for lab in results):
+        mx, n = max_task_records(log, label)
+        rows.append(f"| J7, {label} | {n_in} | {mx} | {mx / n_in:.1%} | {n} |")
+    for label in ("A14 per-plugin log-path counts", "W4-style last-wins per plugin (max_by)"):
+        mx, n = max_task_records(log, label)
+        rows.append(f"| {label} | {n_hooks} | {mx} | {mx / n_hooks:.1%} | {n} |")
+    rows += ["", f"Both J7 implementations give identical attributed rows: {same}.", "",
+             "The plain window must send the hot plugin's third of the events to one task. The chunked scan "
+             "spreads that plugin's time chunks over all tasks. The aggregations combine map-side, so the hot "
+             "plugin reaches the shuffle as one partial row per map task."]
     print("\n".join(rows))
 
 
