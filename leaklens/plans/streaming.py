@@ -3,6 +3,10 @@
 The stand-in input is the adapter's rows written as JSON-lines files in
 time slices (what a watcher would have appended); the streaming jobs then
 do all the work.  Folders live under the session's checkpoint folder.
+
+Two attribution designs are registered (both checked against the J7
+oracle): the state API (``applyInPandasWithState``) and the chunked
+``foreachBatch`` variant that keeps a hot plugin out of a single task.
 """
 
 from __future__ import annotations

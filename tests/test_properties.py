@@ -115,3 +115,21 @@ def test_all_reports_build_and_run(spark, tables):
     assert len(out) == 24
     for name, df in out.items():
         df.write.format("noop").mode("overwrite").save()
+
+
+def test_cluster_conf_fills_only_unset(spark):
+    from leaklens.session import CLUSTER_CONF, apply_cluster_conf
+
+    saved = {k: spark.conf.get(k, None) for k in CLUSTER_CONF}
+    try:
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        applied = apply_cluster_conf(spark, overrides={"spark.sql.shuffle.partitions": before})
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before          # explicit override kept
+        assert set(applied) <= set(CLUSTER_CONF)
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:   # the session is shared by later tests: put every option back
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
