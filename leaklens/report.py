@@ -1,7 +1,9 @@
 """Write every report of the study from a parquet warehouse.
 
-    spark-submit -m leaklens.report <warehouse_root> <out_dir>
-    python -m leaklens.report <warehouse_root> <out_dir>
+    python -m leaklens.report [--cluster] <warehouse_root> <out_dir>
+
+``--cluster`` fills the session's unset SQL options with
+``session.CLUSTER_CONF`` (sizing for a very large warehouse).
 
 The warehouse holds one parquet folder per table, as ``sources.sinks``
 writes it (S9): plugins, rules, semgrep_runs, findings_semgrep,
@@ -57,11 +59,14 @@ def write_reports(spark: SparkSession, root: str, out_dir: str) -> list[str]:
 
 
 def main(argv: list[str]) -> None:
-    if len(argv) != 2:
-        raise SystemExit("usage: python -m leaklens.report <warehouse_root> <out_dir>")
+    cluster = "--cluster" in argv
+    args = [a for a in argv if a != "--cluster"]
+    if len(args) != 2:
+        raise SystemExit("usage: python -m leaklens.report [--cluster] <warehouse_root> <out_dir>")
     spark = SparkSession.builder.appName("leaklens-report").getOrCreate()
-    apply_cluster_conf(spark)
-    for name in write_reports(spark, argv[0], argv[1]):
+    if cluster:   # large warehouses: fill unset options with the 100 TB settings
+        apply_cluster_conf(spark)
+    for name in write_reports(spark, args[0], args[1]):
         print(name)
 
 
