@@ -50,15 +50,18 @@ def _attribute_group(key, pdfs, state):
         kind0, test0, counter0 = state.get
     else:
         kind0, test0, counter0 = None, None, 0
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    if pdf.empty:
+    frames = [f for f in pdfs if len(f)]
+    if not frames:
         return
-    pdf = pdf.sort_values(["ts", "event_id"], kind="mergesort").reset_index(drop=True)
-    is_marker = (pdf["kind"] != "change").to_numpy()
-    pos = np.where(is_marker, np.arange(len(pdf)), -1)
+    pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    order = np.lexsort((pdf["event_id"].to_numpy(), pdf["ts"].to_numpy()))   # by (ts, event_id)
+    kinds = pdf["kind"].to_numpy(dtype=object)[order]
+    tests = pdf["test"].to_numpy(dtype=object)[order]
+    event_ids = pdf["event_id"].to_numpy()[order]
+    ts = pdf["ts"].to_numpy()[order]
+    is_marker = kinds != "change"
+    pos = np.where(is_marker, np.arange(len(kinds)), -1)
     last = np.maximum.accumulate(pos)
-    kinds = pdf["kind"].to_numpy(dtype=object)
-    tests = pdf["test"].to_numpy(dtype=object)
     cur_kind = np.where(last >= 0, kinds[np.maximum(last, 0)], kind0)
     cur_test = np.where(last >= 0, tests[np.maximum(last, 0)], test0)
     attributed = (~is_marker) & (cur_kind == "set")
@@ -67,9 +70,9 @@ def _attribute_group(key, pdfs, state):
         kind0, test0 = kinds[last[-1]], tests[last[-1]]
     state.update((kind0, test0, int(counter[-1]) if len(counter) else counter0))
     out = pd.DataFrame({
-        "event_id": pdf["event_id"][attributed].to_numpy(),
+        "event_id": event_ids[attributed],
         "plugin_slug": slug,
-        "ts": pdf["ts"][attributed].to_numpy(),
+        "ts": ts[attributed],
         "test": cur_test[attributed],
         "zip_counter": counter[attributed].astype("int64"),
     })
