@@ -7,8 +7,8 @@ none - local tests, the bench - do we set one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,32 +33,32 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables, with its scheme.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a private one only
-    when it is unset (local runs).
+    Reads ``spark.checkpoint.dir`` from the session.  Where it is unset, a
+    private folder is made on a ``local`` master only: on a cluster every
+    machine would write to its own disk, so that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if conf_dir:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(conf_dir)
+        return conf_dir.rstrip("/")
     sc_dir = spark.sparkContext.getCheckpointDir()
     if sc_dir:
-        return sc_dir
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return spark.sparkContext.getCheckpointDir() or conf_dir
+        return sc_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="leaklens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    return local
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one job's tables."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    import uuid
-
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 # Settings for a large cluster (100 TB of input, ~1000 executors).  The
