@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leaklens.llm import words as W
 from leaklens.llm.graph import components, written
@@ -149,8 +150,8 @@ def _with_sets(docs: DataFrame, info: DataFrame, n: int) -> DataFrame:
     """``info`` (node, ...) with ``shingles``, the packed set of the occurrence-
     tagged shingles of the document."""
     names = info.columns
-    rows = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("__text")).join(info, "node")
-    schema = info.schema.add("shingles", "binary")
+    rows = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("__text")).join(info.hint("merge"), "node")
+    schema = T.StructType([*info.schema.fields, T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

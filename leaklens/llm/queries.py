@@ -5,21 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leaklens.llm import near_dup
+from leaklens.llm import decontamination, mixing, near_dup, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken from every document at weights 5, 2, 1 and 150 % of all words."""
+    docs = table(spark, sf_dir, "documents")
+    taken = mixing.mix(docs).select(
+        F.col("source").alias("__source"), F.col("doc_id").alias("__id"), "source_size", "target", "copies")
+    rows = docs.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"))
+    both = rows["source"].eqNullSafe(taken["__source"]) & rows["doc_id"].eqNullSafe(taken["__id"])
+    return rows.join(taken, both).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under five-word shingles and similarity 0.8."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated passage with its place and the document that keeps it."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_minhash_near_dedup,)
+    f.__name__: f for f in (
+        op1_source_mixing, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
