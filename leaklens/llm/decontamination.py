@@ -1,21 +1,23 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
-Passages (windows of ``PASSAGE`` words) are TF-IDF vectors over hashed words.
-A randomised SVD of the passages of a bounded corpus sample and of all
-benchmark items gives ``RANK`` latent directions; every passage of every
-document and every benchmark passage is projected on them, and pairs with a
-cosine of at least ``COSINE`` are candidates.  A candidate is checked on the
-words: the longest common subsequence of the item with the stretch of the
-document around the candidate passages must cover ``LCS_SURE`` of the item, or
-``LCS_PARAPHRASE`` of it together with the answer, the item's last
-``ANSWER`` words (at least half of their distinct words in that stretch).
-
-Document frequencies count all documents; candidate search covers all
-passages.  Only the directions are fitted on a sample (about ``FIT_PASSAGES``
-passages, by hash of the doc_id), by distributed power iteration: every task
-adds up its part of A^T A Q, and only the (2^HASH_BITS x RANK) sum, whose size
-the parameters fix, reaches the driver.  Benchmark items are searched in
-blocks of ``ITEM_BLOCK``.
+Passages are TF-IDF vectors over hashed words; document frequencies count all
+documents, and words in more than ``COMMON`` of them weigh nothing.  A
+randomised SVD of the benchmark's passages (up to ``ITEM_PASSAGE`` words each)
+gives ``RANK`` latent directions.  Every window of ``PASSAGE`` words of every
+document is compared with every benchmark passage by the cosine of the window
+with the passage's latent approximation; a window whose weight on benchmark
+words alone bounds the cosine below ``COSINE`` is skipped.
+
+A candidate is checked on the words: the longest common subsequence of the
+item with the stretch of the document around the candidate windows must cover
+``LCS_SURE`` of the item, or ``LCS_PARAPHRASE`` of it together with the answer,
+the item's last ``ANSWER`` words (at least half of their distinct words in that
+stretch).
+
+The SVD is a distributed power iteration: every task adds up its part of
+A^T A Q, and only the sum, of at most 2^HASH_BITS x RANK numbers, reaches the
+driver.  Benchmark items are searched in blocks of about ``ITEM_BLOCK``, each
+block with directions of its own.
 
 Results in corner cases: texts and items without words match nothing; items
 of equal text each have their rows; a passage is found however long the
@@ -29,23 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaklens.llm import words as W
 from leaklens.llm.graph import written
 
-PASSAGE = 32
+PASSAGE, ITEM_PASSAGE = 32, 48
 STRIDE = 8
 HASH_BITS = 16
-RANK = 48
-FIT_PASSAGES = 40_000
-POWER_ROUNDS = 2
-COSINE = 0.45
+RANK = 256
+POWER_ROUNDS = 3
+COMMON = 0.05
+COSINE = 0.28
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
-ITEM_BLOCK = 20_000
+ITEM_BLOCK = 2000
 
 _U = np.uint64
 
@@ -104,7 +105,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A Q over the passages A of ``texts`` (column text); ``table``: Q."""
+    """A^T A Q over the passages A (of length 1) of ``texts``; ``table``: Q."""
     spark = texts.sparkSession
     shipped = spark.sparkContext.broadcast((table.astype(np.float32), idf.astype(np.float32)))
 
@@ -114,10 +115,11 @@ def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndar
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 words = W.split(part.column("text"))
-                projected, blocks = _block_sums(words, q * weight[:, None], PASSAGE)
+                projected, _ = _block_sums(words, np.column_stack([q * weight[:, None], weight**2]), ITEM_PASSAGE)
+                projected = projected[:, :-1] / np.maximum(projected[:, -1:], 1e-9)     # passages of length 1
                 bucket = _buckets(words)
                 place = np.arange(len(bucket)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
-                row = np.cumsum(place % PASSAGE == 0) - 1
+                row = np.cumsum(place % ITEM_PASSAGE == 0) - 1
                 order = np.argsort(bucket, kind="stable")
                 if len(order):
                     seen, at = np.unique(bucket[order], return_index=True)
@@ -127,10 +129,6 @@ def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndar
             [pa.array(seen), pa.array([out[i].tobytes() for i in seen], pa.binary())], ["bucket", "row"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(r) for r in pdf["row"]], axis=0)
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "row": [total.tobytes()]})
-
-    def add_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         seen, inverse = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
         total = np.zeros((len(seen), table.shape[1]))
         np.add.at(total, inverse, np.stack([np.frombuffer(r) for r in pdf["row"]]))
@@ -138,7 +136,7 @@ def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndar
 
     parts = texts.mapInArrow(run, "bucket long, row binary")
     rows = (parts.withColumn("slice", F.col("bucket") % 64).groupBy("slice")
-            .applyInPandas(lambda pdf: add_slice(pdf[["bucket", "row"]]), "bucket long, row binary").toPandas())
+            .applyInPandas(add, "bucket long, row binary").toPandas())
     shipped.unpersist()
     out = np.zeros(table.shape)
     for bucket, row in zip(rows["bucket"], rows["row"]):
@@ -146,37 +144,34 @@ def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndar
     return out
 
 
-def latent_space(docs: DataFrame, items: DataFrame, seed: int = 4) -> np.ndarray | None:
-    """(2^HASH_BITS, RANK) table: IDF-weighted latent coordinates of hashed
-    words; None where nothing has words."""
-    frequency = document_frequencies(docs.select("text").union(items.select("text")))
-    pairs = frequency.toPandas()        # at most 2^HASH_BITS rows
-    if pairs.empty:
-        return None
-    n_docs = docs.count() + items.count()
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """IDF weight of every hashed word over all of ``docs``."""
+    pairs = document_frequencies(docs).toPandas()       # at most 2^HASH_BITS rows
+    n = docs.count()
     df = np.zeros(1 << HASH_BITS)
-    df[pairs["bucket"]] = pairs["n"]
-    idf = np.log((n_docs + 1) / (df + 1)) + 0.1
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    share = min(1.0, FIT_PASSAGES * PASSAGE * 6 / max(1, size))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))
-    sample = written(docs.filter(draw).select("text").union(items.select("text")), "lsa-sample")
-    q = np.random.default_rng(seed).standard_normal((1 << HASH_BITS, RANK))
-    for _ in range(POWER_ROUNDS):
-        q, _ = np.linalg.qr(_power_step(sample, q, idf))
-    return (q * idf[:, None]).astype(np.float32)
+    df[pairs["bucket"].to_numpy(np.int64)] = pairs["n"]
+    return np.where(df > max(1.0, COMMON * n), 0.0, np.log((n + 1) / (df + 1)) + 1e-3)
 
 
-def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Benchmark items in blocks of at most ITEM_BLOCK rows."""
-    numbered = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    total = numbered.count()
-    blocks = max(1, -(-total // (ITEM_BLOCK // 2)))     # hashed blocks vary in size
+def latent_directions(items: DataFrame, idf: np.ndarray, seed: int = 4) -> np.ndarray:
+    """Orthonormal (2^HASH_BITS, RANK) directions of the passages of ``items``."""
+    q = np.random.default_rng(seed).standard_normal((1 << HASH_BITS, RANK))
+    for _ in range(POWER_ROUNDS):
+        seen = _power_step(items, q, idf)
+        rows = np.flatnonzero(seen.any(axis=1))
+        q = np.zeros_like(seen)
+        if len(rows):
+            part, _ = np.linalg.qr(seen[rows])
+            q[rows, :part.shape[1]] = part
+    return q
+
+
+def _item_blocks(items: DataFrame) -> Iterator[DataFrame]:
+    """Benchmark items (item_id, text) in hashed blocks of about ITEM_BLOCK rows."""
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    blocks = max(1, round(known.count() / ITEM_BLOCK))
     for i in range(blocks):
-        part = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        rows = [(r["item_id"], r["text"]) for r in part.collect()]
-        if rows:
-            yield rows
+        yield known.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
 
 
 def _lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -193,37 +188,79 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _search(docs: DataFrame, table, rows: list[tuple[int, str]]) -> DataFrame:
+def _windows(words: W.Words, idf2: np.ndarray, known2: np.ndarray):
+    """Blocks of STRIDE words, and the windows of them that may reach COSINE:
+    (block of each word, first block, document, place, weight) of the windows."""
+    weight, blocks = _block_sums(words, np.column_stack([idf2, known2]), STRIDE)
+    total, doc, place = _passages(weight, blocks, PASSAGE // STRIDE)
+    start = np.concatenate([[0], np.cumsum(blocks)])
+    first = start[doc] + place
+    hopeful = total[:, 1] >= COSINE**2 * total[:, 0]
+    hopeful &= total[:, 1] > 0
+    place_of = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
+    block = np.repeat(start[:-1], np.diff(words.ptr)) + place_of // STRIDE
+    return block, blocks, first[hopeful], doc[hopeful], place[hopeful], total[hopeful, 0]
+
+
+def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | None:
     """Checked matches of one block of items."""
-    words = W.split(pa.array([t for _, t in rows], pa.string()))
-    item_ids = np.array([i if i is not None else -1 for i, _ in rows], dtype=np.int64)
-    sums, blocks = _block_sums(words, table.value, STRIDE)
-    vectors, owner, _ = _passages(sums, blocks, PASSAGE // STRIDE)
+    rows = items.collect()
+    if not rows:
+        return None
+    words = W.split(pa.array([r["text"] for r in rows], pa.string()))
+    directions = latent_directions(items.select("text"), idf)
+    table = (directions * idf[:, None]).astype(np.float32)
+    sums, blocks = _block_sums(words, table, STRIDE)
+    width = ITEM_PASSAGE // STRIDE
+    vectors, owner, place = _passages(sums, blocks, width)
+    chosen = (place % (width // 2) == 0) | (place == blocks[owner] - width)
     item_words = [words.hash[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
-    index = docs.sparkSession.sparkContext.broadcast((_unit(vectors), owner, item_words, item_ids))
+    ids = [r["item_id"] for r in rows]
+    used = np.flatnonzero(table.any(axis=1))
+    shipped = docs.sparkSession.sparkContext.broadcast(
+        (idf, used, table[used], _unit(vectors[chosen]), owner[chosen], item_words, ids))
     width = PASSAGE // STRIDE
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()),
                         ("first_word", pa.int64()), ("last_word", pa.int64()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, (vec, own, item, ids) = table.value, index.value
+        weight, known, latent, vec, own, item, item_ids = shipped.value
+        idf2 = weight**2
+        at_row = np.full(len(weight), -1)
+        at_row[known] = np.arange(len(known))
+        known2 = np.where(at_row >= 0, idf2, 0.0)
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 words = W.split(part.column("text"))
-                sums, blocks = _block_sums(words, space, STRIDE)
-                mine, doc, place = _passages(sums, blocks, width)
-                mine = _unit(mine)
+                block, blocks, first, doc, place, total = _windows(words, idf2, known2)
+                if not len(first):
+                    continue
+                wanted = np.zeros(blocks.sum() + width, dtype=bool)
+                for i in range(width):
+                    wanted[first + i] = True
+                row = at_row[_buckets(words)]
+                pick = np.flatnonzero((row >= 0) & wanted[block])
+                lead = np.flatnonzero(np.diff(block[pick], prepend=-1))
+                sums = np.add.reduceat(latent[row[pick]], lead, axis=0)
+                at = np.full(len(wanted), len(sums))
+                at[block[pick][lead]] = np.arange(len(sums))
+                sums = np.vstack([sums, np.zeros((1, sums.shape[1]), sums.dtype)])
                 doc_ids = part.column("doc_id").cast(pa.int64()).to_pylist()
                 found: dict[tuple[int, int], list[tuple[int, float]]] = {}
-                for at in range(0, len(mine), 8192):
-                    cosine = mine[at:at + 8192] @ vec.T
+                ends = np.cumsum(blocks)[doc]
+                for a in range(0, len(first), 8192):
+                    f = first[a:a + 8192]
+                    mine = sums[at[f]]
+                    for i in range(1, width):
+                        mine = mine + np.where((f + i < ends[a:a + 8192])[:, None], sums[at[f + i]], 0)
+                    cosine = (mine / np.sqrt(total[a:a + 8192])[:, None].astype(np.float32)) @ vec.T
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        found.setdefault((int(doc[at + i]), int(own[j])), []).append((int(place[at + i]), float(cosine[i, j])))
+                        found.setdefault((int(doc[a + i]), int(own[j])), []).append((int(place[a + i]), float(cosine[i, j])))
                 out = {name: [] for name in schema.names}
                 for (d, k), places in found.items():
                     best = _check(words.hash[words.ptr[d]:words.ptr[d + 1]], item[k], sorted(places))
                     if best:
-                        for name, value in zip(schema.names, (doc_ids[d], int(ids[k]), len(item[k]), *best)):
+                        for name, value in zip(schema.names, (doc_ids[d], item_ids[k], len(item[k]), *best)):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
@@ -263,14 +300,12 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id,
     item_words, lcs, first_word, last_word (the stretch checked) and cosine."""
     spark: SparkSession = docs.sparkSession
-    table = latent_space(docs, items)
     found = spark.createDataFrame([], "doc_id long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
-    if table is None:
-        return found
-    shipped = spark.sparkContext.broadcast(table)
-    parts = [_search(docs, shipped, rows) for rows in _item_blocks(items)]
-    for part in parts:
-        found = found.union(part)
+    idf = inverse_frequencies(docs.select("text"))
+    for block in _item_blocks(items):
+        part = _search(docs, idf, block)
+        if part is not None:
+            found = found.union(part)
     return found
 
 

@@ -8,8 +8,8 @@ other so that s*p + t*q stays and one of them becomes 0 or 1, with
 probabilities that keep every document's expectation.  Groups of documents are
 reduced this way to one fractional document each, and the residuals meet in
 the next level of a tree until a source has one left, which a last draw
-settles.  So the words taken from a source differ from its target by less than
-one document.
+settles.  Large documents go first, so the last one is small; the words taken
+from a source differ from its target by less than one document.
 
 All draws are hashes of the source, doc_id and ``seed``: reruns agree, however
 the rows are partitioned.
@@ -90,7 +90,7 @@ def _draw(*columns: Column | str) -> Column:
 
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     """Round the documents of one group pairwise; at most one stays open."""
-    pdf = pdf.sort_values(["draw", "tie"], kind="stable", na_position="last").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "draw", "tie"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     size, chance = pdf["size"].to_numpy(np.float64), pdf["chance"].to_numpy(np.float64, copy=True)
     random = pdf["draw"].to_numpy()
     i = 0
