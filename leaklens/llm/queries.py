@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaklens.llm import decontamination, mixing, near_dup, substring_dedup, toxicity
+from leaklens.llm import (
+    chat, decontamination, embedding_dedup, html_text, mixing, near_dup, substring_dedup, toxicity, url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +50,33 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered conversations that no longer one contains as a prefix."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98 within a label."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_source_mixing, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup)
+        op1_source_mixing, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup,
+        op7_html_extraction, op8_chat_formatting, op9_embedding_near_dedup, op10_url_filter)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_formatting": chat.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+}
