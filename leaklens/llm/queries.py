@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaklens.llm import (
-    chat, decontamination, embedding_dedup, html_text, mixing, near_dup, substring_dedup, toxicity, url_filter)
+    chat, decontamination, embedding_dedup, html_text, mixing, near_dup, quality, substring_dedup, toxicity,
+    url_filter)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document under a model of the good ones."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under five-word shingles and similarity 0.8."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -72,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_source_mixing, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup,
+        op1_source_mixing, op2_quality_classifier, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup,
         op7_html_extraction, op8_chat_formatting, op9_embedding_near_dedup, op10_url_filter)
 }
 
