@@ -15,8 +15,8 @@ the item's last ``ANSWER`` words (at least half of their distinct words in that
 stretch).
 
 The SVD is a distributed power iteration: every task adds up its part of
-A^T A Q, and only the sum, of at most 2^HASH_BITS x RANK numbers, reaches the
-driver.  Benchmark items are searched in blocks of about ``ITEM_BLOCK``, each
+A^T A Q, and only the sum, one row of RANK numbers for each hashed word of the
+items (2^HASH_BITS rows at most), reaches the driver.  Benchmark items are searched in blocks of about ``ITEM_BLOCK``, each
 block with directions of its own.
 
 Results in corner cases: texts and items without words match nothing; items
@@ -41,7 +41,7 @@ PASSAGE, ITEM_PASSAGE = 32, 48
 STRIDE = 8
 HASH_BITS = 16
 RANK = 256
-POWER_ROUNDS = 3
+POWER_ROUNDS = 2
 COMMON = 0.05
 COSINE = 0.28
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
@@ -104,43 +104,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _power_step(texts: DataFrame, table: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """A^T A Q over the passages A (of length 1) of ``texts``; ``table``: Q."""
-    spark = texts.sparkSession
-    shipped = spark.sparkContext.broadcast((table.astype(np.float32), idf.astype(np.float32)))
+def _power_step(texts: DataFrame, q: np.ndarray, used: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A^T A Q over the passages A (of length 1) of ``texts``; the rows of Q
+    and of the result belong to the buckets ``used``."""
+    shipped = texts.sparkSession.sparkContext.broadcast((q.astype(np.float32), used, idf[used].astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, weight = shipped.value
+        q, used, weight = shipped.value
+        table = np.zeros((1 << HASH_BITS, q.shape[1] + 1), dtype=np.float32)
+        table[used, :-1], table[used, -1] = q * weight[:, None], weight**2
+        at_row = np.full(1 << HASH_BITS, -1)
+        at_row[used] = np.arange(len(used))
         out = np.zeros(q.shape, dtype=np.float64)
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 words = W.split(part.column("text"))
-                projected, _ = _block_sums(words, np.column_stack([q * weight[:, None], weight**2]), ITEM_PASSAGE)
-                projected = projected[:, :-1] / np.maximum(projected[:, -1:], 1e-9)     # passages of length 1
-                bucket = _buckets(words)
-                place = np.arange(len(bucket)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
-                row = np.cumsum(place % ITEM_PASSAGE == 0) - 1
-                order = np.argsort(bucket, kind="stable")
+                projected, _ = _block_sums(words, table, ITEM_PASSAGE)
+                projected = projected[:, :-1] / np.maximum(projected[:, -1:], 1e-9)
+                place = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
+                passage = np.cumsum(place % ITEM_PASSAGE == 0) - 1
+                row = at_row[_buckets(words)]
+                order = np.argsort(row, kind="stable")
+                order = order[row[order] >= 0]
                 if len(order):
-                    seen, at = np.unique(bucket[order], return_index=True)
-                    out[seen] += np.add.reduceat(projected[row[order]], at, axis=0) * weight[seen][:, None]
+                    seen, at = np.unique(row[order], return_index=True)
+                    out[seen] += np.add.reduceat(projected[passage[order]], at, axis=0) * weight[seen][:, None]
         seen = np.flatnonzero(out.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array([out[i].tobytes() for i in seen], pa.binary())], ["bucket", "row"])
+            [pa.array(seen), pa.array([out[i].tobytes() for i in seen], pa.binary())], ["at", "row"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, inverse = np.unique(pdf["bucket"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(seen), table.shape[1]))
+        seen, inverse = np.unique(pdf["at"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(seen), q.shape[1]))
         np.add.at(total, inverse, np.stack([np.frombuffer(r) for r in pdf["row"]]))
-        return pd.DataFrame({"bucket": seen, "row": [r.tobytes() for r in total]})
+        return pd.DataFrame({"at": seen, "row": [r.tobytes() for r in total]})
 
-    parts = texts.mapInArrow(run, "bucket long, row binary")
-    rows = (parts.withColumn("slice", F.col("bucket") % 64).groupBy("slice")
-            .applyInPandas(add, "bucket long, row binary").toPandas())
+    parts = texts.mapInArrow(run, "at long, row binary")
+    rows = (parts.withColumn("slice", F.col("at") % 64).groupBy("slice")
+            .applyInPandas(lambda pdf: add(pdf[["at", "row"]]), "at long, row binary").toPandas())
     shipped.unpersist()
-    out = np.zeros(table.shape)
-    for bucket, row in zip(rows["bucket"], rows["row"]):
-        out[bucket] = np.frombuffer(row)
+    out = np.zeros(q.shape)
+    for at, row in zip(rows["at"], rows["row"]):
+        out[at] = np.frombuffer(row)
     return out
 
 
@@ -153,17 +158,15 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.where(df > max(1.0, COMMON * n), 0.0, np.log((n + 1) / (df + 1)) + 1e-3)
 
 
-def latent_directions(items: DataFrame, idf: np.ndarray, seed: int = 4) -> np.ndarray:
-    """Orthonormal (2^HASH_BITS, RANK) directions of the passages of ``items``."""
-    q = np.random.default_rng(seed).standard_normal((1 << HASH_BITS, RANK))
-    for _ in range(POWER_ROUNDS):
-        seen = _power_step(items, q, idf)
-        rows = np.flatnonzero(seen.any(axis=1))
-        q = np.zeros_like(seen)
-        if len(rows):
-            part, _ = np.linalg.qr(seen[rows])
-            q[rows, :part.shape[1]] = part
-    return q
+def latent_directions(items: DataFrame, idf: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(used, directions): the hashed words of ``items`` that weigh something,
+    and the orthonormal (len(used), up to RANK) directions of its passages."""
+    used = np.sort(document_frequencies(items).toPandas()["bucket"].to_numpy(np.int64))
+    used = used[idf[used] > 0]
+    q = np.random.default_rng(seed).standard_normal((len(used), min(RANK, len(used))))
+    for _ in range(POWER_ROUNDS if len(used) else 0):
+        q, _ = np.linalg.qr(_power_step(items, q, used, idf))
+    return used, q
 
 
 def _item_blocks(items: DataFrame) -> Iterator[DataFrame]:
@@ -208,15 +211,17 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
     if not rows:
         return None
     words = W.split(pa.array([r["text"] for r in rows], pa.string()))
-    directions = latent_directions(items.select("text"), idf)
-    table = (directions * idf[:, None]).astype(np.float32)
+    used, directions = latent_directions(items.select("text"), idf)
+    if not len(used):
+        return None
+    table = np.zeros((1 << HASH_BITS, directions.shape[1]), dtype=np.float32)
+    table[used] = directions * idf[used][:, None]
     sums, blocks = _block_sums(words, table, STRIDE)
     width = ITEM_PASSAGE // STRIDE
     vectors, owner, place = _passages(sums, blocks, width)
     chosen = (place % (width // 2) == 0) | (place == blocks[owner] - width)
     item_words = [words.hash[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
     ids = [r["item_id"] for r in rows]
-    used = np.flatnonzero(table.any(axis=1))
     shipped = docs.sparkSession.sparkContext.broadcast(
         (idf, used, table[used], _unit(vectors[chosen]), owner[chosen], item_words, ids))
     width = PASSAGE // STRIDE

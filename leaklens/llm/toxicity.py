@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 
 DECAY = 0.8
 LANDMARKS = 192
-TRAIN_ROWS = 1500
-MAX_TRAIN_WORDS = 2000
+TRAIN_ROWS = 1000
+MAX_TRAIN_WORDS = 1000
 LONGEST = 24            # longer words are read in overlapping windows
 COST, NEGATIVE = 1000.0, 2.0    # of each kind of toxic words; of each other word
 POWER = 3               # of the normalised kernel: sharper, and still a kernel
