@@ -15,7 +15,7 @@ def _c(col: Column | str) -> Column:
 
 def parse_thousands(col: Column | str) -> Column:
     """``'1,234'`` -> 1234; unparsable text -> NULL instead of an abort."""
-    return F.regexp_replace(_c(col), ",", "").try_cast("int")
+    return F.regexp_replace(_c(col), ",", "").try_cast("bigint")
 
 
 def default_zero(col: Column | str) -> Column:

@@ -25,7 +25,12 @@ LINE_LEVELS = [4096, 4096 * 4096]
 
 
 def _time_levels(ts: str, widths=None):
-    return bucket_levels(F.unix_micros(F.col(ts).cast("timestamp")), list(widths or TIME_LEVELS_US))
+    # days and the time of day of the zone-less value: monotone in every session zone
+    t = F.col(ts)
+    days = F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    second = F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    micros = (days * 86_400 + second) * 1_000_000 + F.pmod(F.date_format(t, "SSSSSS").cast("bigint"), F.lit(1_000_000))
+    return bucket_levels(micros, list(widths or TIME_LEVELS_US))
 
 
 def current_marker(events: DataFrame, key: str = "plugin_slug", ts: str = "ts",

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from leaklens.functions.predicates import log_path, name_contains_ci
 from leaklens.functions.scalar import params_text
-from leaklens.operators.joins import broadcast_if_small
 
 HOOK_SCHEMA = T.StructType([
     T.StructField("function", T.StringType()),
@@ -23,8 +22,6 @@ HOOK_SCHEMA = T.StructType([
 
 HOOK_SCHEMA_WITH_SLUG = T.StructType([T.StructField("plugin_slug", T.StringType())] + HOOK_SCHEMA.fields)
 
-# A fresh instance touches a bounded set of paths (a few hundred).
-BASELINE_MAX_ROWS = 1_000_000
 
 
 def parse_hook_lines(lines: DataFrame, col: str = "value", schema: T.StructType = HOOK_SCHEMA) -> DataFrame:
@@ -41,7 +38,7 @@ def subtract_baseline(hooks: DataFrame, baseline: DataFrame, path_col: str = "pa
     Anti-join on ``params[0]``; the baseline side is broadcast only after a
     size check, else the planner shuffles both sides on the path.
     """
-    b = broadcast_if_small(baseline.select(F.col(path_col).alias("__bp")).distinct(), BASELINE_MAX_ROWS)
+    b = baseline.select(F.col(path_col).alias("__bp")).distinct()
     h = hooks.withColumn("__p0", F.element_at("params", 1))
     return h.join(b, h["__p0"] == b["__bp"], "left_anti").drop("__p0")
 

@@ -1,11 +1,6 @@
-"""Join helpers: size-checked broadcast and reference checks.
+"""Reference checks between tables.
 
-``broadcast_if_small`` hints a broadcast only after counting at most
-``max_rows + 1`` rows of the side (a bounded, cheap action on a dimension);
-beyond the bound the hint is not given and the planner / AQE choose a
-shuffle join.  Only base dimensions are passed here (their count is a cheap
-scan); derived tables are left to AQE, which measures the materialised
-shuffle output and switches to a broadcast join when it is small.
+No join here is hinted: the planner and AQE broadcast what they know to be small.
 """
 
 from __future__ import annotations
@@ -14,11 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose key has no parent (what a FOREIGN KEY rejects)."""
     p = parent.select(F.col(parent_key).alias("__pk")).distinct()

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from leaklens.functions import classify
 from leaklens.functions.predicates import debug_enabling_rule, errors_without_3
-from leaklens.operators.joins import broadcast_if_small
 
-# The plugin catalogue is a dimension: the whole ecosystem is ~10^5 plugins.
-PLUGINS_MAX_ROWS = 2_000_000
 
 
 def route_counts(ajax_routes: DataFrame) -> DataFrame:
@@ -48,7 +45,7 @@ def findings_per_rule(rules: DataFrame, findings: DataFrame) -> DataFrame:
     (the UNION's first branch), silent rules get 0.
     """
     counts = findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"))
-    dim = broadcast_if_small(rules.select("rule_id").distinct(), 10_000)
+    dim = rules.select("rule_id").distinct()
     return (counts.join(dim, "rule_id", "full")
             .select("rule_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
             .orderBy(F.desc("n_findings"), "rule_id"))
@@ -70,7 +67,7 @@ def debug_enabling_plugins(runs: DataFrame, findings: DataFrame, plugins: DataFr
     """
     f = findings.filter(debug_enabling_rule("rule_id")).select("run_id", "rule_id")
     r = runs.select("run_id", "plugin_slug")
-    p = broadcast_if_small(plugins.select(F.col("slug").alias("plugin_slug"), "num_downloads"), PLUGINS_MAX_ROWS)
+    p = plugins.select(F.col("slug").alias("plugin_slug"), "num_downloads")
     return (f.join(r, "run_id").join(p, "plugin_slug")
             .select("plugin_slug", "rule_id", "num_downloads")
             .orderBy(F.desc("num_downloads"), "plugin_slug", "rule_id"))
@@ -126,7 +123,7 @@ def plugin_classification(findings: DataFrame, runs: DataFrame, plugins: DataFra
     f = findings.filter(classify.any_rule()).select("run_id", "rule_id", "lines")
     per_run = f.groupBy("run_id", "rule_id").agg(*classify.category_columns())
     r = runs.select("run_id", "plugin_slug")
-    p = broadcast_if_small(plugins.select(F.col("slug").alias("plugin_slug")), PLUGINS_MAX_ROWS)
+    p = plugins.select(F.col("slug").alias("plugin_slug"))
     joined = per_run.join(r, "run_id").join(p, "plugin_slug", "left_semi")
     counts = [c for c in per_run.columns if c.startswith("n_")]
     out = joined.groupBy("rule_id").agg(

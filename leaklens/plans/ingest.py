@@ -54,10 +54,10 @@ def t3(t):
 _PAGE = 250  # fixed value: catalogue API page size
 
 
-@query("s1_catalogue_pages", "S1 T1 P1 P2", _CAT + f"""SELECT CAST(floor((fetch_pos - 1) / {_PAGE}) AS INTEGER) + 1 AS page,
- slug, num_downloads AS downloaded FROM cat ORDER BY num_downloads DESC, fetch_pos LIMIT {ingest.TOP_N}""")
+@query("s1_catalogue_pages", "S1 P1 P2", _CAT + f"""SELECT CAST(floor((fetch_pos - 1) / {_PAGE}) AS INTEGER) + 1 AS page,
+ slug, num_downloads AS downloaded FROM cat """)
 def s1(t):
-    """Saved catalogue pages read back, flattened and ranked."""
+    """Saved catalogue pages read back and flattened, every plugin of every page."""
     spark = t.spark
     path = scratch_path(spark, "s1-pages")
     c = t["catalogue_raw"].withColumn("page", (F.floor((F.col("fetch_pos") - 1) / _PAGE) + 1).cast("int"))
@@ -67,7 +67,7 @@ def s1(t):
         .select(F.struct("page").alias("info"), "plugins"))
     docs.write.mode("overwrite").json(path)
     pages = ingest.read_catalogue_pages(spark, path, multi_line=False)
-    return ingest.top_plugins(pages, ingest.TOP_N).select("page", "slug", "downloaded")
+    return pages.select("page", "slug", "downloaded")
 
 
 @query("s2_s3_catalogue_csv_roundtrip", "S2 S3 P1", _RANKED.replace("SELECT * FROM cat", "SELECT name, slug, num_downloads FROM cat")
@@ -158,7 +158,7 @@ WHERE r.severity IN ('INFO', 'ERROR', 'WARNING')""")
 def s7(t):
     """The rule dimension (sink derived by P6, severities checked by F13)
     with the number of findings per rule."""
-    rules = joins.broadcast_if_small(ingest.rules_table(t.spark), 10_000)
+    rules = ingest.rules_table(t.spark)
     counts = t["findings_semgrep"].groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"))
     return rules.join(counts, "rule_id", "left").select(
         "rule_id", "severity", "sink", F.coalesce("n_findings", F.lit(0)).alias("n_findings"))
