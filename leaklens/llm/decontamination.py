@@ -1,7 +1,8 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over hashed words; document frequencies count all
-documents, and words in more than ``COMMON`` of them weigh nothing.  A
+documents, and words in more than ``COMMON`` of them (and in
+more than ``RARE``) weigh nothing.  A
 randomised SVD of the benchmark's passages (up to ``ITEM_PASSAGE`` words each)
 gives ``RANK`` latent directions.  Every window of ``PASSAGE`` words of every
 document is compared with every benchmark passage by the cosine of the window
@@ -42,7 +43,7 @@ STRIDE = 8
 HASH_BITS = 16
 RANK = 256
 POWER_ROUNDS = 2
-COMMON = 0.05
+COMMON, RARE = 0.05, 10.0  # share of documents from which a word weighs nothing, in more than RARE of them
 COSINE = 0.28
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
@@ -155,7 +156,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     df = np.zeros(1 << HASH_BITS)
     df[pairs["bucket"].to_numpy(np.int64)] = pairs["n"]
-    return np.where(df > max(1.0, COMMON * n), 0.0, np.log((n + 1) / (df + 1)) + 1e-3)
+    return np.where(df > max(RARE, COMMON * n), 0.0, np.log((n + 1) / (df + 1)) + 1e-3)
 
 
 def latent_directions(items: DataFrame, idf: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaklens.llm.graph import written
+
 SAMPLE_PAGES = 12
 TEMPLATE_PAGES = 6      # distinct pages needed before a constant text counts as template
 LINK_SHARE = 0.6
@@ -234,7 +236,8 @@ def extract(pages: DataFrame) -> DataFrame:
     def infer(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [_summary(list(pdf["html"]))]})
 
-    wrappers = sample.groupBy("host").applyInPandas(infer, "host string, wrapper string")
+    # a written table has a known size, by which the planner joins it
+    wrappers = written(sample.groupBy("host").applyInPandas(infer, "host string, wrapper string"), "wrappers")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, dict] = {}
