@@ -18,7 +18,7 @@ from leaklens.sources import files, sinks
 from leaklens.sources.adapters import cte
 
 _CAT = cte("catalogue_raw") + """, cat AS (SELECT fetch_pos, name, slug,
- coalesce(TRY_CAST(replace(downloads, ',', '') AS INTEGER), 0) AS num_downloads FROM catalogue_raw)
+ coalesce(TRY_CAST(replace(downloads, ',', '') AS BIGINT), 0) AS num_downloads FROM catalogue_raw)
 """
 _RANKED = _CAT + "SELECT * FROM cat ORDER BY num_downloads DESC, fetch_pos "
 
@@ -67,7 +67,7 @@ def s1(t):
         .select(F.struct("page").alias("info"), "plugins"))
     docs.write.mode("overwrite").json(path)
     pages = ingest.read_catalogue_pages(spark, path, multi_line=False)
-    return pages.select("page", "slug", "downloaded")
+    return pages.select("page", "slug", F.coalesce("downloaded", F.lit(0)).alias("downloaded"))
 
 
 @query("s2_s3_catalogue_csv_roundtrip", "S2 S3 P1", _RANKED.replace("SELECT * FROM cat", "SELECT name, slug, num_downloads FROM cat")

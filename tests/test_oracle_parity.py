@@ -11,8 +11,11 @@ from leaklens.sources.adapters import BASE_TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from leaklens.plans import REGISTRY
+
+# the corpus operators have tests of their own
+QUERIES = {k: v for k, v in entry.queries().items() if k in REGISTRY}
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in REGISTRY}
 
 
 def _norm(v):
