@@ -43,6 +43,8 @@ DECAY = 0.8
 LANDMARKS = 192
 TRAIN_ROWS = 1500
 MAX_TRAIN_WORDS = 1000
+PIECE = 20_000          # words whose kernel is computed at once
+FAINT = 0.02            # smaller kernels count as zero in training
 LONGEST = 24            # longer words are read in overlapping windows
 COST, NEGATIVE = 1000.0, 6.0    # of each kind of toxic words; of each other word
 POWER = 3               # of the normalised kernel: sharper, and still a kernel
@@ -133,6 +135,10 @@ class Model:
 
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, landmark, normalised kernel) of the pairs that take part."""
+        if len(words) > PIECE:
+            parts = [self.kernel(words[a:a + PIECE]) for a in range(0, len(words), PIECE)]
+            w = np.concatenate([p[0] + i * PIECE for i, p in enumerate(parts)])
+            return w, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         codes = _codes(words, LONGEST)
         have = np.ascontiguousarray(_pairs(codes, 1).T)
         w, z = [], []
@@ -182,7 +188,7 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 25) -> np.nd
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         active = y * (x @ w) < 1
-        xa, ca = x[active], c[active]
+        xa, ca = x[active].astype(np.float64), c[active]
         new = np.linalg.solve(ridge + xa.T @ (xa * ca[:, None]), xa.T @ (ca * y[active]))
         if np.allclose(new, w, atol=1e-9):
             break
@@ -234,6 +240,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
     words = sorted(set(hits) | set(rest) | set(marred))
     index = {w: i for i, w in enumerate(words)}
     w, z, k = model.kernel(words)
+    near = k >= FAINT
+    w, z, k = w[near], z[near], k[near]
     gram = np.zeros((len(chosen), len(chosen)))
     zw, zz, zk = model.kernel(chosen)
     gram[zw, zz] = zk
@@ -243,9 +251,11 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
     related = np.unique(w)
     row = np.full(len(words), len(related))
     row[related] = np.arange(len(related))
-    dense = np.zeros((len(related) + 1, len(chosen)))
+    features = np.ones((len(related) + 1, root.shape[1] + 1), dtype=np.float32)
+    dense = np.zeros((len(related) + 1, len(chosen)), dtype=np.float32)
     dense[row[w], z] = k
-    features = np.column_stack([dense @ root, np.ones(len(dense))])
+    features[:, :-1] = dense @ root.astype(np.float32)
+    del dense, w, z, k, near
     rows = [np.array([index[x] for x in bag], dtype=np.int64) for bag in bags]
     down = np.unique(np.concatenate([row[r] for r, t in zip(rows, toxic) if not t] or [row[:0]]))
     margin = np.array([odds.get(x, -9.0) + np.log1p(hits[x]) for x in words])
