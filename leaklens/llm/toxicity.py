@@ -44,6 +44,7 @@ LANDMARKS = 192
 TRAIN_ROWS = 1500
 MAX_TRAIN_WORDS = 1000
 PIECE = 20_000          # words whose kernel is computed at once
+MARRED = 6              # about so many documents with a marred word fit the logistic curve
 FAINT = 0.02            # smaller kernels count as zero in training
 LONGEST = 24            # longer words are read in overlapping windows
 COST, NEGATIVE = 1000.0, 6.0    # of each kind of toxic words; of each other word
@@ -275,7 +276,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
         peak = np.array([max((value[x] for x in bag), default=model.bias) for bag, _ in aside])
         toxic = np.array([t for _, t in aside])
         # a few toxic documents also with a character inserted into its strongest word
-        best = [max(bag, key=value.__getitem__) for bag, t in aside if t and bag][::80]
+        best = [max(bag, key=value.__getitem__) for bag, t in aside if t and bag]
+        best = best[::max(1, len(best) // MARRED)]
         marred = model.margins([w[:len(w) // 2] + "x" + w[len(w) // 2:] for w in best]) if best else np.zeros(0)
         peak, toxic = np.concatenate([peak, marred]), np.concatenate([toxic, np.ones(len(marred), np.int64)])
     else:       # too few documents to set some aside
