@@ -38,11 +38,17 @@ BLOCK = 1024
 ROUNDS = 8
 
 
-def _unit(rows: list[bytes]) -> np.ndarray:
-    x = np.stack([np.frombuffer(r, "<f8") for r in rows])
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by a power of two first, so that the squares
+    of very large or very small components stay in range."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _unit(rows: list[bytes]) -> np.ndarray:
+    return _normed(np.stack([np.frombuffer(r, "<f8") for r in rows]))
+
+
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :])
 
@@ -163,7 +169,7 @@ def _links(reps: DataFrame, n: int, most: int, cosine: float, radius: float) ->
     draw = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 40)) < int(share * (1 << 40))
     sample = reps.filter(draw).select("rep", "x").orderBy("rep").toPandas()     # about SAMPLE rows
     x = np.array([np.asarray(v, dtype=np.float64) for v in sample["x"]]) if len(sample) else np.ones((1, reps.first()["dim"]))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = _normed(x)
     lists = min(MOST_LISTS, max(4, math.ceil(most / LIST_SIZE)))
     index = reps.sparkSession.sparkContext.broadcast(Index(x, lists))
 

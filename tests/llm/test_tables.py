@@ -102,12 +102,13 @@ def test_embeddings_equal_brute_force(spark):
             rows.append((n, v.tolist(), label))
             n += 1
     rows += [(5000 + i, rows[0][1], 0) for i in range(5)] + [(5100, [2 * x for x in rows[0][1]], 0), (5101, rows[0][1], None)]
+    rows += [(5200, [x * 1e200 for x in rows[0][1]], 0), (5201, [x * 1e-200 for x in rows[0][1]], 0)]
     rows += [(6000, None, 0), (6001, [], 0), (6002, [0.0] * 16, 0), (6003, [math.nan] + [1.0] * 15, 0), (6004, [None] + [1.0] * 15, 0),
              (6005, [math.inf] + [1.0] * 15, 0), (6006, rows[0][1][:8], 0), (None, rows[0][1], 0)]
     table = spark.createDataFrame([(i, v, lab, 1) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, rep int")
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
     assert len(got) == len(rows)
-    usable = [(i, np.array(v), lab) for i, v, lab in rows if i is not None and i < 6000 and lab is not None]
+    usable = [(i, np.array(v) / max(map(abs, v)), lab) for i, v, lab in rows if i is not None and i < 6000 and lab is not None]
     links, root = {i: 0 for i, _, _ in rows}, {i: i for i, _, _ in rows}
     for k, (i, v, lab) in enumerate(usable):
         for j, w, other in usable[:k]:
