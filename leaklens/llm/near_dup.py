@@ -148,9 +148,10 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
 
 def _with_sets(docs: DataFrame, info: DataFrame, n: int) -> DataFrame:
     """``info`` (node, ...) with ``shingles``, the packed set of the occurrence-
-    tagged shingles of the document."""
+    tagged shingles of the document; one row per node."""
     names = info.columns
     rows = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("__text")).join(info.hint("merge"), "node")
+    rows = rows.dropDuplicates(["node"])
     schema = T.StructType([*info.schema.fields, T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +216,6 @@ def _links(docs: DataFrame, family: DataFrame, n: int, threshold: float) -> Data
         ((blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PIVOTS)).alias("pivot"))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node")
         return _forest(pdf["node"].to_numpy(), _linked(list(pdf["shingles"]), threshold))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +223,7 @@ def _links(docs: DataFrame, family: DataFrame, n: int, threshold: float) -> Data
         linked = _linked(list(pdf["shingles"]), threshold)
         return _forest(pdf["node"].to_numpy(), linked)
 
-    placed = _with_sets(docs, info, n)
+    placed = written(_with_sets(docs, info, n), "near-sets")      # the texts of all documents move once
     copies = placed.withColumn("block", F.explode(F.when(
         F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
     links = written(copies.select("packed", "g", "block", "node", "shingles").groupBy("packed", "g", "block")
@@ -242,7 +242,7 @@ def _links(docs: DataFrame, family: DataFrame, n: int, threshold: float) -> Data
     i, j = F.pmod(F.xxhash64("node", F.lit(2)), far), F.pmod(F.xxhash64("node", F.lit(3)), near)
     as_member = rest.select("node", "family", F.explode(F.sequence(F.lit(0), far - 1)).alias("i"), j.alias("j"))
     as_rest = rest.filter("root <> most").select("node", "family", i.alias("i"), F.explode(F.sequence(F.lit(0), near - 1)).alias("j"))
-    sets = _with_sets(docs, rest.select("node"), n).dropDuplicates(["node"])
+    sets = placed.filter(F.col("size") > BLOCK).select("node", "shingles")
     pairs = as_member.union(as_rest).join(sets, "node")
     more = pairs.select("family", "i", "j", "node", "shingles").groupBy("family", "i", "j").applyInPandas(across, "a long, b long")
     return links.union(written(more, "near-links"))
