@@ -3,9 +3,11 @@
 U4: two warehouses built in parallel both number runs from 0.  The merge
 shifts every run key of the incoming shard - in the runs AND in the tables
 that reference them - by ``max(base run_id) + 1`` and appends all tables.
-The offset is a scalar subquery (one tiny aggregate, evaluated once and
-inlined), not a join.  ``faithful=True`` reproduces the reference's
-``max`` offset (which collides: ids start at 0) for comparison.
+Tables with ids of their own (``finding_id``) are shifted past the base
+table's ids in the same way.  Without base rows the shift is 0.  An offset is
+a scalar subquery (one tiny aggregate, evaluated once and inlined), not a
+join.  ``faithful=True`` reproduces the reference's ``max`` offset (which
+collides: ids start at 0) for comparison.
 
 Routes and their arguments need no shift here: their ids are W3 hash keys
 of (plugin, action, priv), equal in every shard for the same route, so the
@@ -20,21 +22,28 @@ from pyspark.sql import functions as F
 from leaklens.session import checkpoint_dir
 
 
-def run_offset(base_runs: DataFrame, faithful: bool = False) -> Column:
-    m = base_runs.select(F.max("run_id")).scalar()
-    return m if faithful else m + F.lit(1)
+def id_offset(base: DataFrame, faithful: bool = False, col: str = "run_id") -> Column:
+    """What is added to a shard's ids; 0 where the base has none."""
+    top = F.max(col) if faithful else F.max(col) + F.lit(1)
+    return base.select(F.coalesce(top, F.lit(0))).scalar()
 
 
-def shift_runs(df: DataFrame, offset: Column, col: str = "run_id") -> DataFrame:
+def shift_ids(df: DataFrame, offset: Column, col: str = "run_id") -> DataFrame:
     return df.withColumn(col, F.col(col) + offset)
 
 
 def merge_shard(base_runs: DataFrame, shard_runs: DataFrame, base_children: list[DataFrame],
                 shard_children: list[DataFrame], faithful: bool = False) -> tuple[DataFrame, list[DataFrame]]:
-    """U4: merged runs and merged child tables (each child has ``run_id``)."""
-    off = run_offset(base_runs, faithful)
-    runs = base_runs.unionByName(shift_runs(shard_runs, off))
-    children = [b.unionByName(shift_runs(s, off)) for b, s in zip(base_children, shard_children)]
+    """U4: merged runs and merged child tables (each child has ``run_id``,
+    and maybe a ``finding_id``, which is shifted too)."""
+    off = id_offset(base_runs, faithful)
+    runs = base_runs.unionByName(shift_ids(shard_runs, off))
+    children = []
+    for base, shard in zip(base_children, shard_children):
+        shard = shift_ids(shard, off)
+        if "finding_id" in base.columns:
+            shard = shift_ids(shard, id_offset(base, faithful, "finding_id"), "finding_id")
+        children.append(base.unionByName(shard))
     return runs, children
 
 

@@ -34,8 +34,12 @@ from leaklens.operators.static_scan import IDENT, WS, slug_of
 # Our textual contract for the route-finding rules (the reference uses an
 # AST matcher); blanks are the explicit WS class shared with the oracle.
 CALLBACK_RE = rf"""add_action{WS}*\({WS}*(['"]wp_ajax[^'"]*['"]){WS}*,{WS}*['"]([^'"]+)['"]{WS}*\)"""
-SECOND_ARG_RE = (rf"""add_action{WS}*\({WS}*(['"]wp_ajax[^'"]*['"]){WS}*,{WS}*"""
-                 rf"""((?:function(?s:.*?)\}})|[^)]*){WS}*\)""")
+REG_HEAD_RE = rf"""add_action{WS}*\({WS}*(['"]wp_ajax[^'"]*['"]){WS}*,{WS}*"""
+# Source text as tokens that leave nothing out: strings, comments, brackets and
+# commas each on their own, plain text in runs.  Possessive, so that Java does
+# not recurse on long strings; the language is the same without.
+TOKEN_RE = (r"""'[^'\\]*+(?:\\(?s:.)[^'\\]*+)*+'|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|//[^\n]*+|#[^\n]*+|/\*(?s:.*?)\*/"""
+            r"""|[^'"#/(){}\[\],]++|(?s:.)""")
 FUNC_HEAD_RE = rf"function{WS}+({IDENT}){WS}*\("
 REGEX_META_RE = r"[\\.^$|?*+()\[\]{}]"
 
@@ -69,15 +73,38 @@ def callback_routes(files: DataFrame) -> DataFrame:
     return last.select("plugin_slug", "hook", "callback", action.alias("action"), priv.alias("priv"))
 
 
+def first_argument_length(text: str) -> F.Column:
+    """Characters of the call argument that ``text`` starts with: up to the
+    first comma or closing parenthesis outside all brackets, strings and
+    comments; NULL where there is none."""
+    opened = lambda t: F.when(t.isin("(", "{", "["), 1).when(t.isin(")", "}", "]"), -1).otherwise(0)
+
+    def step(s, t):
+        ends = s["done"] | ((s["depth"] == 0) & t.isin(",", ")"))
+        return F.struct(F.when(ends, s["depth"]).otherwise(s["depth"] + opened(t)).alias("depth"),
+                        F.when(ends, s["size"]).otherwise(s["size"] + F.length(t)).alias("size"), ends.alias("done"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN_RE), F.lit(0)), start, step,
+                       lambda s: F.when(s["done"], s["size"]))
+
+
 def second_arguments(files: DataFrame) -> DataFrame:
     """D12 + W4 + P8 (closure branch): the last registration per (plugin,
-    hook) with its second argument, flagged by F11 (is it a closure?)."""
-    m = files.select(
-        "path", slug_of("path").alias("plugin_slug"),
-        F.arrays_zip(F.regexp_extract_all("content", F.lit(SECOND_ARG_RE), 1).alias("hook"),
-                     F.regexp_extract_all("content", F.lit(SECOND_ARG_RE), 2).alias("closure")).alias("z"))
-    regs = m.select("plugin_slug", "path", F.posexplode("z").alias("n", "r")).select(
-        "plugin_slug", "path", "n", "r.hook", "r.closure")
+    hook) with its whole second argument, flagged by F11 (is it a closure?).
+
+    The text after a registration's head is read to the end of the file if
+    need be; a call that never closes is no registration."""
+    parts = (files.filter(F.col("content").rlike(REG_HEAD_RE))
+             .select("path", slug_of("path").alias("plugin_slug"), F.split("content", rf"(?={REG_HEAD_RE})").alias("parts")))
+    tails = parts.select("plugin_slug", "path", F.posexplode(F.transform(
+        "parts", lambda p, i: F.array_join(F.slice("parts", i + 1, F.size("parts") - i), ""))).alias("n", "tail"))
+    heads = (tails.filter(F.col("tail").rlike(rf"\A{REG_HEAD_RE}"))
+             .select("plugin_slug", "path", "n", F.regexp_extract("tail", rf"\A{REG_HEAD_RE}", 1).alias("hook"),
+                     F.regexp_replace("tail", rf"\A{REG_HEAD_RE}", "").alias("rest"))
+             .withColumn("size", first_argument_length("rest")).filter("size is not null"))
+    regs = heads.select("plugin_slug", "path", "n", "hook",
+                        F.regexp_replace(F.expr("substring(rest, 1, size)"), rf"{WS}+\z", "").alias("closure"))
     last = last_per_hook(regs, ["path", "n"], ["closure"])
     action, priv = hook_to_route_closure("hook")
     return last.select("plugin_slug", "hook", "closure", action.alias("action"), priv.alias("priv"),

@@ -198,31 +198,35 @@ _SHARDS = cte("semgrep_runs", "findings_semgrep") + """, a_runs AS (SELECT * FRO
 , b0 AS (SELECT * FROM semgrep_runs WHERE run_id % 2 = 1)
 , b_runs AS (SELECT run_id - (SELECT min(run_id) FROM b0) AS run_id, plugin_slug, error_count, errors FROM b0)
 , a_f AS (SELECT finding_id, run_id, rule_id FROM findings_semgrep WHERE run_id % 2 = 0)
-, b_f AS (SELECT finding_id, run_id - (SELECT min(run_id) FROM b0) AS run_id, rule_id FROM findings_semgrep WHERE run_id % 2 = 1)
+, b_f0 AS (SELECT finding_id, run_id, rule_id FROM findings_semgrep WHERE run_id % 2 = 1)
+, b_f AS (SELECT finding_id - (SELECT min(finding_id) FROM b_f0) AS finding_id, run_id - (SELECT min(run_id) FROM b0) AS run_id, rule_id FROM b_f0)
 """
 
 
 def _shards(t):
-    """Stand-in: the runs split into two shard warehouses, the second
-    numbered from 0 again (as an independent loader would)."""
+    """Stand-in: the runs split into two shard warehouses, the second's runs
+    and findings numbered from 0 again (as an independent loader would)."""
     r, f = t["semgrep_runs"], t["findings_semgrep"].select("finding_id", "run_id", "rule_id")
     b0 = r.filter(F.col("run_id") % 2 == 1)
     base = b0.select(F.min("run_id")).scalar()
     a_runs = r.filter(F.col("run_id") % 2 == 0)
     b_runs = b0.withColumn("run_id", F.col("run_id") - base)
     a_f = f.filter(F.col("run_id") % 2 == 0)
-    b_f = f.filter(F.col("run_id") % 2 == 1).withColumn("run_id", F.col("run_id") - base)
+    b_f0 = f.filter(F.col("run_id") % 2 == 1)
+    first = b_f0.select(F.min("finding_id")).scalar()
+    b_f = b_f0.withColumn("run_id", F.col("run_id") - base).withColumn("finding_id", F.col("finding_id") - first)
     return a_runs, b_runs, a_f, b_f
 
 
 @query("u4_merge_shards_fixed", "U4",
-       _SHARDS + """, off AS (SELECT max(run_id) + 1 AS o FROM a_runs)
+       _SHARDS + """, off AS (SELECT max(run_id) + 1 AS o FROM a_runs), foff AS (SELECT max(finding_id) + 1 AS o FROM a_f)
 SELECT 'run' AS kind, run_id, plugin_slug AS ref FROM a_runs
 UNION ALL SELECT 'run', run_id + (SELECT o FROM off), plugin_slug FROM b_runs
 UNION ALL SELECT 'finding', run_id, CAST(finding_id AS STRING) FROM a_f
-UNION ALL SELECT 'finding', run_id + (SELECT o FROM off), CAST(finding_id AS STRING) FROM b_f""")
+UNION ALL SELECT 'finding', run_id + (SELECT o FROM off), CAST(finding_id + (SELECT o FROM foff) AS STRING) FROM b_f""")
 def u4(t):
-    """U4 fixed: shard runs shifted by max+1 in runs AND findings, all appended."""
+    """U4 fixed: shard runs shifted by max+1 in runs AND findings, findings by
+    their own max+1, all appended."""
     a_runs, b_runs, a_f, b_f = _shards(t)
     runs, (fnd,) = merge.merge_shard(a_runs, b_runs, [a_f], [b_f], faithful=False)
     return (runs.select(F.lit("run").alias("kind"), "run_id", F.col("plugin_slug").alias("ref"))

@@ -100,11 +100,28 @@ def d11(t):
     return routes.callback_routes(php_files(t))
 
 
+# Second arguments: tokens numbered, bracket depth as a running sum.  RE2 has no
+# possessive repeats; the tokens are the same without them.
+_REG = routes.REG_HEAD_RE
+_TOKEN = sql_str(routes.TOKEN_RE.replace("*+", "*").replace("++", "+"))
+_SECOND_ARGS = f""", pcs AS (SELECT plugin_slug, path, string_split(regexp_replace(content, {sql_str('(' + _REG + ')')}, chr(1) || '\\1', 'g'), chr(1)) AS p
+ FROM f WHERE regexp_matches(content, {sql_str(_REG)}))
+, tails AS (SELECT plugin_slug, path, n, array_to_string(p[n:], '') AS tail FROM (SELECT *, unnest(generate_series(1, len(p))) AS n FROM pcs))
+, heads AS (SELECT plugin_slug, path, n, regexp_extract(tail, {sql_str('^' + _REG)}, 1) AS hook, regexp_replace(tail, {sql_str('^' + _REG)}, '') AS rest
+ FROM tails WHERE regexp_matches(tail, {sql_str('^' + _REG)}))
+, toks AS (SELECT plugin_slug, path, n, hook, unnest(t) AS tok, generate_subscripts(t, 1) AS i
+ FROM (SELECT *, regexp_extract_all(rest, {_TOKEN}) AS t FROM heads))
+, deep AS (SELECT *, coalesce(sum(CASE WHEN tok IN ('(', '{{', '[') THEN 1 WHEN tok IN (')', '}}', ']') THEN -1 ELSE 0 END)
+ OVER (PARTITION BY path, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM toks)
+, ends AS (SELECT path, n, min(i) AS stop FROM deep WHERE depth = 0 AND tok IN (',', ')') GROUP BY path, n)
+, regs AS (SELECT deep.plugin_slug, deep.path, deep.hook, deep.n,
+ regexp_replace(coalesce(string_agg(tok, '' ORDER BY i) FILTER (WHERE i < stop), ''), {sql_str(WS + '+$')}, '') AS closure
+ FROM deep JOIN ends ON ends.path = deep.path AND ends.n = deep.n GROUP BY ALL)
+"""
+
+
 @query("d12_f11_closure_routes", "D12 F11 P8 P14",
-       _F + f""", regs AS (SELECT plugin_slug, path, unnest(regexp_extract_all(content, {sql_str(routes.SECOND_ARG_RE)}, 1)) AS hook,
- unnest(regexp_extract_all(content, {sql_str(routes.SECOND_ARG_RE)}, 2)) AS closure,
- generate_subscripts(regexp_extract_all(content, {sql_str(routes.SECOND_ARG_RE)}, 1), 1) AS n FROM f)
-, lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
+       _F + _SECOND_ARGS + f""", lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
 , c AS (SELECT plugin_slug, hook, closure, replace(trim(hook, '''"'), 'wp_ajax_', '') AS a0 FROM lastreg WHERE starts_with(closure, 'function'))
 SELECT plugin_slug, hook, CASE WHEN starts_with(a0, 'nopriv_') THEN replace(a0, 'nopriv_', '') ELSE a0 END AS action,
  NOT starts_with(a0, 'nopriv_') AS priv, n_args FROM (SELECT *, CAST(len(regexp_extract_all(closure, {_P14}, 1)) AS INTEGER) AS n_args FROM c)""")
@@ -114,14 +131,8 @@ def d12(t):
         "plugin_slug", "hook", "action", "priv", F.size("args").alias("n_args"))
 
 
-_SECOND = sql_str(routes.SECOND_ARG_RE)
-
-
 @query("d12_w4_second_arguments", "D12 W4 F11 P8",
-       _F + f""", regs AS (SELECT plugin_slug, path, unnest(regexp_extract_all(content, {_SECOND}, 1)) AS hook,
- unnest(regexp_extract_all(content, {_SECOND}, 2)) AS closure,
- generate_subscripts(regexp_extract_all(content, {_SECOND}, 1), 1) AS n FROM f)
-, lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
+       _F + _SECOND_ARGS + """, lastreg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug, hook ORDER BY path DESC, n DESC) AS rn FROM regs) WHERE rn = 1)
 , c AS (SELECT plugin_slug, hook, closure, replace(trim(hook, '''"'), 'wp_ajax_', '') AS a0 FROM lastreg)
 SELECT plugin_slug, hook, closure, CASE WHEN starts_with(a0, 'nopriv_') THEN replace(a0, 'nopriv_', '') ELSE a0 END AS action,
  NOT starts_with(a0, 'nopriv_') AS priv, starts_with(closure, 'function') AS is_closure FROM c""")

@@ -90,8 +90,14 @@ SELECT o_orderkey AS attempt_id, 'plugin-' || CAST(o_custkey AS STRING) AS plugi
 
 ADAPTERS["source_files"] = """
 SELECT 'plugins/' || source || CASE doc_id % 5 WHEN 0 THEN '/vendor/' WHEN 1 THEN '/tests/' ELSE '/inc/' END || CAST(doc_id AS STRING) || CASE doc_id % 7 WHEN 0 THEN '.js' ELSE '.php' END AS path,
- '$log = $base . "/my-log.txt";' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'file_put_contents($log, $x);' WHEN 1 THEN '$fh = fopen($log, "a");' || chr(10) || 'fwrite($fh, 1);'
-  WHEN 2 THEN 'define( ''WP_DEBUG'', true );' ELSE 'add_action(''wp_ajax_nopriv_save_' || CAST(doc_id AS STRING) || ''', ''cb_' || CAST(doc_id AS STRING) || ''');' END || chr(10) ||
+ '$log = $base . "/my-log.txt";' || chr(10) || CASE doc_id % 12 WHEN 0 THEN 'file_put_contents($log, $x);' WHEN 1 THEN '$fh = fopen($log, "a");' || chr(10) || 'fwrite($fh, 1);'
+  WHEN 2 THEN 'define( ''WP_DEBUG'', true );' WHEN 3 THEN '$fh = fopen($log, "a");' || chr(10) || 'fprintf($fh, "x");'
+  WHEN 4 THEN '$fh = fopen($log, "a");' || chr(10) || 'fputs($fh, "x");' WHEN 5 THEN '$up = wp_upload_dir();' || chr(10) || '$p = "/wp-content/uploads";'
+  WHEN 6 THEN 'define("WP_DEBUG_LOG", TRUE);'
+  WHEN 7 THEN 'add_action(''wp_ajax_list_' || CAST(doc_id AS STRING) || ''', function() { usort($r, function($a, $b) { return 1; }); $b = $_GET[''two'']; /* ) */ $c = $_POST["a)b"]; }, 10, 2);'
+  WHEN 8 THEN 'add_action( "wp_ajax_nopriv_any_' || CAST(doc_id AS STRING) || '", "cb_' || CAST(doc_id AS STRING) || '[0-9]?" );'
+  WHEN 9 THEN 'add_action(''wp_ajax_del_' || CAST(doc_id AS STRING) || ''', array($this, ''del''), 5);'
+  ELSE 'add_action(''wp_ajax_nopriv_save_' || CAST(doc_id AS STRING) || ''', ''cb_' || CAST(doc_id AS STRING) || ''');' END || chr(10) ||
  'function cb_' || CAST(doc_id AS STRING) || '() { $a = $_POST[''k' || CAST(doc_id % 3 AS STRING) || '''] . $_GET["q"]; }' || chr(10) || text AS content FROM documents
 """
 

@@ -124,6 +124,13 @@ def test_shard_merge_offset(spark):
     faithful, _ = merge.merge_shard(a, b, [], [], faithful=True)
     assert sorted(r[0] for r in fixed.select("run_id").collect()) == [0, 1, 2, 3]
     assert sorted(r[0] for r in faithful.select("run_id").collect()) == [0, 1, 1, 2]
+    found_a = spark.createDataFrame([(1, 0), (2, 1)], "finding_id long, run_id long")
+    found_b = spark.createDataFrame([(1, 0), (2, 1)], "finding_id long, run_id long")
+    _, (found,) = merge.merge_shard(a, b, [found_a], [found_b])
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (4, 2), (5, 3)]
+    runs, (found,) = merge.merge_shard(a.limit(0), b, [found_a.limit(0)], [found_b])
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1)]
+    assert sorted(map(tuple, runs.collect())) == [(0, "r"), (1, "s")]
 
 
 def test_division_by_zero_gives_null(spark):

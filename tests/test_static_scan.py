@@ -71,3 +71,32 @@ def test_routes_closures_and_callbacks(spark):
     assert cb == [("'wp_ajax_load'", "cb_load2", "load", True)]          # last registration wins (W4)
     args = sorted((r["fname"], r["method"], r["arg"]) for r in routes.callback_arguments(files, faithful=False).collect())
     assert args == [("cb_load2", "FILES", "up"), ("cb_load2", "GET", "q")]
+
+
+def test_second_argument_is_read_whole(spark):
+    from leaklens.operators import routes
+
+    php = "\n".join([
+        "add_action('wp_ajax_a', function() { usort($r, function($a, $b) { return f($a); }); $b = $_GET['two']; }, 10, 2);",
+        "add_action('wp_ajax_b', array($this, 'run'), 5);",
+        "add_action('wp_ajax_c', function() { $s = ') } ,'; // don't ) stop",
+        "  /* } ) */ add_action('wp_ajax_d', 'inner'); $x = $_POST[\"x\"]; } );",
+        "add_action('wp_ajax_e', function() { $never = $_POST['closed'];"])
+    files = spark.createDataFrame([("plugins/p/a.php", php), ("plugins/p/b.php", None), ("plugins/p/c.php", "")], "path string, content string")
+    got = {r.hook: r.closure for r in routes.second_arguments(files).collect()}
+    assert set(got) == {"'wp_ajax_a'", "'wp_ajax_b'", "'wp_ajax_c'", "'wp_ajax_d'"}
+    assert got["'wp_ajax_a'"].endswith("$_GET['two']; }") and got["'wp_ajax_b'"] == "array($this, 'run')"
+    assert got["'wp_ajax_c'"].endswith('$_POST["x"]; }') and got["'wp_ajax_d'"] == "'inner'"
+    args = {(r.hook, a.arg) for r in routes.closure_routes(files).collect() for a in r.args}
+    assert args == {("'wp_ajax_a'", "two"), ("'wp_ajax_c'", "x")}
+
+
+def test_every_rule_and_a_closure_occur_in_the_test_tables(spark):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+
+    queries = entry.queries()
+    rules = {r.rule_id for r in queries["s8_scan_all_rules"](spark, SF_SMALL).select("rule_id").distinct().collect()}
+    assert rules == set(static_scan.LINE_RULES) | {r for r, _ in static_scan.VAR_RULES.values()}
+    closures = queries["d12_f11_closure_routes"](spark, SF_SMALL).collect()
+    assert closures and {r.n_args for r in closures} == {2}
