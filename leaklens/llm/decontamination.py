@@ -1,8 +1,7 @@
 """Operator 4: benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over hashed words; document frequencies count all
-documents, and words in more than ``COMMON`` of them (and in
-more than ``RARE``) weigh nothing.  A
+distinct texts, and no word weighs less than 1, however many texts hold it.  A
 randomised SVD of the benchmark's passages (up to ``ITEM_PASSAGE`` words each)
 gives ``RANK`` latent directions.  Every window of ``PASSAGE`` words of every
 document is compared with every benchmark passage by the cosine of the window
@@ -43,7 +42,6 @@ STRIDE = 8
 HASH_BITS = 16
 RANK = 256
 POWER_ROUNDS = 2
-COMMON, RARE = 0.05, 10.0  # share of documents from which a word weighs nothing, in more than RARE of them
 COSINE = 0.28
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
@@ -151,19 +149,21 @@ def _power_step(texts: DataFrame, q: np.ndarray, used: np.ndarray, idf: np.ndarr
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """IDF weight of every hashed word over all of ``docs``."""
-    pairs = document_frequencies(docs).toPandas()       # at most 2^HASH_BITS rows
-    n = docs.count()
+    """Smoothed IDF weight (1 at least) of every hashed word over the distinct
+    texts of ``docs``: copies of a text count once, and a passage that many
+    texts share keeps its weight against itself."""
+    texts = docs.select("text").distinct()
+    pairs = document_frequencies(texts).toPandas()      # at most 2^HASH_BITS rows
+    n = docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0]
     df = np.zeros(1 << HASH_BITS)
     df[pairs["bucket"].to_numpy(np.int64)] = pairs["n"]
-    return np.where(df > max(RARE, COMMON * n), 0.0, np.log((n + 1) / (df + 1)) + 1e-3)
+    return 1 + np.log((max(n, df.max()) + 1) / (df + 1))
 
 
 def latent_directions(items: DataFrame, idf: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(used, directions): the hashed words of ``items`` that weigh something,
-    and the orthonormal (len(used), up to RANK) directions of its passages."""
+    """(used, directions): the hashed words of ``items``, and the orthonormal
+    (len(used), up to RANK) directions of its passages."""
     used = np.sort(document_frequencies(items).toPandas()["bucket"].to_numpy(np.int64))
-    used = used[idf[used] > 0]
     q = np.random.default_rng(seed).standard_normal((len(used), min(RANK, len(used))))
     for _ in range(POWER_ROUNDS if len(used) else 0):
         q, _ = np.linalg.qr(_power_step(items, q, used, idf))

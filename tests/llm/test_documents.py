@@ -134,6 +134,18 @@ def test_decontamination(spark, corpus):
     assert kept == {i for i, _, _ in rows} - {200, 201, 202, 203}
 
 
+def test_decontamination_of_items_in_a_third_of_the_rows(spark):
+    rng = random.Random(11)
+    shared, common = words(rng, 40), words(rng, 40, 12)     # common: words of every text below
+    rows = [(i, f"{words(rng, 60)} {words(rng, 30, 12)} {shared if i % 3 == 0 else ''} {words(rng, 30)}", "s") for i in range(90)]
+    rows += [(100 + i, f"{rows[1][1]} {shared}", "s") for i in range(30)]                   # exact copies
+    rows.append((200, f"{words(rng, 60)} {common} {words(rng, 30)}", "s"))
+    items = spark.createDataFrame([(1, shared), (2, common)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminations(frame(spark, rows), items).collect()}
+    want = {(i, 1) for i, t, _ in rows if shared in t} | {(200, 2)}
+    assert got & ({(i, 1) for i, _, _ in rows} | {(200, 2)}) == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
