@@ -5,8 +5,12 @@ distinct texts, and no word weighs less than 1, however many texts hold it.  A
 randomised SVD of the benchmark's passages (up to ``ITEM_PASSAGE`` words each)
 gives ``RANK`` latent directions.  Every window of ``PASSAGE`` words of every
 document is compared with every benchmark passage by the cosine of the window
-with the passage's latent approximation; a window whose weight on benchmark
-words alone bounds the cosine below ``COSINE`` is skipped.
+with the passage's latent approximation; a window is skipped if the most that
+each of its words adds to the cosine with any passage sums to less than
+``COSINE``.  A passage of which
+the directions hold less than ``CAPTURED`` of the length is compared by the
+cosine of the whole vectors instead, for the windows that share one of its rare
+words (without one of these the cosine cannot reach ``COSINE``).
 
 A candidate is checked on the words: the longest common subsequence of the
 item with the stretch of the document around the candidate windows must cover
@@ -27,6 +31,7 @@ document is; without benchmark items or documents the result is empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,7 @@ HASH_BITS = 16
 RANK = 256
 POWER_ROUNDS = 2
 COSINE = 0.28
+CAPTURED = 0.9
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
 ITEM_BLOCK = 2000
@@ -192,20 +198,105 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
-def _windows(words: W.Words, idf2: np.ndarray, known2: np.ndarray):
+def _most(table: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The largest product, 0 at least, of each row of ``table`` with any vector."""
+    most = np.zeros(len(table))
+    for a in range(0, len(table), 4096):
+        for b in range(0, len(vectors), 1024):
+            np.maximum(most[a:a + 4096], (table[a:a + 4096] @ vectors[b:b + 1024].T).max(axis=1), out=most[a:a + 4096])
+    return most
+
+
+def _windows(words: W.Words, idf2: np.ndarray, most: np.ndarray):
     """Blocks of STRIDE words, and the windows of them that may reach COSINE:
     (block of each word, first block, document, place, weight) of the windows."""
-    weight, blocks = _block_sums(words, np.column_stack([idf2, known2]), STRIDE)
+    weight, blocks = _block_sums(words, np.column_stack([idf2, most]), STRIDE)
     total, doc, place = _passages(weight, blocks, PASSAGE // STRIDE)
     start = np.concatenate([[0], np.cumsum(blocks)])
     first = start[doc] + place
-    hopeful = total[:, 1] >= COSINE**2 * total[:, 0]
+    hopeful = total[:, 1] >= (COSINE - 1e-4) * np.sqrt(total[:, 0])     # less the rounding of float32
     hopeful &= total[:, 1] > 0
     place_of = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
     block = np.repeat(start[:-1], np.diff(words.ptr)) + place_of // STRIDE
     return block, blocks, first[hopeful], doc[hopeful], place[hopeful], total[hopeful, 0]
 
 
+class _Whole(NamedTuple):
+    """Unit vectors of the passages that are compared as a whole."""
+    vector: np.ndarray      # place of each among all passages
+    left: np.ndarray        # length of the part of each vector outside the posts
+    words: np.ndarray       # buckets that have posts, sorted
+    ptr: np.ndarray         # posts of word i are ptr[i]:ptr[i+1]
+    at: np.ndarray          # passage of a post
+    value: np.ndarray
+    keys: np.ndarray        # passage << HASH_BITS | bucket of every entry, sorted
+    entries: np.ndarray
+
+
+def _entries(words: W.Words, passage: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage << HASH_BITS | bucket, TF-IDF) of the passages (first, last word)."""
+    first, last = passage
+    n = last - first
+    word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    keys, tf = np.unique((np.repeat(np.arange(len(n)), n) << HASH_BITS) | _buckets(words)[word], return_counts=True)
+    return keys, tf * idf[keys & ((1 << HASH_BITS) - 1)]
+
+
+def _whole(keys: np.ndarray, entries: np.ndarray, vector: np.ndarray) -> _Whole:
+    """The index of passages: posts for the rarest words of each, so that the
+    rest of its vector is shorter than half of COSINE."""
+    own, bucket = keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
+    norm = np.sqrt(np.bincount(own, entries**2, minlength=len(vector)))
+    value = entries / norm[own]
+    order = np.lexsort((value, own))
+    run = np.cumsum(value[order]**2)
+    head = np.searchsorted(own[order], np.arange(len(vector)))
+    run -= np.concatenate([[0], run])[head][own[order]]
+    posted = np.sort(order[run >= (COSINE / 2)**2])
+    rest = np.ones(len(keys), dtype=bool)
+    rest[posted] = False
+    left = np.sqrt(np.bincount(own[rest], value[rest]**2, minlength=len(vector)))
+    posted = posted[np.argsort(bucket[posted], kind="stable")]
+    seen, ptr = np.unique(bucket[posted], return_index=True)
+    return _Whole(vector, left, seen, np.append(ptr, len(posted)), own[posted], value[posted], keys, value)
+
+
+def _whole_cosines(whole: _Whole, bucket: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray,
+                   length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(window, passage, cosine) of at least COSINE for windows of the words
+    ``start`` to ``end``."""
+    at_word = np.full(1 << HASH_BITS, -1)
+    at_word[whole.words] = np.arange(len(whole.words))
+    posts = np.diff(whole.ptr)
+    row = at_word[bucket]
+    cost = np.concatenate([[0], np.cumsum(np.where(row >= 0, posts[row], 0))])
+    step = np.concatenate([[0], np.cumsum(cost[end] - cost[start])])
+    a = 0
+    while a < len(start):           # about a million posts at a time
+        b = max(a + 1, int(np.searchsorted(step, step[a] + (1 << 20), side="right")) - 1)
+        n = end[a:b] - start[a:b]
+        window = np.repeat(np.arange(a, b), n)
+        word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + start[window]
+        window, word = window[row[word] >= 0], word[row[word] >= 0]
+        n = posts[row[word]]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(whole.ptr[row[word]], n)
+        pair, inverse = np.unique(np.repeat(window, n) * len(whole.vector) + whole.at[post], return_inverse=True)
+        part = np.bincount(inverse, whole.value[post] * np.repeat(weight[word], n), minlength=len(pair))
+        window, passage = pair // len(whole.vector), pair % len(whole.vector)
+        near = part / length[window] + whole.left[passage] >= COSINE
+        window, passage = window[near], passage[near]
+        if len(window):
+            n = end[window] - start[window]
+            word = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[window], n)
+            key = (np.repeat(passage, n) << HASH_BITS) | bucket[word]
+            at = np.minimum(np.searchsorted(whole.keys, key), len(whole.keys) - 1)
+            value = np.where(whole.keys[at] == key, whole.entries[at], 0) * weight[word]
+            cosine = np.add.reduceat(value, np.cumsum(n) - n) / length[window]
+            near = cosine >= COSINE
+            yield window[near], whole.vector[passage[near]], cosine[near]
+        a = b
+
+
 def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | None:
     """Checked matches of one block of items."""
     rows = items.collect()
@@ -221,24 +312,35 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
     width = ITEM_PASSAGE // STRIDE
     vectors, owner, place = _passages(sums, blocks, width)
     chosen = (place % (width // 2) == 0) | (place == blocks[owner] - width)
+    vectors, owner, place = vectors[chosen], owner[chosen], place[chosen]
+    first = words.ptr[:-1][owner] + place * STRIDE
+    keys, entries = _entries(words, (first, np.minimum(first + ITEM_PASSAGE, words.ptr[1:][owner])), idf)
+    length = np.sqrt(np.bincount(keys >> HASH_BITS, entries**2, minlength=len(owner)))
+    low = np.linalg.norm(vectors, axis=1) < CAPTURED * length
+    mine = low[keys >> HASH_BITS]
+    renumbered = (np.cumsum(low) - 1)[keys[mine] >> HASH_BITS]
+    whole = _whole((renumbered << HASH_BITS) | (keys[mine] & ((1 << HASH_BITS) - 1)), entries[mine], np.flatnonzero(low))
+    most = np.zeros(1 << HASH_BITS)
+    most[used] = _most(table[used], _unit(vectors[~low]).astype(np.float32))
+    np.maximum.at(most, whole.keys & ((1 << HASH_BITS) - 1), whole.entries * idf[whole.keys & ((1 << HASH_BITS) - 1)])
     item_words = [words.hash[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
     ids = [r["item_id"] for r in rows]
     shipped = docs.sparkSession.sparkContext.broadcast(
-        (idf, used, table[used], _unit(vectors[chosen]), owner[chosen], item_words, ids))
+        (idf, most, used, table[used], _unit(vectors[~low]), owner[np.concatenate([np.flatnonzero(~low), np.flatnonzero(low)])],
+         whole._replace(vector=(~low).sum() + np.arange(low.sum())), item_words, ids))
     width = PASSAGE // STRIDE
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()),
                         ("first_word", pa.int64()), ("last_word", pa.int64()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, known, latent, vec, own, item, item_ids = shipped.value
+        weight, most, known, latent, vec, own, whole, item, item_ids = shipped.value
         idf2 = weight**2
         at_row = np.full(len(weight), -1)
         at_row[known] = np.arange(len(known))
-        known2 = np.where(at_row >= 0, idf2, 0.0)
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 words = W.split(part.column("text"))
-                block, blocks, first, doc, place, total = _windows(words, idf2, known2)
+                block, blocks, first, doc, place, total = _windows(words, idf2, most)
                 if not len(first):
                     continue
                 wanted = np.zeros(blocks.sum() + width, dtype=bool)
@@ -254,7 +356,7 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                 doc_ids = part.column("doc_id").cast(pa.int64()).to_pylist()
                 found: dict[tuple[int, int], list[tuple[int, float]]] = {}
                 ends = np.cumsum(blocks)[doc]
-                for a in range(0, len(first), 8192):
+                for a in range(0, len(first) if len(vec) else 0, 8192):
                     f = first[a:a + 8192]
                     mine = sums[at[f]]
                     for i in range(1, width):
@@ -262,6 +364,12 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                     cosine = (mine / np.sqrt(total[a:a + 8192])[:, None].astype(np.float32)) @ vec.T
                     for i, j in zip(*np.nonzero(cosine >= COSINE)):
                         found.setdefault((int(doc[a + i]), int(own[j])), []).append((int(place[a + i]), float(cosine[i, j])))
+                if len(whole.vector):
+                    start = words.ptr[doc] + place * STRIDE
+                    end = np.minimum(start + PASSAGE, words.ptr[doc + 1])
+                    for i, j, cosine in _whole_cosines(whole, _buckets(words), weight[_buckets(words)], start, end, np.sqrt(total)):
+                        for w, k, c in zip(i, own[j], cosine):
+                            found.setdefault((int(doc[w]), int(k)), []).append((int(place[w]), float(c)))
                 out = {name: [] for name in schema.names}
                 for (d, k), places in found.items():
                     best = _check(words.hash[words.ptr[d]:words.ptr[d + 1]], item[k], sorted(places))
@@ -289,10 +397,11 @@ def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
         else:
             stretches.append([a, b, cosine])
     reach = 2 * n + PASSAGE
+    shared = np.concatenate([[0], np.cumsum(np.isin(text, item))])     # a subsequence is no longer than this in its piece
     for a, b, cosine in stretches:
         for at in range(a, max(a + 1, min(b, len(text)) - reach // 2), reach // 2):
             part = text[at:at + reach]
-            if not len(part) or (np.isin(item, part).sum() < LCS_PARAPHRASE * n):
+            if not len(part) or shared[at + len(part)] - shared[at] < LCS_PARAPHRASE * n or (np.isin(item, part).sum() < LCS_PARAPHRASE * n):
                 continue
             common = _lcs(item, part)
             if common < LCS_PARAPHRASE * n or (best and common <= best[0]):

@@ -146,6 +146,21 @@ def test_decontamination_of_items_in_a_third_of_the_rows(spark):
     assert got & ({(i, 1) for i, _, _ in rows} | {(200, 2)}) == want
 
 
+@pytest.mark.parametrize("n_items, n_words", [(2900, 40), (300, 300)])
+def test_decontamination_against_many_items(spark, n_items, n_words):
+    rng = random.Random(12)
+    items = [(i, words(rng, n_words, 20000)) for i in range(n_items)]
+    rows, want = [], set()
+    for i in range(0, n_items, n_items // 60):
+        near = [w if rng.random() > 0.3 else f"w{rng.randrange(20000)}" for w in items[i][1].split()]
+        near[-6:] = items[i][1].split()[-6:]
+        rows += [(2 * i, f"{words(rng, 50, 20000)} {items[i][1]} {words(rng, 50, 20000)}", "s"),
+                 (2 * i + 1, f"{words(rng, 50, 20000)} {' '.join(near)} {words(rng, 50, 20000)}", "s")]
+        want |= {(2 * i, i), (2 * i + 1, i)}
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminations(frame(spark, rows), table).collect()} == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(50):
