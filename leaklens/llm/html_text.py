@@ -2,10 +2,11 @@
 
 A page is a stream of tokens: container tags (with class and id) and texts.
 For every host a wrapper, a regular expression without unions, is inferred
-from a bounded sample of its pages (``SAMPLE_PAGES`` by hash): equal sibling
-subtrees collapse into a repeated group, then the streams are aligned one after
-the other; tags that only some pages have become optional, texts that differ
-become slots, texts that are the same on every page stay template.
+from all its distinct pages: equal sibling subtrees collapse into a repeated
+group, then every task aligns its pages of a host one after the other, and the
+wrappers of the tasks are aligned; tags that only some pages have become
+optional, texts that differ become slots, texts that are the same on 90 % of the
+pages of their node (``TEMPLATE_PAGES`` at least) stay template.
 
 A slot holds main text unless its path says otherwise (menus, headers,
 footers, sidebars, notices, adverts, forms and comments by tag, role, class or
@@ -25,19 +26,22 @@ host share one wrapper.
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaklens.llm.graph import written
 
-SAMPLE_PAGES = 12
+HOSTS_HELD = 512        # hosts whose wrappers a task holds at once
 TEMPLATE_PAGES = 6      # distinct pages needed before a constant text counts as template
+TEMPLATE_VOTES = 0.8    # votes for a text, less those against it, of the pages of its node: on 90 % of them
 LINK_SHARE = 0.6
 
 _TOKEN = re.compile(
@@ -153,27 +157,57 @@ def _stream(blocks: list[tuple[str, str, int]]) -> list[tuple[str, str, bool]]:
     return out
 
 
+def _nodes(blocks: list[tuple[str, str, int]]) -> list[dict]:
+    """The wrapper of a single page."""
+    return [{"path": p, "text": t, "optional": False, "repeated": r, "top": t, "votes": 1, "n": 1} for p, t, r in _stream(blocks)]
+
+
+def _align(wrapper: list[dict], other: list[dict]) -> list[dict]:
+    """One wrapper for the pages of both.  A node has the number of its pages
+    (n) and the majority vote over their texts (top, votes): texts other than
+    ``top`` are on at most (n - votes) / 2 of them."""
+    merged: list[dict] = []
+    match = difflib.SequenceMatcher(None, [n["path"] for n in wrapper], [n["path"] for n in other], autojunk=False)
+    for kind, a, b, c, d in match.get_opcodes():
+        if kind == "equal":
+            for x, y in zip(wrapper[a:b], other[c:d]):
+                x, y = (x, y) if x["votes"] >= y["votes"] else (y, x)
+                votes, n = x["votes"] + (y["votes"] if x["top"] == y["top"] else -y["votes"]), x["n"] + y["n"]
+                merged.append({"path": x["path"], "text": x["top"] if votes == n else None, "top": x["top"] if votes else None,
+                               "votes": votes, "n": n, "optional": x["optional"] or y["optional"],
+                               "repeated": x["repeated"] or y["repeated"]})
+        else:
+            merged += [node | {"optional": True} for node in wrapper[a:b] + other[c:d]]
+    return merged
+
+
 def infer_wrapper(pages: list[list[tuple[str, str, int]]]) -> list[dict]:
     """The wrapper of aligned pages: nodes with path, text (None: a slot),
     optional and repeated."""
-    wrapper: list[dict] | None = None
-    for blocks in pages:
-        stream = _stream(blocks)
-        if wrapper is None:
-            wrapper = [{"path": p, "text": t, "optional": False, "repeated": r} for p, t, r in stream]
-            continue
-        merged: list[dict] = []
-        match = difflib.SequenceMatcher(None, [n["path"] for n in wrapper], [s[0] for s in stream], autojunk=False)
-        for kind, a, b, c, d in match.get_opcodes():
-            if kind == "equal":
-                for node, (_, text, repeated) in zip(wrapper[a:b], stream[c:d]):
-                    merged.append(node | {"text": text if node["text"] == text else None,
-                                          "repeated": node["repeated"] or repeated})
-            else:
-                merged += [node | {"optional": True} for node in wrapper[a:b]]
-                merged += [{"path": p, "text": t, "optional": True, "repeated": r} for p, t, r in stream[c:d]]
-        wrapper = merged
-    return wrapper or []
+    return reduce(_align, map(_nodes, pages)) if pages else []
+
+
+def _key(text: str) -> str:
+    """A text as wrappers hold it: long ones by their digest."""
+    return text if len(text) <= 40 else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _learn(blocks: list[tuple[str, str, int]]) -> dict:
+    """What one page tells of its host: wrapper nodes and, for each path, its
+    characters, those in links, and its blocks."""
+    chars: dict[str, list[int]] = {}
+    for path, text, linked in blocks:
+        n = chars.setdefault(path, [0, 0, 0])
+        n[0], n[1], n[2] = n[0] + len(text.replace(" ", "")), n[1] + linked, n[2] + 1
+    return {"nodes": _nodes([(p, _key(t), k) for p, t, k in blocks]), "chars": chars}
+
+
+def _join(one: dict | None, other: dict) -> dict:
+    if one is None:
+        return other
+    for path, n in other["chars"].items():
+        one["chars"][path] = [x + y for x, y in zip(one["chars"].get(path, (0, 0, 0)), n)]
+    return {"nodes": _align(one["nodes"], other["nodes"]), "chars": one["chars"]}
 
 
 def _is_bad(path: str) -> bool:
@@ -188,22 +222,13 @@ def _is_bad(path: str) -> bool:
     return False
 
 
-def _summary(pages: list[str]) -> str:
+def _summary(learnt: dict) -> str:
     """The parts of a host's wrapper that reading a page needs, as JSON."""
-    distinct = sorted(set(p for p in pages if p))
-    read = [read_blocks(p) for p in distinct]
-    wrapper = infer_wrapper(read)
-    chars: dict[str, list[int]] = {}
-    for blocks in read:
-        for path, text, linked in blocks:
-            n = chars.setdefault(path, [0, 0])
-            n[0] += len(text.replace(" ", ""))
-            n[1] += linked
-    links = sorted(p for p, (n, linked) in chars.items() if linked >= LINK_SHARE * n)
-    template = []
-    if len(distinct) >= TEMPLATE_PAGES:
-        template = sorted({f"{n['path']}\n{t}" for n in wrapper if n["text"] and not n["optional"] for t in n["text"].split("\0")})
-    return json.dumps({"known": sorted({n["path"] for n in wrapper}), "links": links, "template": template})
+    links = sorted(p for p, (n, linked, _) in learnt["chars"].items() if linked >= LINK_SHARE * n)
+    template = sorted({f"{n['path']}\n{t}" for n in learnt["nodes"]
+                       if n["top"] and n["n"] >= TEMPLATE_PAGES and n["votes"] >= TEMPLATE_VOTES * n["n"]
+                       for t in n["top"].split("\0")})
+    return json.dumps({"known": sorted(learnt["chars"]), "links": links, "template": template})
 
 
 def main_text(page: str | None, wrapper: dict) -> str:
@@ -220,7 +245,7 @@ def main_text(page: str | None, wrapper: dict) -> str:
                 kept.append(text)
             continue
         only_links = path in links if path in known else linked >= LINK_SHARE * len(text.replace(" ", ""))
-        if not only_links and f"{path}\n{text}" not in template:
+        if not only_links and f"{path}\n{_key(text)}" not in template:
             kept.append(text)
     return "\n\n".join(kept)
 
@@ -229,15 +254,24 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every page (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    order = Window.partitionBy("host").orderBy(F.xxhash64("html"), "page_id")
-    sample = (rows.filter("html is not null").withColumn("n", F.row_number().over(order))
-              .filter(F.col("n") <= SAMPLE_PAGES).select("host", "html"))
+    distinct = rows.filter("html is not null and html <> ''").select("host", "html").distinct()
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hosts: dict[str, dict] = {}
+        for pdf in batches:
+            for name, page in zip(pdf["host"], pdf["html"]):
+                hosts[name] = _join(hosts.get(name), _learn(read_blocks(page)))
+                if len(hosts) >= HOSTS_HELD:
+                    yield pd.DataFrame({"host": list(hosts), "learnt": [json.dumps(x) for x in hosts.values()]})
+                    hosts.clear()
+        yield pd.DataFrame({"host": list(hosts), "learnt": [json.dumps(x) for x in hosts.values()]}, dtype=object)
 
     def infer(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [_summary(list(pdf["html"]))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [_summary(reduce(_join, map(json.loads, sorted(pdf["learnt"]))))]})
 
     # a written table has a known size, by which the planner joins it
-    wrappers = written(sample.groupBy("host").applyInPandas(infer, "host string, wrapper string"), "wrappers")
+    learnt = distinct.mapInPandas(learn, "host string, learnt string")
+    wrappers = written(learnt.groupBy("host").applyInPandas(infer, "host string, wrapper string"), "wrappers")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, dict] = {}

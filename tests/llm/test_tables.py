@@ -42,6 +42,19 @@ def test_wrapper_without_semantic_tags(spark):
         assert got[i].text == want and got[i].n_chars == len(want) and got[i].url == url
 
 
+def test_wrapper_covers_copies_and_second_layouts(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        text = " ".join(f"w{rng.randrange(999)}" for _ in range(20))
+        body = (f'<div class="c"><p>{text}</p></div><div class="x"><p>Our tagline</p></div>' if i < 45 else
+                f'<table class="k"><tr><td>{text}</td></tr></table><div class="y"><p>Ring the bell</p></div>')
+        rows += [(100 * i + k, f"http://two.example.org/{i}", page(body), text) for k in range(40 if i in (0, 50) else 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+
+
 def test_wrapper_alignment_finds_slots_options_and_repeats():
     pages = [[("h", "A", 0), ("p", "x", 0), ("p", "y", 0), ("f", "same", 0)], [("h", "B", 0), ("ad", "z", 0), ("p", "q", 0), ("f", "same", 0)]]
     nodes = {n["path"]: n for n in html_text.infer_wrapper(pages)}
