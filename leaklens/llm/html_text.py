@@ -11,7 +11,11 @@ pages of their node (``TEMPLATE_PAGES`` at least) stay template.
 A slot holds main text unless its path says otherwise (menus, headers,
 footers, sidebars, notices, adverts, forms and comments by tag, role, class or
 id), it consists of links, or it is template.  Where a page has an article or
-main element, only slots inside it count.  Every page is read with its host's
+main element, this frame is evidence: slots outside it count only if the
+wrapper knows their path as prose (``PROSE`` characters a block on average, on
+``TEMPLATE_PAGES`` pages at least), and texts inside that are template stay
+where template is more than half of the frame (pages that are near copies of
+one another).  Every page is read with its host's
 wrapper; a path the wrapper does not know is judged by the same rules on the
 page alone.
 
@@ -43,6 +47,7 @@ HOSTS_HELD = 512        # hosts whose wrappers a task holds at once
 TEMPLATE_PAGES = 6      # distinct pages needed before a constant text counts as template
 TEMPLATE_VOTES = 0.8    # votes for a text, less those against it, of the pages of its node: on 90 % of them
 LINK_SHARE = 0.6
+PROSE = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -228,7 +233,12 @@ def _summary(learnt: dict) -> str:
     template = sorted({f"{n['path']}\n{t}" for n in learnt["nodes"]
                        if n["top"] and n["n"] >= TEMPLATE_PAGES and n["votes"] >= TEMPLATE_VOTES * n["n"]
                        for t in n["top"].split("\0")})
-    return json.dumps({"known": sorted(learnt["chars"]), "links": links, "template": template})
+    pages: dict[str, int] = {}
+    for n in learnt["nodes"]:
+        pages[n["path"]] = max(pages.get(n["path"], 0), n["n"])
+    prose = sorted(p for p, (n, _, blocks) in learnt["chars"].items()
+                   if "*" not in p and not _is_bad(p) and pages.get(p, 0) >= TEMPLATE_PAGES and n >= PROSE * blocks)
+    return json.dumps({"known": sorted(learnt["chars"]), "links": links, "template": template, "prose": prose})
 
 
 def main_text(page: str | None, wrapper: dict) -> str:
@@ -236,18 +246,20 @@ def main_text(page: str | None, wrapper: dict) -> str:
     blocks = read_blocks(page)
     framed = any("*" in path and not _is_bad(path) for path, _, _ in blocks)
     known, links, template = wrapper["known"], wrapper["links"], wrapper["template"]
-    kept = []
+    prose, slots, inside, constant = wrapper.get("prose", ()), [], 0, 0
     for path, text, linked in blocks:
         if _is_bad(path):
             continue
-        if framed:
-            if "*" in path:
-                kept.append(text)
+        n = len(text.replace(" ", ""))
+        only_links = path in links if path in known else linked >= LINK_SHARE * n
+        if only_links or framed and "*" not in path and path not in prose:
             continue
-        only_links = path in links if path in known else linked >= LINK_SHARE * len(text.replace(" ", ""))
-        if not only_links and f"{path}\n{_key(text)}" not in template:
-            kept.append(text)
-    return "\n\n".join(kept)
+        fixed = f"{path}\n{_key(text)}" in template
+        if "*" in path:
+            inside, constant = inside + n, constant + n * fixed
+        slots.append((text, fixed, "*" in path))
+    near_copies = framed and 2 * constant > inside
+    return "\n\n".join(text for text, fixed, marked in slots if not fixed or near_copies and marked)
 
 
 def extract(pages: DataFrame) -> DataFrame:

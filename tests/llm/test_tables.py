@@ -55,6 +55,22 @@ def test_wrapper_covers_copies_and_second_layouts(spark):
     assert got == {i: want for i, _, _, want in rows}
 
 
+def test_wrapper_decides_on_framed_pages(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(20):
+        texts = [" ".join(f"w{rng.randrange(999)}" for _ in range(40)) for _ in range(3)]
+        body = ('<div class="q1">Welcome back</div><main><div class="q2"><p>Our hosts say hello</p></div><article><p>%s</p><p>%s</p></article>'
+                '<div class="q3"><p><a href=/%d>More of w%d</a></p></div></main><div class="q4"><p>%s</p></div><div class="q5">%d visits</div>'
+                ) % (*texts[:2], i, i, texts[2], i)
+        rows.append((i, f"http://three.example.org/{i}", page(body), "\n\n".join(texts)))
+        copy = "<main><p>%s</p><p>Copy %d</p></main>" % (" ".join(["same words"] * 20), i)         # near copies keep their text
+        rows.append((100 + i, f"http://four.example.org/{i}", page(copy), " ".join(["same words"] * 20) + f"\n\nCopy {i}"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+
+
 def test_wrapper_alignment_finds_slots_options_and_repeats():
     pages = [[("h", "A", 0), ("p", "x", 0), ("p", "y", 0), ("f", "same", 0)], [("h", "B", 0), ("ad", "z", 0), ("p", "q", 0), ("f", "same", 0)]]
     nodes = {n["path"]: n for n in html_text.infer_wrapper(pages)}
