@@ -18,8 +18,7 @@ the other documents.  A text scores by its strongest word through a logistic
 curve fitted on training documents set aside, some with a marred word.
 
 The model is fitted on a bounded sample of labelled rows (``train_rows`` per
-class, by hash of the doc_id; words beyond ``MAX_TRAIN_WORDS`` distinct ones of
-a training document are left out); scoring reads every whole text.
+class, by hash of the doc_id); fitting and scoring read whole texts.
 
 Results in corner cases: a text without words scores as the weakest training
 word does; labels that are null are ignored, a document with several labels is
@@ -34,6 +33,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,6 @@ from pyspark.sql import types as T
 DECAY = 0.8
 LANDMARKS = 192
 TRAIN_ROWS = 1500
-MAX_TRAIN_WORDS = 1000
 PIECE = 20_000          # words whose kernel is computed at once
 MARRED = 6              # about so many documents with a marred word fit the logistic curve
 FAINT = 0.02            # smaller kernels count as zero in training
@@ -299,8 +298,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
         share = F.when(F.col("toxic") == kind, min(1.0, train_rows / max(1, count.get(kind, 0)))).otherwise(share)
     chosen = marks.filter(draw < share)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    words = F.array_distinct(F.split(F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))), " "))
-    return rows.select("doc_id", "toxic", F.slice(words, 1, MAX_TRAIN_WORDS).alias("words"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "words": [sorted(raw_words(t)) for t in pdf["text"]]})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "toxic", "text").mapInPandas(read, f"doc_id {kind}, toxic int, words array<string>")
 
 
 def held_out(doc_id) -> F.Column:

@@ -245,6 +245,15 @@ def test_toxicity_learns_words_and_bears_marks(spark):
     assert kept.columns == docs.columns and {1000, 1001, 1005} <= {r.doc_id for r in kept.collect()}
 
 
+def test_training_reads_whole_texts(spark):
+    text = " ".join(f"w{i}" for i in range(3000)) + " late s p a c e d"
+    rows = [(i, text, "s") for i in range(20)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_sample(frame(spark, rows), labels).collect()
+    assert got and all(set(r.words) == toxicity.raw_words(text) for r in got)
+    assert {"w2999", "late", "spaced"} <= set(got[0].words)
+
+
 def test_string_kernel_equals_definition():
     from itertools import combinations
 
