@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaklens.llm import (
-    chat, decontamination, embedding_dedup, html_text, mixing, near_dup, quality, substring_dedup, toxicity,
-    url_filter)
+    chat, decontamination, embedding_dedup, fill_in_middle, html_text, mixing, near_dup, quality, spelling,
+    substring_dedup, token_files, toxicity, url_filter)
+from leaklens.session import scratch_path
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,13 +79,40 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's token ids, read from the
+    files that hold them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        tokenizer = file.read()
+    folder = scratch_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokenizer)
+    return token_files.read(spark, folder, token_files.id_type(tokenizer)).drop("ids")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document's example and of the text rebuilt from it."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_source_mixing, op2_quality_classifier, op3_minhash_near_dedup, op4_benchmark_decontamination, op5_toxicity, op6_substring_dedup,
-        op7_html_extraction, op8_chat_formatting, op9_embedding_near_dedup, op10_url_filter)
+        op7_html_extraction, op8_chat_formatting, op9_embedding_near_dedup, op10_url_filter, op11_token_files,
+        op12_spelling_variants, op13_fill_in_middle)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_chat_formatting": chat.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
