@@ -42,7 +42,7 @@ RUN = r"[A-Za-zÀ-ÿ]+"
 LEAST_LETTERS, LEAST_COUNT, RATIO = 6, 5, 5
 MARRED = 199            # one in so many (document, run) pairs loses a letter
 LEVELS = 16             # letter groups
-CELL = 40_000           # letters that one cell of the trie may hold
+CELL = 150_000          # letters that one cell of the trie may hold
 DEEPEST = 6             # levels that cells may be made of
 LEAF = 8                # words that are compared without further branching
 BLOCK = 1 << 16         # pairs verified at once
@@ -149,9 +149,10 @@ def _one_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ahead + behind >= a.shape[1]
 
 
-def _links(stored: pd.DataFrame, wanted: pd.DataFrame, length: int, groups: list[str]) -> Iterator[pd.DataFrame]:
-    """Links of one cell: (word, n, near, near_n) with the word no longer than
-    its near word, and each pair of equal length once."""
+def _links(stored: pd.DataFrame, wanted: pd.DataFrame, length: int, groups: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Links of one cell as arrays (word, n, near, near_n), the word no longer
+    than its near word, and each pair of equal length once."""
+    names, counts = stored["word"].to_numpy(object), stored["n"].to_numpy(np.int64)
     codes = _matrix(stored["word"].tolist(), length)
     vectors = _vectors(codes, groups)
     for size, deficit in ((length, 1), (length - 1, 0)):
@@ -159,21 +160,21 @@ def _links(stored: pd.DataFrame, wanted: pd.DataFrame, length: int, groups: list
         if not len(mine):
             continue
         own = _matrix(mine["word"].tolist(), size)
+        own_names, own_counts = mine["word"].to_numpy(object), mine["n"].to_numpy(np.int64)
         block = max(1, BLOCK * 16 // max(16, length))
         held, many = [], 0
 
-        def verified() -> pd.DataFrame:
+        def verified() -> tuple[np.ndarray, ...]:
             q, s = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             keep = np.zeros(len(q), dtype=bool)
             for at in range(0, len(q), block):
                 keep[at:at + block] = _one_apart(own[q[at:at + block]], codes[s[at:at + block]])
             q, s = q[keep], s[keep]
-            return pd.DataFrame({"word": mine["word"].to_numpy()[q], "n": mine["n"].to_numpy()[q],
-                                 "near": stored["word"].to_numpy()[s], "near_n": stored["n"].to_numpy()[s]})
+            return own_names[q], own_counts[q], names[s], counts[s]
 
         for q, s in _search(vectors, _vectors(own, groups), deficit):
             if deficit:         # of two words of one length the smaller one is looked up
-                first = np.array([x < y for x, y in zip(mine["word"].to_numpy()[q], stored["word"].to_numpy()[s])], dtype=bool)
+                first = own_names[q] < names[s]
                 q, s = q[first], s[first]
             if len(q):
                 held.append((q, s))
@@ -201,13 +202,13 @@ def links(vocabulary: DataFrame, levels: int = LEVELS, cell: int = CELL, deepest
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf["size"] = pdf["word"].str.len()
-        found = []
+        found = []      # of arrays: frames of strings may not be joined into one Arrow array
         for name, rows in pdf.groupby(["cell", "part"], sort=False):
             mine, others = rows[rows["stored"]], rows[~rows["stored"]]
             if len(mine) and len(others):
                 found += _links(mine, others, int(name[0].split(",")[0]), groups)
-        kept = pd.concat(found) if found else pd.DataFrame({"word": [], "n": [], "near": [], "near_n": []})
-        return kept[["word", "n", "near", "near_n"]]
+        columns = zip(*found) if found else [[np.zeros(0, object)]] * 4
+        return pd.DataFrame({c: np.concatenate(list(x)) for c, x in zip(("word", "n", "near", "near_n"), columns)})
 
     # several small cells share a call; their number follows the vocabulary
     parts = cells.agg(F.sum("parts")).first()[0] or 1
