@@ -72,7 +72,7 @@ def normalise_urls(changes: DataFrame) -> DataFrame:
     )
 
 
-def route_changes(changes: DataFrame) -> DataFrame:
+def route_changes(changes: DataFrame, *keys: str) -> DataFrame:
     """P10 + S12 shape: one routed table; CLI rows carry a ``command`` and no
     URL/method, the others a normalised URL, the HTTP method and data.
 
@@ -81,7 +81,7 @@ def route_changes(changes: DataFrame) -> DataFrame:
     """
     cli = F.col("interface") == "WP_CLI"
     cols = [
-        "plugin_slug",
+        *keys, "plugin_slug",
         F.when(~cli, url_faithful("url")).alias("url"),
         F.when(~cli, F.col("method")).alias("http_method"),
         F.when(~cli, F.col("data")).alias("data"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leaklens.functions.predicates import finished_line
-from leaklens.operators import attribution
+from leaklens.operators import attribution, changes
 from leaklens.plans.registry import query
+from leaklens.session import scratch_path
+from leaklens.sources import sinks
 from leaklens.sources.adapters import cte
 
 
@@ -31,6 +33,31 @@ def j7(t):
     return attribution.attribute_changes(watch_events(t))
 
 
+TEST = ["interface", "method", "url", "data"]      # what a marker says of the running test
+ROUTED = ["event_id", "plugin_slug", "url", "http_method", "data", "command", "name_of_changed_file", "type_of_operation",
+          "zip_file_number", "interface"]
+
+ROUTED_SQL = cte("watch_records") + """, s AS (
+ SELECT *, last_value(CASE WHEN kind <> 'change' THEN event_id END IGNORE NULLS) OVER (
+  PARTITION BY plugin_slug ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker_id FROM watch_records),
+a AS (SELECT s.event_id, s.plugin_slug, m.interface, m.method, m.url, m.data, s.name_of_changed_file, s.type_of_operation,
+  row_number() OVER (PARTITION BY s.plugin_slug ORDER BY s.ts, s.event_id) AS zip_file_number
+  FROM s JOIN watch_records m ON m.event_id = s.marker_id WHERE s.kind = 'change' AND m.kind = 'set')
+SELECT event_id, plugin_slug, CASE WHEN interface <> 'WP_CLI' THEN trim(url, 'http://localhost:8080') END AS url,
+ CASE WHEN interface <> 'WP_CLI' THEN method END AS http_method, CASE WHEN interface <> 'WP_CLI' THEN data END AS data,
+ CASE WHEN interface = 'WP_CLI' THEN url END AS command, name_of_changed_file, type_of_operation, zip_file_number, interface FROM a"""
+
+
+@query("j7_s12_attributed_tables", "J7 W1 W5 P5 P10 S12", ROUTED_SQL)
+def j7_s12(t):
+    """J7 + W1 + P5 + P10 + S12 as one flow: changes take the test of their
+    marker and their number, and land in the three routed tables."""
+    path = scratch_path(t.spark, "j7-tables")
+    rows = attribution.attributed(t["watch_records"], TEST, counter="zip_file_number")
+    sinks.write_routed(changes.route_changes(rows, "event_id"), path)
+    return sinks.read_table(t.spark, path).select(*ROUTED)
+
+
 @query("w5_current_marker", "W5",
        cte("watch_stream") + f""", s AS (
  SELECT *, last_value(CASE WHEN kind <> 'change' THEN event_id END IGNORE NULLS) OVER ({_W}) AS marker_id FROM watch_stream)

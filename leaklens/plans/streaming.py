@@ -11,12 +11,13 @@ oracle): the state API (``applyInPandasWithState``) and the chunked
 
 from __future__ import annotations
 
-from leaklens.plans.attribution import J7_SQL, watch_events
+from leaklens.plans.attribution import J7_SQL, ROUTED, ROUTED_SQL, watch_events
 from leaklens.plans.hook_change_reports import p10
 from leaklens.plans.registry import REGISTRY, query
 from leaklens.session import scratch_path
 from leaklens.sources.files import write_time_slices
-from leaklens.streaming.attribution_stream import run_attribution, run_attribution_chunked, run_routed_changes
+from leaklens.streaming.attribution_stream import (
+    run_attribution, run_attribution_chunked, run_routed_changes, run_watch_to_tables)
 
 SLICES = 4
 FILES_PER_TRIGGER = 2   # several micro-batches, so state crosses batch boundaries
@@ -57,3 +58,13 @@ def st1_chunked(t):
     write_time_slices(ev, f"{base}/input", "ts", SLICES)
     return run_attribution_chunked(spark, f"{base}/input", f"{base}/out", f"{base}/checkpoint",
                                    files_per_trigger=FILES_PER_TRIGGER)
+
+
+@query("st1_st3_stream_tables", "ST1 ST2 ST3 S10 S12 P10", ROUTED_SQL)
+def st1_st3(t):
+    """ST1 -> ST3 as one stream: watcher records are attributed batch by batch
+    and appended to the three routed tables with their file numbers."""
+    base = scratch_path(t.spark, "st13")
+    write_time_slices(t["watch_records"], f"{base}/input", "ts", SLICES)
+    return run_watch_to_tables(t.spark, f"{base}/input", f"{base}/tables", f"{base}/checkpoint",
+                               files_per_trigger=FILES_PER_TRIGGER).select(*ROUTED)

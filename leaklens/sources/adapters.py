@@ -74,6 +74,19 @@ SELECT event_id, user_id, ts, CASE WHEN event_type = 'signup' THEN 'set' WHEN ev
  CASE WHEN event_type = 'signup' THEN props END AS test FROM events
 """
 
+# Markers carry the test that runs, changes the file; nothing links the two but their order.
+ADAPTERS["watch_records"] = """
+SELECT event_id, 'plugin-' || CAST(user_id AS STRING) AS plugin_slug, ts,
+ CASE WHEN event_type = 'signup' THEN 'set' WHEN event_type = 'purchase' THEN 'clear' ELSE 'change' END AS kind,
+ CASE WHEN event_type = 'signup' THEN CASE event_id % 5 WHEN 0 THEN 'WP_CLI' WHEN 1 THEN 'AJAX' WHEN 2 THEN 'AJAX' ELSE 'REST' END END AS interface,
+ CASE WHEN event_type = 'signup' AND event_id % 5 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END END AS method,
+ CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 5 = 0 THEN 'wp shop slots ' || CAST(event_id % 11 AS STRING)
+  ELSE 'http://localhost:8080/wp-json/shop/v1/slots/' || CAST(event_id % 17 AS STRING) END END AS url,
+ CASE WHEN event_type = 'signup' THEN props END AS data,
+ CASE WHEN event_type NOT IN ('signup', 'purchase') THEN '/var/www/html/wp-content/uploads/app-' || CAST(event_id % 23 AS STRING) || '.log' END AS name_of_changed_file,
+ CASE WHEN event_type NOT IN ('signup', 'purchase') THEN CASE event_id % 2 WHEN 0 THEN 'CLOSE_WRITE,CLOSE' ELSE 'DELETE' END END AS type_of_operation FROM events
+"""
+
 ADAPTERS["ajax_routes"] = """
 SELECT p_partkey AS route_id, 'plugin-' || CAST(p_partkey % 150 AS STRING) AS plugin_slug, 'action_' || CAST(p_partkey AS STRING) AS action, p_size % 2 = 0 AS priv FROM part
 """

@@ -192,3 +192,105 @@ def run_attribution_chunked(spark: SparkSession, source_dir: str, out_dir: str,
     q.awaitTermination()
     return spark.read.schema(ATTRIBUTED_SCHEMA).option("basePath", out_dir).parquet(f"{out_dir}/batch_id=*") \
         .select(*[f.name for f in ATTRIBUTED_SCHEMA])
+
+
+# ---------------------------------------------------------------------------
+# The whole flow as one stream: watcher records -> attribution -> the three
+# routed tables with their file numbers.  Each micro-batch is attributed by
+# the chunked scan (no plugin in a single task), seeded with the state table.
+# ---------------------------------------------------------------------------
+
+RECORD_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("plugin_slug", T.StringType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("kind", T.StringType()),
+    T.StructField("interface", T.StringType()),
+    T.StructField("method", T.StringType()),
+    T.StructField("url", T.StringType()),
+    T.StructField("data", T.StringType()),
+    T.StructField("name_of_changed_file", T.StringType()),
+    T.StructField("type_of_operation", T.StringType()),
+])
+TEST_FIELDS = ["interface", "method", "url", "data"]
+_RECORD_STATE = "plugin_slug string, kind string, interface string, method string, url string, data string, counter long"
+_MANIFEST = "batch_id long, n_rows long"
+
+
+def _record_batch(batch: DataFrame, prev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One micro-batch: (whole attributed changes, new per-plugin state).
+
+    A plugin's state is its last marker, with the test it holds, and the
+    number of its last attributed change; the marker enters the batch as a
+    row before all others."""
+    from leaklens.operators.attribution import attributed
+
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in RECORD_SCHEMA}
+    fixed = {"event_id": F.lit(-1).cast("long").alias("event_id"), "ts": F.lit(_SEED_TS).cast("timestamp_ntz").alias("ts"),
+             **{c: F.col(c) for c in ("plugin_slug", "kind", *TEST_FIELDS)}}
+    seeds = prev.filter(F.col("kind").isNotNull()).select(*[fixed.get(c, e) for c, e in empty.items()])
+    rows = batch.select(*empty).unionByName(seeds)
+    changes = attributed(rows, TEST_FIELDS, counter="zip_file_number")
+    offsets = prev.select(F.col("plugin_slug").alias("__slug"), F.col("counter").alias("__prev"))
+    changes = (changes.join(offsets, changes["plugin_slug"].eqNullSafe(offsets["__slug"]), "left")
+               .withColumn("zip_file_number", F.col("zip_file_number") + F.coalesce("__prev", F.lit(0)))
+               .drop("__slug", "__prev"))
+    last = (rows.filter(F.col("kind") != "change").groupBy("plugin_slug")
+            .agg(F.max_by(F.struct("kind", *TEST_FIELDS), F.struct("ts", "event_id")).alias("m")))
+    return changes, last.join(offsets, last["plugin_slug"].eqNullSafe(offsets["__slug"]), "left") \
+        .select("plugin_slug", "m.*", F.coalesce("__prev", F.lit(0)).alias("counter"))
+
+
+def _counted(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """``state`` with the numbers that ``changes`` reached."""
+    reached = changes.groupBy(F.col("plugin_slug").alias("__slug")).agg(F.max("zip_file_number").alias("__most"))
+    joined = state.join(reached, state["plugin_slug"].eqNullSafe(reached["__slug"]), "left")
+    return joined.withColumn("counter", F.coalesce("__most", "counter")).drop("__slug", "__most")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def run_watch_to_tables(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str,
+                        files_per_trigger: int = 1) -> DataFrame:
+    """S10 -> ST1 -> ST3: watcher records in, the three routed tables out.
+
+    A batch writes its rows, then its state version, then its line in the
+    manifest; readers take the batches the manifest lists, so a batch that
+    broke off is not seen and its retry overwrites the same folders.  A batch
+    needs the version before it; older ones are deleted.  The state keeps one
+    row per plugin that has had a marker."""
+    state_dir, rows_dir, manifest = f"{checkpoint}/watch-state", f"{table_dir}/rows", f"{table_dir}/manifest"
+    src = (spark.readStream.schema(RECORD_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+           .option("timestampNTZFormat", TS_FORMAT).json(source_dir))
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        s = batch.sparkSession
+        prev = (s.read.schema(_RECORD_STATE).parquet(f"{state_dir}/version={batch_id - 1}")
+                if batch_id > 0 else s.createDataFrame([], _RECORD_STATE))
+        changes, state = _record_batch(batch, prev)
+        out = f"{rows_dir}/batch_id={batch_id}"
+        route_changes(changes, "event_id").write.mode("overwrite").partitionBy("interface").parquet(out)
+        routed = s.read.schema("plugin_slug string, zip_file_number long").parquet(out)
+        _counted(state, routed).write.mode("overwrite").parquet(f"{state_dir}/version={batch_id}")
+        (routed.agg(F.lit(batch_id).cast("long").alias("batch_id"), F.count(F.lit(1)).alias("n_rows"))
+         .write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}"))
+        _delete(s, f"{state_dir}/version={batch_id - 2}")
+
+    q = (src.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return read_tables(spark, table_dir)
+
+
+def read_tables(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The routed rows of all batches in the manifest."""
+    listed = spark.read.schema(_MANIFEST).parquet(f"{table_dir}/manifest/batch=*").select("batch_id")
+    kinds = {"event_id": "long", "zip_file_number": "long"}
+    names = ("event_id", "plugin_slug", "url", "http_method", "data", "command", "name_of_changed_file", "type_of_operation",
+             "zip_file_number", "batch_id", "interface")
+    schema = ", ".join(f"{c} {'long' if c == 'batch_id' else kinds.get(c, 'string')}" for c in names)
+    rows = spark.read.schema(schema).option("basePath", f"{table_dir}/rows").parquet(f"{table_dir}/rows")
+    return rows.join(listed, "batch_id", "left_semi")

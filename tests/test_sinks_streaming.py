@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from leaklens.operators import changes
 from leaklens.sources import files, sinks
-from leaklens.streaming.attribution_stream import run_attribution, run_routed_changes
+from leaklens.operators.attribution import attributed
+from leaklens.streaming.attribution_stream import (
+    RECORD_SCHEMA, TEST_FIELDS, read_tables, run_attribution, run_routed_changes, run_watch_to_tables)
 
 
 def _changes(spark):
@@ -116,3 +118,53 @@ def test_report_cli_over_a_warehouse(spark, tables, tmp_path):
     assert len(names) == 24
     fpr = spark.read.option("header", True).csv(f"{out}/findings_per_rule")
     assert fpr.count() == 10
+
+
+def _records(n=400):
+    """Watcher records of three plugins in order, one of them hot; and what a
+    plain loop over them records."""
+    import random
+
+    rng, out, state, number = random.Random(11), [], {}, {}
+    rows = []
+    for i in range(n):
+        slug = rng.choice(["hot"] * 8 + ["p1", "p2"])
+        ts = dt.datetime(2024, 1, 1) + dt.timedelta(seconds=37 * i)
+        kind = rng.choice(["change"] * 6 + ["set", "clear"])
+        test = (rng.choice(["REST", "AJAX", "WP_CLI"]), "GET", f"http://localhost:8080/wp-json/a/{i}", f"d{i}")
+        file = (f"/f{i}.log", "DELETE")
+        rows.append((i, slug, ts, kind, *(test if kind == "set" else (None,) * 4), *(file if kind == "change" else (None,) * 2)))
+        if kind != "change":
+            state[slug] = test if kind == "set" else None
+        elif state.get(slug):
+            number[slug] = number.get(slug, 0) + 1
+            out.append((i, slug, *state[slug], *file, number[slug]))
+    return rows, out
+
+
+def test_attributed_records_equal_a_loop(spark):
+    rows, want = _records()
+    events = spark.createDataFrame(rows, RECORD_SCHEMA)
+    for widths in ([60_000_000, 3_600_000_000], [120_000_000], [1_000_000, 60_000_000, 600_000_000]):
+        got = attributed(events.repartition(7), TEST_FIELDS, widths=widths)
+        got = got.select("event_id", "plugin_slug", *TEST_FIELDS, "name_of_changed_file", "type_of_operation", "zip_counter")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_stream_into_tables_equals_a_loop_and_cleans_up(spark, tmp_path):
+    rows, want = _records()
+    src, tables, ck = (str(tmp_path / x) for x in ("in", "tables", "ck"))
+    for a in range(0, 300, 60):
+        spark.createDataFrame(rows[a:a + 60], RECORD_SCHEMA).coalesce(1).write.mode("append") \
+            .option("timestampNTZFormat", files.TS_FORMAT).json(src)
+    run_watch_to_tables(spark, src, tables, ck)
+    # a second run goes on from the state of the first
+    spark.createDataFrame(rows[300:], RECORD_SCHEMA).coalesce(1).write.mode("append") \
+        .option("timestampNTZFormat", files.TS_FORMAT).json(src)
+    got = run_watch_to_tables(spark, src, tables, ck)
+    assert sorted((r.event_id, r.plugin_slug, r.zip_file_number, r.interface) for r in got.collect()) == \
+        [(w[0], w[1], w[-1], w[2]) for w in want]
+    assert sorted(p.name for p in (tmp_path / "ck/watch-state").iterdir()) == ["version=4", "version=5"]
+    # rows of a batch that broke off before its manifest line are not read
+    (tmp_path / "tables/manifest/batch=5").rename(tmp_path / "unlisted")
+    assert {r.event_id for r in read_tables(spark, tables).collect()} == {w[0] for w in want if w[0] < 300}
