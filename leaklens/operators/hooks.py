@@ -24,19 +24,21 @@ HOOK_SCHEMA_WITH_SLUG = T.StructType([T.StructField("plugin_slug", T.StringType(
 
 
 
-def parse_hook_lines(lines: DataFrame, col: str = "value", schema: T.StructType = HOOK_SCHEMA) -> DataFrame:
-    """One JSON text per row -> its typed fields (function, params, error
-    and whatever else ``schema`` names)."""
+def parse_hook_lines(lines: DataFrame, col: str = "value", schema: T.StructType = HOOK_SCHEMA) -> tuple[DataFrame, DataFrame]:
+    """One JSON text per row -> (its typed fields, the rows whose text is
+    no such record)."""
     keep = [c for c in lines.columns if c != col]
-    parsed = F.from_json(F.col(col), schema)
-    return lines.select(*keep, parsed.alias("h")).select(*keep, "h.*")
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = lines.withColumn("h", F.from_json(F.col(col), full))
+    bad = F.col("h").isNull() | F.col("h._corrupt_record").isNotNull()
+    return parsed.filter(~bad).select(*keep, *[f"h.{f.name}" for f in schema.fields]), parsed.filter(bad).drop("h")
 
 
 def subtract_baseline(hooks: DataFrame, baseline: DataFrame, path_col: str = "path") -> DataFrame:
     """Drop hook rows whose first param is a path of a clean instance.
 
-    Anti-join on ``params[0]``; the baseline side is broadcast only after a
-    size check, else the planner shuffles both sides on the path.
+    Anti-join on ``params[0]``, unhinted: the planner broadcasts the baseline
+    only if it knows it to be small.
     """
     b = baseline.select(F.col(path_col).alias("__bp")).distinct()
     h = hooks.withColumn("__p0", F.element_at("params", 1))

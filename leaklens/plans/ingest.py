@@ -107,7 +107,7 @@ def s4(t):
     spark = t.spark
     path = scratch_path(spark, "s4-docs")
     _semgrep_docs(t, path)
-    _runs, fnd = ingest.read_semgrep(spark, path, multi_line=False)
+    _runs, fnd, _bad = ingest.read_semgrep(spark, path, multi_line=False)
     return fnd.select("run_id", "rule_id", "file_path", "start_line", "end_line", "lines")
 
 
@@ -120,7 +120,7 @@ def s4_errors(t):
     spark = t.spark
     path = scratch_path(spark, "s4-errs")
     _semgrep_docs(t, path)
-    runs, _f = ingest.read_semgrep(spark, path, multi_line=False)
+    runs, _f, _bad = ingest.read_semgrep(spark, path, multi_line=False)
     return runs.select("run_id", "plugin_slug", "error_count", "errors")
 
 
@@ -147,7 +147,7 @@ def s6(t):
     t["hook_records"].select(F.to_json(F.struct(
         "plugin_slug", "function", F.array("path0").alias("params"), "error")).alias("value")) \
         .write.mode("overwrite").text(path)
-    parsed = hooks.parse_hook_lines(spark.read.text(path), schema=hooks.HOOK_SCHEMA_WITH_SLUG)
+    parsed, _bad = hooks.parse_hook_lines(spark.read.text(path), schema=hooks.HOOK_SCHEMA_WITH_SLUG)
     return parsed.select("plugin_slug", "function", params_text("params").alias("params_text"), "error")
 
 
@@ -325,6 +325,81 @@ def s4_routes(t):
         .write.mode("overwrite").json(f"{base}/functions")
     empty = spark.createDataFrame([], "plugin_slug string, action string, priv boolean, method string, arg string")
     routes, ok, _bad = ingest.load_routes(
-        ingest.read_closure_routes(spark, f"{base}/closures", multi_line=False),
-        ingest.read_function_routes(spark, f"{base}/functions", multi_line=False), empty)
+        ingest.read_closure_routes(spark, f"{base}/closures", multi_line=False)[0],
+        ingest.read_function_routes(spark, f"{base}/functions", multi_line=False)[0], empty)
     return ok.join(routes, "route_id").select("plugin_slug", "action", "priv", "method", "arg_name")
+
+
+_CUT_OFF = 97   # fixed value: in the stand-ins one document or line in so many is cut off
+
+
+@query("s4_folder_documents", "S4 P3 P7 P4",
+       cte("findings_semgrep", "semgrep_runs") + f"""SELECT plugin_slug,
+ CASE WHEN CAST(replace(plugin_slug, 'plugin-', '') AS BIGINT) % {_CUT_OFF} = 0 THEN 'malformed' ELSE 'run' END AS status,
+ CASE WHEN CAST(replace(plugin_slug, 'plugin-', '') AS BIGINT) % {_CUT_OFF} <> 0 THEN count(DISTINCT CASE WHEN error_count > 0 THEN r.run_id END) END AS error_count,
+ CASE WHEN CAST(replace(plugin_slug, 'plugin-', '') AS BIGINT) % {_CUT_OFF} <> 0 THEN count(finding_id) END AS n_findings,
+ CASE WHEN CAST(replace(plugin_slug, 'plugin-', '') AS BIGINT) % {_CUT_OFF} <> 0 THEN sum(start_line) END AS sum_start_line
+FROM semgrep_runs r LEFT JOIN findings_semgrep f ON f.run_id = r.run_id GROUP BY plugin_slug""")
+def s4_folders(t):
+    """S4 on real shapes: a scanner document per plugin folder, without slug or
+    run id; documents that are cut off are reported, not read as empty runs."""
+    path = scratch_path(t.spark, "s4-folders")
+    runs, f = t["semgrep_runs"], t["findings_semgrep"]
+    res = f.join(runs.select("run_id", "plugin_slug"), "run_id").groupBy("plugin_slug").agg(F.collect_list(F.struct(
+        F.col("rule_id").alias("check_id"), F.concat(F.lit("plugins/"), "file_path").alias("path"),
+        F.struct(F.col("start_line").alias("line")).alias("start"),
+        F.struct(F.col("end_line").alias("line")).alias("end"),
+        F.struct(F.lit("m").alias("message"), F.col("lines").alias("lines")).alias("extra"))).alias("results"))
+    errors = runs.groupBy("plugin_slug").agg(
+        F.collect_list(F.when(F.col("error_count") > 0, F.struct(F.col("run_id").alias("code")))).alias("errors"))
+    doc = errors.join(res, "plugin_slug", "left").withColumn("results", F.coalesce("results", F.array().cast(res.schema["results"].dataType)))
+    text = F.to_json(F.struct("errors", "results"))
+    cut = F.replace(F.col("plugin_slug"), F.lit("plugin-")).cast("long") % _CUT_OFF == 0
+    doc.select("plugin_slug", F.when(cut, F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text).alias("value")) \
+        .write.partitionBy("plugin_slug").text(path)
+    runs, findings, bad = ingest.read_semgrep(t.spark, f"{path}/*/*")
+    per = findings.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start_line").alias("s"))
+    good = runs.join(per, "run_id", "left").select(
+        "plugin_slug", F.lit("run").alias("status"), F.col("error_count").cast("long").alias("error_count"),
+        F.coalesce("n", F.lit(0)).alias("n_findings"), F.col("s").alias("sum_start_line"))
+    none = F.lit(None).cast("long")
+    return good.union(bad.select("folder", "reason", none, none, none))
+
+
+def _lines_in_folders(rows, path):
+    """Stand-in: JSON lines in a folder per plugin, some of them cut off."""
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("plugin_slug", "event_id")]))
+    cut = F.col("event_id") % _CUT_OFF == 0
+    (rows.select("plugin_slug", F.when(cut, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text).alias("value"))
+     .repartition("plugin_slug").write.partitionBy("plugin_slug").text(path))
+
+
+@query("s5_folder_changes", "S5 W1 P10",
+       cte("change_records") + f"""SELECT plugin_slug, CASE WHEN event_id % {_CUT_OFF} = 0 THEN 'malformed' ELSE 'change' END AS status,
+ CASE WHEN event_id % {_CUT_OFF} <> 0 THEN event_id * 3 END AS zip_file_number, CASE WHEN event_id % {_CUT_OFF} <> 0 THEN interface END AS interface,
+ CASE WHEN event_id % {_CUT_OFF} <> 0 THEN url END AS url, CASE WHEN event_id % {_CUT_OFF} <> 0 THEN name_of_changed_file END AS name_of_changed_file
+FROM change_records""")
+def s5_folders(t):
+    """S5 on real shapes: the watcher's lines per plugin folder, with their
+    file number; the slug is the folder's name, bad lines are reported."""
+    path = scratch_path(t.spark, "s5-folders")
+    _lines_in_folders(t["change_records"].withColumn("zip_counter", F.col("event_id") * 3).drop("ts"), path)
+    good, bad = ingest.read_changes(t.spark, f"{path}/*")
+    none = F.lit(None).cast("string")
+    return good.select("plugin_slug", F.lit("change").alias("status"), "zip_file_number", "interface", "url", "name_of_changed_file") \
+        .union(bad.select("folder", "reason", none.cast("long"), none, none, none))
+
+
+@query("s6_folder_hooks", "S6 P15 P16",
+       cte("hook_records") + f"""SELECT plugin_slug, CASE WHEN event_id % {_CUT_OFF} = 0 THEN 'malformed' ELSE 'record' END AS status,
+ CASE WHEN event_id % {_CUT_OFF} <> 0 THEN function END AS function, CASE WHEN event_id % {_CUT_OFF} <> 0 THEN '[' || path0 || ', r]' END AS params_text,
+ CASE WHEN event_id % {_CUT_OFF} <> 0 THEN error END AS error FROM hook_records""")
+def s6_folders(t):
+    """S6 on real shapes: hook records per plugin folder, one per line, with
+    several parameters; bad lines are reported."""
+    path = scratch_path(t.spark, "s6-folders")
+    _lines_in_folders(t["hook_records"].withColumn("params", F.array("path0", F.lit("r"))).drop("path0"), path)
+    good, bad = ingest.read_hooks(t.spark, f"{path}/*")
+    none = F.lit(None).cast("string")
+    return good.select("plugin_slug", F.lit("record").alias("status"), "function", params_text("params").alias("params_text"), "error") \
+        .union(bad.select("folder", "reason", none, none, none))
