@@ -14,7 +14,7 @@ from leaklens.operators import changes, hooks, ingest, joins, merge, reports
 from leaklens.plans import hook_change_reports, static_reports  # noqa: F401  (oracles reused below)
 from leaklens.plans.registry import REGISTRY, query
 from leaklens.session import scratch_path
-from leaklens.sources import files, sinks
+from leaklens.sources import files, sinks, warehouse
 from leaklens.sources.adapters import cte
 
 _CAT = cte("catalogue_raw") + """, cat AS (SELECT fetch_pos, name, slug,
@@ -403,3 +403,88 @@ def s6_folders(t):
     none = F.lit(None).cast("string")
     return good.select("plugin_slug", F.lit("record").alias("status"), "function", params_text("params").alias("params_text"), "error") \
         .union(bad.select("folder", "reason", none, none, none))
+
+
+# --- the typed warehouse: planted faults in the stand-ins -------------------
+# plugins: every 50th (remainder 7) missing, every 100th twice, every 60th
+# without a version; one rule has an unknown severity; the orphans follow from
+# the references, and some finding ids of the tables repeat.
+_FAULTY = cte("plugins", "dynamic_analysis", "ajax_routes", "ajax_route_arguments", "semgrep_runs", "rules", "findings_semgrep",
+              "change_records", "hook_records") + """,
+p0 AS (SELECT *, CAST(replace(slug, 'plugin-', '') AS BIGINT) AS k FROM plugins),
+p1 AS (SELECT name, slug, CASE WHEN k % 60 = 1 THEN NULL ELSE version END AS version, download_link, num_downloads, active_installations
+ FROM p0 WHERE k % 50 <> 7),
+plugins_g AS (SELECT * FROM p1 WHERE version IS NOT NULL),
+rules_b AS (SELECT rule_id, CASE WHEN rule_id = 'WP-DEBUG_enabling' THEN 'FATAL' ELSE severity END AS severity, sink FROM rules),
+rules_g AS (SELECT * FROM rules_b WHERE severity <> 'FATAL'),
+dyn_g AS (SELECT d.* FROM dynamic_analysis d WHERE plugin_slug IN (SELECT slug FROM plugins_g)),
+routes_g AS (SELECT * FROM ajax_routes WHERE plugin_slug IN (SELECT slug FROM plugins_g)),
+args_g AS (SELECT * FROM ajax_route_arguments WHERE route_id IN (SELECT route_id FROM routes_g)),
+runs_g AS (SELECT * FROM semgrep_runs WHERE plugin_slug IN (SELECT slug FROM plugins_g)),
+f_all AS (SELECT *, rule_id NOT IN (SELECT rule_id FROM rules_g) AS no_rule, run_id NOT IN (SELECT run_id FROM runs_g) AS no_run,
+ row_number() OVER (PARTITION BY finding_id ORDER BY run_id, rule_id, file_path, start_line, end_line, lines NULLS FIRST) > 1 AS again FROM findings_semgrep),
+c_all AS (SELECT *, plugin_slug NOT IN (SELECT plugin_slug FROM dyn_g) AS no_plugin FROM change_records),
+h_all AS (SELECT *, plugin_slug NOT IN (SELECT plugin_slug FROM dyn_g) AS no_plugin FROM hook_records),
+kept AS (
+SELECT 'plugins' AS tbl, concat_ws('|', name, slug, version, download_link, num_downloads, active_installations) AS r FROM plugins_g
+UNION ALL SELECT 'dynamic_analysis', concat_ws('|', plugin_slug, num_unique_rest_endpoints, num_rest_endpoints_called, num_rest_endpoints_http_ok,
+ num_ajax_endpoints, num_ajax_endpoints_called, num_ajax_endpoints_http_ok, CAST(time_spend * 100 AS BIGINT)) FROM dyn_g
+UNION ALL SELECT 'ajax_routes', concat_ws('|', route_id, plugin_slug, action, priv) FROM routes_g
+UNION ALL SELECT 'ajax_route_arguments', concat_ws('|', route_id, method, arg_name) FROM args_g
+UNION ALL SELECT 'semgrep_runs', concat_ws('|', run_id, plugin_slug, error_count, errors) FROM runs_g
+UNION ALL SELECT 'rules', concat_ws('|', rule_id, severity, sink) FROM rules_g
+UNION ALL SELECT 'findings_semgrep', concat_ws('|', finding_id, run_id, rule_id, file_path, start_line, end_line, lines) FROM f_all WHERE NOT no_rule AND NOT no_run AND NOT again
+UNION ALL SELECT 'findings_rest', concat_ws('|', event_id, plugin_slug, trim(url, 'http://localhost:8080'), method, event_id * 3, data, name_of_changed_file, type_of_operation) FROM c_all WHERE NOT no_plugin AND interface = 'REST'
+UNION ALL SELECT 'findings_ajax', concat_ws('|', event_id, plugin_slug, trim(url, 'http://localhost:8080'), method, event_id * 3, data, name_of_changed_file, type_of_operation) FROM c_all WHERE NOT no_plugin AND interface = 'AJAX'
+UNION ALL SELECT 'findings_wp_cli', concat_ws('|', event_id, plugin_slug, url, type_of_operation, event_id * 3, name_of_changed_file) FROM c_all WHERE NOT no_plugin AND interface = 'WP_CLI'
+UNION ALL SELECT 'findings_function_hooks', concat_ws('|', event_id, plugin_slug, function, '[' || path0 || ']', error) FROM h_all WHERE NOT no_plugin)
+"""
+_WAREHOUSE_SQL = _FAULTY + """
+SELECT tbl, 'kept' AS status, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(r), 1, 8) AS BIGINT)) AS BIGINT) AS content FROM kept GROUP BY tbl
+UNION ALL SELECT 'plugins', 'null:version', count(*), NULL FROM p1 WHERE version IS NULL
+UNION ALL SELECT 'plugins', 'key:slug', count(*), NULL FROM p0 WHERE k % 100 = 0
+UNION ALL SELECT 'rules', 'domain:severity', count(*), NULL FROM rules_b WHERE severity = 'FATAL'
+UNION ALL SELECT 'dynamic_analysis', 'orphan:plugin_slug', (SELECT count(*) FROM dynamic_analysis) - (SELECT count(*) FROM dyn_g), NULL
+UNION ALL SELECT 'ajax_routes', 'orphan:plugin_slug', (SELECT count(*) FROM ajax_routes) - (SELECT count(*) FROM routes_g), NULL
+UNION ALL SELECT 'ajax_route_arguments', 'orphan:route_id', (SELECT count(*) FROM ajax_route_arguments) - (SELECT count(*) FROM args_g), NULL
+UNION ALL SELECT 'semgrep_runs', 'orphan:plugin_slug', (SELECT count(*) FROM semgrep_runs) - (SELECT count(*) FROM runs_g), NULL
+UNION ALL SELECT 'findings_semgrep', 'key:finding_id', count(*), NULL FROM f_all WHERE again
+UNION ALL SELECT 'findings_semgrep', 'orphan:rule_id', count(*), NULL FROM f_all WHERE no_rule
+UNION ALL SELECT 'findings_semgrep', 'orphan:run_id', count(*), NULL FROM f_all WHERE no_run
+UNION ALL SELECT 'findings_' || lower(interface), 'orphan:plugin_slug', count(*), NULL FROM c_all WHERE no_plugin GROUP BY interface
+UNION ALL SELECT 'findings_function_hooks', 'orphan:plugin_slug', count(*), NULL FROM h_all WHERE no_plugin HAVING count(*) > 0"""
+
+
+def _faulty_tables(t):
+    """Stand-in: rows for all tables of the warehouse, some of them faulty."""
+    k = F.replace(F.col("slug"), F.lit("plugin-")).cast("long")
+    p = t["plugins"].filter(k % 50 != 7).withColumn("version", F.when(k % 60 != 1, F.col("version")))
+    twice = p.filter(k % 100 == 0).withColumn("name", F.concat(F.col("name"), F.lit("~")))
+    rules = t["rules"].withColumn("severity", F.when(F.col("rule_id") == "WP-DEBUG_enabling", F.lit("FATAL")).otherwise(F.col("severity")))
+    routed = changes.route_changes(t["change_records"].withColumn("zip_file_number", F.col("event_id") * 3), "event_id") \
+        .withColumnRenamed("event_id", "finding_id")
+    routes = {f"findings_{i.lower()}": routed.filter(F.col("interface") == i) for i in ("REST", "AJAX", "WP_CLI")}
+    hook = t["hook_records"].select(F.col("event_id").alias("finding_id"), "plugin_slug", "function",
+                                    params_text(F.array("path0")).alias("params"), "error")
+    same = {name: t[name] for name in ("dynamic_analysis", "ajax_routes", "ajax_route_arguments", "semgrep_runs", "findings_semgrep")}
+    return {"plugins": p.unionByName(twice), "rules": rules, "findings_function_hooks": hook, **routes, **same}
+
+
+@query("s9_j2_f13_typed_warehouse", "S9 J2 F13 U6 P10 P16", _WAREHOUSE_SQL)
+def s9_checked(t):
+    """S9 + J2 + F13: all eleven tables checked against their types, keys,
+    references and domains, written, and read back with a hash of the content;
+    the quarantine by rule."""
+    root = scratch_path(t.spark, "s9-typed")
+    warehouse.load(_faulty_tables(t), root)
+    out = None
+    for name, table in warehouse.WAREHOUSE.items():
+        cells = [(F.col(c) * 100).cast("long") if kind == "double" else F.col(c) for c, (kind, _) in table.columns.items()]
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cells])), 1, 8), 16, 10).cast("long")
+        kept = warehouse.read(t.spark, root, name).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(digest).alias("content"))
+        bad = (warehouse.quarantine(t.spark, root, name).select(F.explode("violations").alias("status"))
+               .groupBy("status").agg(F.count(F.lit(1)).alias("n_rows")))
+        both = kept.select(F.lit(name).alias("tbl"), F.lit("kept").alias("status"), "n_rows", "content").unionByName(
+            bad.select(F.lit(name).alias("tbl"), "status", "n_rows", F.lit(None).cast("long").alias("content")))
+        out = both if out is None else out.unionByName(both)
+    return out

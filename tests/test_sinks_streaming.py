@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leaklens.operators import changes
-from leaklens.sources import files, sinks
+from leaklens.sources import files, sinks, warehouse
 from leaklens.operators.attribution import attributed
 from leaklens.streaming.attribution_stream import (
     RECORD_SCHEMA, TEST_FIELDS, read_tables, run_attribution, run_routed_changes, run_watch_to_tables)
@@ -168,3 +168,30 @@ def test_stream_into_tables_equals_a_loop_and_cleans_up(spark, tmp_path):
     # rows of a batch that broke off before its manifest line are not read
     (tmp_path / "tables/manifest/batch=5").rename(tmp_path / "unlisted")
     assert {r.event_id for r in read_tables(spark, tables).collect()} == {w[0] for w in want if w[0] < 300}
+
+
+def test_warehouse_quarantines_every_kind_of_fault(spark, tmp_path):
+    root = str(tmp_path / "wh")
+    contract = {"plugins": warehouse.WAREHOUSE["plugins"], "semgrep_runs": warehouse.WAREHOUSE["semgrep_runs"],
+                "rules": warehouse.WAREHOUSE["rules"], "findings_semgrep": warehouse.WAREHOUSE["findings_semgrep"]}
+    plugins = spark.createDataFrame(
+        [("A", "a", "1", "u", "5", "1"), ("A", "a", "1", "u", "5", "1"), ("B", "b", "1", "u", "many", "1"), ("Z", "a", "2", "u", "6", "1"),
+         ("C", "c", None, "u", "1", "1")], "name string, slug string, version string, download_link string, num_downloads string, active_installations string")
+    runs = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, None, None)], "run_id long, plugin_slug string, error_count int")
+    rules = spark.createDataFrame([("r", "INFO", None), ("s", "FATAL", None)], "rule_id string, severity string, sink string")
+    finding = "finding_id long, run_id long, rule_id string, file_path string, start_line int, end_line int, extra string"
+    findings = spark.createDataFrame([(1, 1, "r", "f", 1, 1, "x"), (2, 2, "s", "f", 1, 1, "x"), (3, 1, "none", "f", 1, 1, "x")], finding)
+    for _ in range(2):      # a repeated load leaves no duplicates
+        counts = warehouse.load({"plugins": plugins, "semgrep_runs": runs, "rules": rules, "findings_semgrep": findings}, root, contract)
+    assert counts == {"plugins": {"read": 5, "kept": 1, "quarantined": 4}, "semgrep_runs": {"read": 3, "kept": 1, "quarantined": 2},
+                      "rules": {"read": 2, "kept": 1, "quarantined": 1}, "findings_semgrep": {"read": 3, "kept": 1, "quarantined": 2}}
+    assert [tuple(r) for r in warehouse.read(spark, root, "plugins", contract).collect()] == [("A", "a", "1", "u", 5, 1)]
+    broken = {name: sorted(tuple(r.violations) for r in warehouse.quarantine(spark, root, name, contract).collect()) for name in contract}
+    assert broken == {
+        "plugins": [("key:slug",), ("key:slug",), ("null:version",), ("type:num_downloads",)],
+        "semgrep_runs": [("null:plugin_slug", "null:error_count"), ("orphan:plugin_slug",)],
+        "rules": [("domain:severity",)], "findings_semgrep": [("orphan:rule_id",), ("orphan:rule_id", "orphan:run_id")]}
+    raw = [json.loads(r.raw) for r in warehouse.quarantine(spark, root, "plugins", contract).collect()]
+    assert {"many"} == {r["num_downloads"] for r in raw if r["slug"] == "b"}
+    (row,) = warehouse.read(spark, root, "findings_semgrep", contract).collect()
+    assert (row.finding_id, row.message) == (1, None)
