@@ -327,13 +327,14 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
     ids = [r["item_id"] for r in rows]
     shipped = docs.sparkSession.sparkContext.broadcast(
         (idf, most, used, table[used], _unit(vectors[~low]), owner[np.concatenate([np.flatnonzero(~low), np.flatnonzero(low)])],
-         whole._replace(vector=(~low).sum() + np.arange(low.sum())), item_words, ids))
+         tuple(whole._replace(vector=(~low).sum() + np.arange(low.sum()))), item_words, ids))     # a broadcast names the classes it holds
     width = PASSAGE // STRIDE
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()),
                         ("first_word", pa.int64()), ("last_word", pa.int64()), ("cosine", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, most, known, latent, vec, own, whole, item, item_ids = shipped.value
+        weight, most, known, latent, vec, own, arrays, item, item_ids = shipped.value
+        whole = _Whole(*arrays)
         idf2 = weight**2
         at_row = np.full(len(weight), -1)
         at_row[known] = np.arange(len(known))
@@ -353,7 +354,7 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                 at = np.full(len(wanted), len(sums))
                 at[block[pick][lead]] = np.arange(len(sums))
                 sums = np.vstack([sums, np.zeros((1, sums.shape[1]), sums.dtype)])
-                doc_ids = part.column("doc_id").cast(pa.int64()).to_pylist()
+                doc_ids, hashes = part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("th").to_pylist()
                 found: dict[tuple[int, int], list[tuple[int, float]]] = {}
                 ends = np.cumsum(blocks)[doc]
                 for a in range(0, len(first) if len(vec) else 0, 8192):
@@ -374,12 +375,12 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                 for (d, k), places in found.items():
                     best = _check(words.hash[words.ptr[d]:words.ptr[d + 1]], item[k], sorted(places))
                     if best:
-                        for name, value in zip(schema.names, (doc_ids[d], item_ids[k], len(item[k]), *best)):
+                        for name, value in zip(schema.names, (doc_ids[d], hashes[d], item_ids[k], len(item[k]), *best)):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
+        run, "doc_id long, th long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
 
 
 def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
@@ -414,8 +415,14 @@ def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
 def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id,
     item_words, lcs, first_word, last_word (the stretch checked) and cosine."""
+    return _found(docs, items).drop("th")
+
+
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``contaminations`` with ``th``, the hash of the row's text."""
     spark: SparkSession = docs.sparkSession
-    found = spark.createDataFrame([], "doc_id long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
+    found = spark.createDataFrame(
+        [], "doc_id long, th long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
     idf = inverse_frequencies(docs.select("text"))
     for block in _item_blocks(items):
         part = _search(docs, idf, block)
@@ -425,7 +432,9 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item was found; rows without
+    """The rows of ``docs`` in which no benchmark item was found; a row is
+    decided by its own text, whatever other rows its doc_id has.  Rows without
     a doc_id are kept."""
-    hit = written(contaminations(docs, items).filter("doc_id is not null").select(F.col("doc_id").alias("__hit")).distinct(), "lsa-hits")
-    return docs.join(hit, docs["doc_id"] == hit["__hit"], "left_anti")
+    hit = written(_found(docs, items).filter("doc_id is not null")
+                  .select(F.col("doc_id").alias("__hit"), F.col("th").alias("__th")).distinct(), "lsa-hits")
+    return docs.join(hit, (docs["doc_id"] == hit["__hit"]) & (F.xxhash64(docs["text"]) == hit["__th"]), "left_anti")

@@ -71,12 +71,17 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 class Index:
     """Coarse centroids and residual codebooks for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.coarse = _kmeans(sample, lists, 9)
-        own = _distances(sample, self.coarse).argmin(1)
-        rest = sample - self.coarse[own]
-        self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        self.books = [_kmeans(rest[:, cut], CODES, 10 + i) for i, cut in enumerate(self.cuts)]
+    def __init__(self, coarse: np.ndarray, books: list[np.ndarray]):
+        self.coarse, self.books = coarse, books
+        self.cuts = np.array_split(np.arange(coarse.shape[1]), len(books))
+
+    @staticmethod
+    def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The arrays of an index."""
+        coarse = _kmeans(sample, lists, 9)
+        rest = sample - coarse[_distances(sample, coarse).argmin(1)]
+        cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
+        return coarse, [_kmeans(rest[:, cut], CODES, 10 + i) for i, cut in enumerate(cuts)]
 
     def add(self, x: np.ndarray):
         """(list, codes, error length, squared distances to the centroids)."""
@@ -171,17 +176,19 @@ def _links(reps: DataFrame, n: int, most: int, cosine: float, radius: float) ->
     x = np.array([np.asarray(v, dtype=np.float64) for v in sample["x"]]) if len(sample) else np.ones((1, reps.first()["dim"]))
     x = _normed(x)
     lists = min(MOST_LISTS, max(4, math.ceil(most / LIST_SIZE)))
-    index = reps.sparkSession.sparkContext.broadcast(Index(x, lists))
+    # plain arrays, as a broadcast names the classes it holds
+    shipped = reps.sparkSession.sparkContext.broadcast(Index.fit(x, lists))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*shipped.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 raw = [np.asarray(v, dtype="<f8").tobytes() for v in part.column("x").to_pylist()]
                 if not raw:
                     continue
-                own, codes, error, far = index.value.add(_unit(raw))
-                near = index.value.probes(far, own, radius)
+                own, codes, error, far = index.add(_unit(raw))
+                near = index.probes(far, own, radius)
                 probes = [np.flatnonzero(r).tolist() for r in near]
                 yield pa.RecordBatch.from_arrays([
                     part.column("rep"), part.column("label"), part.column("copies"), pa.array(raw, pa.binary()),
@@ -212,7 +219,7 @@ def _links(reps: DataFrame, n: int, most: int, cosine: float, radius: float) ->
             return pd.DataFrame({"a": [], "b": [], "n": []})
         x, y = _unit(list(ask["raw"])), _unit(list(have["raw"]))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in have["codes"]])
-        bound = index.value.lookup(x, int(pdf["list"].iloc[0]), codes) - have["error"].to_numpy()[None, :]
+        bound = Index(*shipped.value).lookup(x, int(pdf["list"].iloc[0]), codes) - have["error"].to_numpy()[None, :]
         i, j = np.nonzero(bound <= radius + 1e-6)
         exact = np.concatenate([np.einsum("ij,ij->i", x[i[a:a + 65536]], y[j[a:a + 65536]])
                                 for a in range(0, max(1, len(i)), 65536)])

@@ -159,9 +159,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken,
-    with ``copy`` (from 0)."""
+    with ``copy`` (from 0; ``copy_`` where ``docs`` has such a column, and so on)."""
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     taken = mix(docs, weights, share, most).filter("copies > 0")
     taken = taken.select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
     both = docs["source"].eqNullSafe(taken["__source"]) & docs["doc_id"].eqNullSafe(taken["__id"])
-    return (docs.join(taken, both).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    return (docs.join(taken, both).withColumn(number, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
             .drop("__source", "__id", "__copies"))

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,7 +122,8 @@ def _digest(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(doc_id, n_words, d1, d2, bands): word-sequence digest and band hashes."""
+    """(doc_id, th, n_words, d1, d2, bands): hash of the text, word-sequence
+    digest and band hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,20 +138,22 @@ def signatures(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows: int
                 d1, d2 = _digest(words)
                 offsets = np.arange(0, (len(d1) + 1) * bands, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id").cast(pa.int64()), pa.array(np.diff(words.ptr).astype(np.int64)),
+                    part.column("doc_id").cast(pa.int64()), part.column("th"), pa.array(np.diff(words.ptr).astype(np.int64)),
                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
                     pa.ListArray.from_arrays(offsets, band.reshape(-1).view(np.int64)),
-                ], ["doc_id", "n_words", "d1", "d2", "bands"])
+                ], ["doc_id", "th", "n_words", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_words long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(
+        run, "doc_id long, th long, n_words long, d1 long, d2 long, bands array<long>")
 
 
 def _with_sets(docs: DataFrame, info: DataFrame, n: int) -> DataFrame:
-    """``info`` (node, ...) with ``shingles``, the packed set of the occurrence-
-    tagged shingles of the document; one row per node."""
+    """``info`` (node, th, ...) with ``shingles``, the packed set of the
+    occurrence-tagged shingles of the document's text with hash ``th``; one row
+    per node."""
     names = info.columns
-    rows = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("__text")).join(info.hint("merge"), "node")
+    rows = docs.select(F.col("doc_id").alias("node"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
+    rows = rows.join(info.hint("merge"), ["node", "th"])
     rows = rows.dropDuplicates(["node"])
     schema = T.StructType([*info.schema.fields, T.StructField("shingles", T.BinaryType())])
 
@@ -205,12 +208,12 @@ def _forest(node: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
 
 def _links(docs: DataFrame, family: DataFrame, n: int, threshold: float) -> DataFrame:
     """Edges (a, b) whose components are those of all linked pairs within the
-    families; ``family``: (node, family, size)."""
+    families; ``family``: (node, th, family, size)."""
     small = family.filter(F.col("size") <= SMALL).count()
     packs = max(1, math.ceil(small / (2 * SMALL)))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     info = family.select(
-        "node", "family", "size", (F.col("size") <= SMALL).alias("packed"),
+        "node", "th", "family", "size", (F.col("size") <= SMALL).alias("packed"),
         F.when(F.col("size") <= SMALL, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")).alias("g"),
         blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"),
         ((blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PIVOTS)).alias("pivot"))
@@ -255,30 +258,58 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESH
 
     Only the columns doc_id and text are read; others may have any name.
     """
+    return _decided(docs, n, threshold).drop("th")
+
+
+def _decided(docs: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The rows of ``near_duplicates`` with ``th``, the hash of the row's text.
+
+    Texts that share their smallest doc_id are one node; the one with the
+    smallest hash stands for it, the others are compared with nothing."""
     sig = written(signatures(docs, n), "near-signatures")
-    reps = sig.filter("n_words > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_of"))
-    reps = written(reps, "near-reps")
-    band = (sig.join(reps.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
+    reps = sig.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(F.when(
+        F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("first"))
+    reps = written(reps.select("d1", "d2", F.col("first.doc_id").alias("copy_of"), F.col("first.th").alias("rep_th")), "near-reps")
+    nodes = reps.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min("rep_th").alias("th"))
+    band = (sig.join(nodes, ["doc_id", "th"], "left_semi")
             .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")))
     lead = band.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
     star = written(band.join(lead, "band").filter("node <> lead")
                    .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "near-star")
     member = components(star)
     sizes = member.groupBy("root").agg(F.count("*").alias("size"))
-    family = written(member.join(sizes, "root").select("node", F.col("root").alias("family"), "size"), "near-families")
-    classes = components(_links(docs, family, n, threshold))
-    out = (sig.select("doc_id", "n_words", "d1", "d2").join(reps, ["d1", "d2"], "left")
-           .join(classes.select(F.col("node").alias("copy_of"), "root"), "copy_of", "left"))
+    family = member.join(sizes, "root").select("node", F.col("root").alias("family"), "size")
+    family = written(family.join(nodes.withColumnRenamed("doc_id", "node"), "node"), "near-families")
+    classes = components(_links(docs, family, n, threshold)).join(nodes.withColumnRenamed("doc_id", "node"), "node")
+    classes = classes.select(F.col("node").alias("copy_of"), F.col("th").alias("rep_th"), "root")
+    out = (sig.select("doc_id", "th", "n_words", "d1", "d2").join(reps, ["d1", "d2"], "left")
+           .join(classes, ["copy_of", "rep_th"], "left"))
     alone = F.col("n_words") == 0
     copy_of = F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of"))
     class_id = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "copy_of"))
-    return out.select("doc_id", class_id.alias("class_id"), copy_of.alias("copy_of"), "n_words",
-                      class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    first = alone | F.col("rep_th").isNull() | (F.col("th") == F.col("rep_th"))
+    return out.select("doc_id", "th", class_id.alias("class_id"), copy_of.alias("copy_of"), "n_words",
+                      (class_id.eqNullSafe(F.col("doc_id")) & first).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that represent their class, all columns unchanged.
-    Rows without a doc_id are kept."""
-    gone = written(near_duplicates(docs, n, threshold).filter("not kept and doc_id is not null")
-                   .select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+    Rows are decided by doc_id and text: a copy goes, whatever other texts its
+    doc_id has.  Of rows with equal doc_id and text one stays, the smallest by a
+    hash of its columns; rows without a doc_id are copies only of each other."""
+    decided = written(_decided(docs, n, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(
+        F.max("kept").alias("__kept"), F.count("*").alias("__n")), "near-decided")
+    gone = decided.filter("not __kept and __id is not null").select("__id", "__th")
+    several = decided.filter("(__kept or __id is null) and __n > 1").select("__id", "__th")
+
+    def same(rows: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(docs["text"]) == rows["__th"])
+
+    rest = docs.join(gone, same(gone), "left_anti")
+    if several.isEmpty():
+        return rest
+    names = docs.columns
+    again = docs.join(several, same(several)).groupBy("__id", "__th").agg(
+        F.min_by(F.struct(*[docs[c] for c in names]), F.xxhash64(*[docs[c] for c in names])).alias("__row"))
+    return rest.join(several, same(several), "left_anti").unionByName(again.select("__row.*"))

@@ -203,6 +203,10 @@ def drop_repeated_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with every marked passage cut out of text (and n_chars set to
     the new length, where that column exists).  All rows and columns stay; a
     null text stays null."""
+    plain = {"doc_id", "text", "n_chars"}
+    if set(docs.columns) - plain & {"digests", "keepers", "__id"}:
+        taken = [c if c in plain else f"__c{i}" for i, c in enumerate(docs.columns)]
+        return drop_repeated_passages(docs.toDF(*taken)).toDF(*docs.columns)
     names = docs.columns
     shared = repeated_units(docs).select(F.col("doc_id").alias("__id"), "digests", "keepers")
     rows = docs.join(shared, docs["doc_id"] == shared["__id"], "left").drop("__id")

@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +43,7 @@ DECAY = 0.8
 LANDMARKS = 192
 TRAIN_ROWS = 1500
 PIECE = 20_000          # words whose kernel is computed at once
+BLOCK = 512             # pairs of words whose subsequences are counted at once
 MARRED = 6              # about so many documents with a marred word fit the logistic curve
 FAINT = 0.02            # smaller kernels count as zero in training
 LONGEST = 24            # longer words are read in overlapping windows
@@ -105,15 +106,15 @@ def _subsequences(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     matrices."""
     out = np.empty(len(s), dtype=np.float64)
     a, b = _decays(s.shape[1]), _decays(t.shape[1]).T
-    for at in range(0, len(s), 4096):
-        x, y = s[at:at + 4096], t[at:at + 4096]
+    for at in range(0, len(s), BLOCK):
+        x, y = s[at:at + BLOCK], t[at:at + BLOCK]
         same = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] > 0)).astype(np.float32)
         grown = same
         for _ in range(2):
             total = np.matmul(np.matmul(a, grown), b) * DECAY**2
             grown = np.zeros_like(same)
             grown[:, 1:, 1:] = same[:, 1:, 1:] * total[:, :-1, :-1]
-        out[at:at + 4096] = grown.sum(axis=(1, 2)) * DECAY**2
+        out[at:at + BLOCK] = grown.sum(axis=(1, 2)) * DECAY**2
     return out
 
 
@@ -153,12 +154,12 @@ class Model:
         value = np.zeros(len(w))
         length = np.array([len(x) for x in words])[w] if len(w) else np.zeros(0)
         wide = max((len(x) for x in self.landmarks), default=1)
-        known = np.unique(w)
         own = np.zeros(len(words))
-        own[known] = _subsequences(codes[known], codes[known])
         for low, high in ((0, 8), (8, 14), (14, LONGEST)):
             pick = np.flatnonzero((length > low) & (length <= high))
             value[pick] = _subsequences(codes[w[pick], :high], self.codes[z[pick], :wide])
+            self_pick = np.unique(w[pick])
+            own[self_pick] = _subsequences(codes[self_pick, :high], codes[self_pick, :high])
         scale = np.sqrt(own[w] * self.norm[z])
         return w, z, np.divide(value, scale, out=np.zeros_like(value), where=scale > 0) ** POWER
 
@@ -171,10 +172,10 @@ class Model:
         bags = [raw_words(t) for t in texts]
         fresh = sorted({w for bag in bags for w in bag if w not in cache})
         if fresh:
-            split = [_windows(w) for w in fresh]
+            split = [[w] if w.isalnum() and len(w) <= LONGEST else _windows(w) for w in fresh]
             flat = sorted({x for parts in split for x in parts})
             value = dict(zip(flat, self.margins(flat).tolist()))
-            cache.update((w, max(value[x] for x in parts)) for w, parts in zip(fresh, split))
+            cache.update((w, value[parts[0]] if len(parts) == 1 else max(value[x] for x in parts)) for w, parts in zip(fresh, split))
         return np.array([max(map(cache.__getitem__, bag), default=self.bias) for bag in bags])
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -187,9 +188,14 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 25) -> np.nd
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        xa, ca = x[active].astype(np.float64), c[active]
-        new = np.linalg.solve(ridge + xa.T @ (xa * ca[:, None]), xa.T @ (ca * y[active]))
+        active = np.flatnonzero(y * (x @ w.astype(x.dtype)) < 1)
+        gram, right = ridge.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(active), 4096):      # slices: no second copy of x
+            i = active[at:at + 4096]
+            xa = x[i].astype(np.float64)
+            gram += xa.T @ (xa * c[i][:, None])
+            right += xa.T @ (c[i] * y[i])
+        new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -212,8 +218,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model | None:
-    """A model from word lists (one per training document) and labels."""
+def fit(bags: Iterable[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Model | None:
+    """A model from word lists (one per training document, read once) and labels."""
     toxic = np.asarray(toxic, dtype=np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
@@ -287,7 +293,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray, landmarks: int = LANDMARKS) ->
 
 def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, toxic, words): up to about ``train_rows`` labelled documents of
-    each class, chosen by hash, outside the held-out fold."""
+    each class, chosen by hash, outside the held-out fold, with their distinct
+    words.  Of rows with one doc_id the smallest text counts."""
     marks = (labels.filter("doc_id is not null and toxic is not null")
              .select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
              .filter(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("toxic").alias("toxic")))
@@ -297,7 +304,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     for kind in (0, 1):
         share = F.when(F.col("toxic") == kind, min(1.0, train_rows / max(1, count.get(kind, 0)))).otherwise(share)
     chosen = marks.filter(draw < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+            .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -314,10 +322,9 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> Model | None:
-    sample = training_sample(docs, labels, train_rows).orderBy("doc_id").toPandas()
-    toxic, words = sample["toxic"].to_numpy(), sample.pop("words").tolist()
-    del sample
-    return fit(words, toxic, landmarks)
+    sample = training_sample(docs, labels, train_rows).orderBy("doc_id")
+    sample = sample.select("toxic", F.array_join("words", " ").alias("words")).toPandas()     # one text a document: less memory here
+    return fit((text.split(" ") for text in sample["words"]), sample["toxic"].to_numpy(), landmarks)
 
 
 def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
@@ -325,10 +332,11 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
     names = docs.columns
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
-    shipped = docs.sparkSession.sparkContext.broadcast(model)   # at most LANDMARKS short words
+    # at most LANDMARKS short words; plain values, as a broadcast names the classes it holds
+    shipped = docs.sparkSession.sparkContext.broadcast((model.landmarks, model.weights, model.bias, model.slope, model.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, cache = shipped.value, {}
+        fitted, cache = Model(*shipped.value), {}
         for batch in batches:
             texts, scores, size = batch.column("text").to_pylist(), [], 0
             at = 0
