@@ -52,6 +52,8 @@ CAPTURED = 0.9
 LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
 ITEM_BLOCK = 2000
+GROUPS = 24             # of passages, each with a bound of its own
+SLICE = 4096            # blocks of words whose latent sums are made at once
 
 _U = np.uint64
 
@@ -199,23 +201,26 @@ def _lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _most(table: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """The largest product, 0 at least, of each row of ``table`` with any vector."""
-    most = np.zeros(len(table))
-    for a in range(0, len(table), 4096):
-        for b in range(0, len(vectors), 1024):
-            np.maximum(most[a:a + 4096], (table[a:a + 4096] @ vectors[b:b + 1024].T).max(axis=1), out=most[a:a + 4096])
+    """The largest product, 0 at least, of each row of ``table`` with any
+    vector of each of GROUPS runs of neighbouring vectors."""
+    most = np.zeros((len(table), GROUPS), dtype=np.float32)
+    for g, run in enumerate(np.array_split(vectors, GROUPS)):
+        for a in range(0, len(table) if len(run) else 0, 4096):
+            for b in range(0, len(run), 1024):
+                np.maximum(most[a:a + 4096, g], (table[a:a + 4096] @ run[b:b + 1024].T).max(axis=1), out=most[a:a + 4096, g])
     return most
 
 
 def _windows(words: W.Words, idf2: np.ndarray, most: np.ndarray):
     """Blocks of STRIDE words, and the windows of them that may reach COSINE:
     (block of each word, first block, document, place, weight) of the windows."""
-    weight, blocks = _block_sums(words, np.column_stack([idf2, most]), STRIDE)
+    weight, blocks = _block_sums(words, np.column_stack([idf2, most]).astype(np.float32), STRIDE)
     total, doc, place = _passages(weight, blocks, PASSAGE // STRIDE)
     start = np.concatenate([[0], np.cumsum(blocks)])
     first = start[doc] + place
-    hopeful = total[:, 1] >= (COSINE - 1e-4) * np.sqrt(total[:, 0])     # less the rounding of float32
-    hopeful &= total[:, 1] > 0
+    best = total[:, 1:].max(axis=1)     # the words of a window must meet in one group of passages
+    hopeful = best >= (COSINE - 1e-4) * np.sqrt(total[:, 0])     # less the rounding of float32
+    hopeful &= best > 0
     place_of = np.arange(len(words.hash)) - np.repeat(words.ptr[:-1], np.diff(words.ptr))
     block = np.repeat(start[:-1], np.diff(words.ptr)) + place_of // STRIDE
     return block, blocks, first[hopeful], doc[hopeful], place[hopeful], total[hopeful, 0]
@@ -320,9 +325,11 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
     mine = low[keys >> HASH_BITS]
     renumbered = (np.cumsum(low) - 1)[keys[mine] >> HASH_BITS]
     whole = _whole((renumbered << HASH_BITS) | (keys[mine] & ((1 << HASH_BITS) - 1)), entries[mine], np.flatnonzero(low))
-    most = np.zeros(1 << HASH_BITS)
-    most[used] = _most(table[used], _unit(vectors[~low]).astype(np.float32))
-    np.maximum.at(most, whole.keys & ((1 << HASH_BITS) - 1), whole.entries * idf[whole.keys & ((1 << HASH_BITS) - 1)])
+    most = np.zeros((1 << HASH_BITS, 2 * GROUPS), dtype=np.float32)
+    most[used, :GROUPS] = _most(table[used], _unit(vectors[~low]).astype(np.float32))
+    bucket, group = whole.keys & ((1 << HASH_BITS) - 1), (whole.keys >> HASH_BITS) * GROUPS // max(1, len(whole.vector))
+    np.maximum.at(most, (bucket, GROUPS + group), (whole.entries * idf[bucket]).astype(np.float32))
+    most = most[:, most.any(axis=0)] if most.any() else most[:, :1]
     item_words = [words.hash[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:])]
     ids = [r["item_id"] for r in rows]
     shipped = docs.sparkSession.sparkContext.broadcast(
@@ -350,10 +357,14 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                 row = at_row[_buckets(words)]
                 pick = np.flatnonzero((row >= 0) & wanted[block])
                 lead = np.flatnonzero(np.diff(block[pick], prepend=-1))
-                sums = np.add.reduceat(latent[row[pick]], lead, axis=0)
-                at = np.full(len(wanted), len(sums))
-                at[block[pick][lead]] = np.arange(len(sums))
-                sums = np.vstack([sums, np.zeros((1, sums.shape[1]), sums.dtype)])
+                sums = np.empty((len(lead) + 1, latent.shape[1]), latent.dtype)
+                sums[-1] = 0
+                until = np.append(lead, len(pick))
+                for a in range(0, len(lead), SLICE):        # bounded, however long a document is
+                    part_of = pick[until[a]:until[min(a + SLICE, len(lead))]]
+                    sums[a:a + SLICE][:len(lead) - a] = np.add.reduceat(latent[row[part_of]], lead[a:a + SLICE] - lead[a], axis=0)
+                at = np.full(len(wanted), len(lead))
+                at[block[pick][lead]] = np.arange(len(lead))
                 doc_ids, hashes = part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("th").to_pylist()
                 found: dict[tuple[int, int], list[tuple[int, float]]] = {}
                 ends = np.cumsum(blocks)[doc]
@@ -389,7 +400,7 @@ def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
     neighbouring candidate passages and as many words around them as the item
     has; long stretches are read in overlapping pieces."""
     n, best = len(item), None
-    answer = np.unique(item[-ANSWER:])
+    answer, known = np.unique(item[-ANSWER:]), np.unique(item)
     stretches: list[list] = []
     for place, cosine in places:
         a, b = max(0, place * STRIDE - n), place * STRIDE + PASSAGE + n
@@ -398,11 +409,19 @@ def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
         else:
             stretches.append([a, b, cosine])
     reach = 2 * n + PASSAGE
-    shared = np.concatenate([[0], np.cumsum(np.isin(text, item))])     # a subsequence is no longer than this in its piece
     for a, b, cosine in stretches:
+        near = text[a:b + reach]
+        at_known = np.minimum(np.searchsorted(known, near), len(known) - 1)
+        hit = known[at_known] == near
+        shared = np.concatenate([[0], np.cumsum(hit)])      # a subsequence is no longer than this in its piece
         for at in range(a, max(a + 1, min(b, len(text)) - reach // 2), reach // 2):
             part = text[at:at + reach]
-            if not len(part) or shared[at + len(part)] - shared[at] < LCS_PARAPHRASE * n or (np.isin(item, part).sum() < LCS_PARAPHRASE * n):
+            here = slice(at - a, at - a + len(part))
+            if not len(part) or shared[here.stop] - shared[here.start] < LCS_PARAPHRASE * n:
+                continue
+            found = np.zeros(len(known), dtype=bool)
+            found[at_known[here][hit[here]]] = True
+            if found[np.searchsorted(known, item)].sum() < LCS_PARAPHRASE * n:
                 continue
             common = _lcs(item, part)
             if common < LCS_PARAPHRASE * n or (best and common <= best[0]):

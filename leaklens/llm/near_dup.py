@@ -298,10 +298,12 @@ def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, threshold: float = T
     Rows are decided by doc_id and text: a copy goes, whatever other texts its
     doc_id has.  Of rows with equal doc_id and text one stays, the smallest by a
     hash of its columns; rows without a doc_id are copies only of each other."""
-    decided = written(_decided(docs, n, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(
-        F.max("kept").alias("__kept"), F.count("*").alias("__n")), "near-decided")
-    gone = decided.filter("not __kept and __id is not null").select("__id", "__th")
-    several = decided.filter("(__kept or __id is null) and __n > 1").select("__id", "__th")
+    decided = _decided(docs, n, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(
+        F.max("kept").alias("__kept"), F.count("*").alias("__n"))
+    is_gone = ~F.col("__kept") & F.col("__id").isNotNull()
+    decided = written(decided.filter(is_gone | (F.col("__n") > 1)), "near-decided")
+    gone = decided.filter(is_gone).select("__id", "__th")
+    several = decided.filter(~is_gone).select("__id", "__th")
 
     def same(rows: DataFrame) -> Column:
         return docs["doc_id"].eqNullSafe(rows["__id"]) & (F.xxhash64(docs["text"]) == rows["__th"])
