@@ -64,6 +64,90 @@ def ajax_cases(routes: DataFrame, args: DataFrame) -> DataFrame:
     return per_arg.unionByName(all_args).unionByName(plain)
 
 
+def ajax_payloads(routes: DataFrame, args: DataFrame) -> DataFrame:
+    """M1 with whole payloads: (route_id, plugin_slug, method, case_kind,
+    payload map) of every AJAX case.
+
+    A route's arguments are gathered once (bounded by its declaration); all
+    its cases, the two with every argument too, are exploded from them."""
+    each = args.groupBy("route_id").agg(F.sort_array(F.collect_list(F.struct("arg_name", "method"))).alias("args"))
+    templates = F.array(*[F.struct(F.lit(sfx).alias("suffix"), F.lit(v).alias("value"))
+                          for sfx in AJAX_KEY_SUFFIXES for v in AJAX_VALUES])
+
+    def case(method, kind: str, payload):
+        return F.named_struct(F.lit("method"), method, F.lit("case_kind"), F.lit(kind), F.lit("payload"), payload)
+
+    single = F.flatten(F.transform("args", lambda a: F.transform(templates, lambda t: case(
+        a["method"], "arg", F.create_map(F.concat(a["arg_name"], t["suffix"]), t["value"])))))
+    names = F.array_distinct(F.transform("args", lambda a: a["arg_name"]))
+    everything = F.map_from_entries(F.transform(names, lambda n: F.struct(n, F.lit(string.printable))))
+    combined = F.array(*[case(F.lit(m), "all", everything) for m in ALL_ARGS_METHODS])
+    plain = F.array(case(F.lit("POST"), "plain", F.create_map(F.lit("action"), F.col("action"))))
+    cases = F.when(F.col("args").isNull(), plain).otherwise(F.concat(single, combined))
+    return (routes.join(each, "route_id", "left").select("route_id", "plugin_slug", F.explode(cases).alias("c"))
+            .select("route_id", "plugin_slug", "c.*"))
+
+
+# What the REST index says of a route and of an argument.
+REST_ARGUMENT = "map<string, struct<type: string, format: string, enum: array<string>>>"
+REST_INDEX = "routes map<string, struct<endpoints: array<struct<methods: array<string>, args: string>>>>"
+
+
+def rest_index_cases(index: DataFrame, site: str, now_iso: str) -> DataFrame:
+    """M2 from the REST index: (route, method, case_kind, url, data) of every call.
+
+    ``index`` has ``routes`` (REST_INDEX).  The arguments of an endpoint are an
+    object, or an empty list where it has none: then its first method is called
+    once.  GET calls carry arguments in the url, the others in ``data``, a map.
+    Per argument each enum value, a valid and an invalid sample; per method all
+    valid, all invalid and none."""
+    endpoints = (index.select(F.explode("routes").alias("route", "details"))
+                 .select("route", F.posexplode("details.endpoints").alias("place", "e"))
+                 .select("route", "place", F.col("e.methods").alias("methods"),
+                         F.from_json("e.args", REST_ARGUMENT).alias("args"),
+                         F.ltrim(F.coalesce("e.args", F.lit("[]"))).startswith("[").alias("bare")))
+    url = F.concat(F.lit(site), F.col("route"))
+    no_data = F.lit(None).cast("map<string,string>")
+    bare = endpoints.filter("bare").select(
+        "route", F.element_at("methods", 1).alias("method"), F.lit("no_arguments").alias("case_kind"), url.alias("url"), no_data.alias("data"))
+    # samples of every argument, then every case of the endpoint from them
+    each = (endpoints.filter(~F.col("bare")).select("route", "place", "methods", F.posexplode_outer(F.map_entries("args")).alias("at", "a"))
+            .select("route", "place", "methods", "at", F.col("a.key").alias("arg"), F.coalesce("a.value.type", F.lit("string")).alias("type"),
+                    F.col("a.value.format").alias("format"), F.col("a.value.enum").alias("enum")))
+    each = each.withColumn("valid", valid_sample("type", "format", now_iso)).withColumn("invalid", invalid_sample("type"))
+    gathered = each.groupBy("route", "place").agg(
+        F.first("methods").alias("methods"),
+        F.sort_array(F.collect_list(F.when(F.col("arg").isNotNull(), F.struct("at", "arg", "valid", "invalid", "enum")))).alias("args"))
+
+    def entry(name, value):
+        return F.named_struct(F.lit("k"), name, F.lit("v"), value)
+
+    def case(kind: str, entries):
+        return F.named_struct(F.lit("case_kind"), F.lit(kind), F.lit("entries"), entries)
+
+    def one(kind: str, name, value):
+        return case(kind, F.array(entry(name, value)))
+
+    enums = F.flatten(F.transform("args", lambda a: F.transform(
+        F.coalesce(a["enum"], F.array().cast("array<string>")), lambda v: one("enum", a["arg"], v))))
+    samples = F.flatten(F.transform("args", lambda a: F.array(one("valid", a["arg"], a["valid"]), one("invalid", a["arg"], a["invalid"]))))
+
+    def whole(kind: str):
+        return case(f"all_{kind}", F.transform("args", lambda a: entry(a["arg"], a[kind])))
+
+    nothing = case("none", F.array().cast("array<struct<k:string,v:string>>"))
+    cases = F.concat(enums, samples, F.array(whole("valid"), whole("invalid"), nothing))
+    calls = (gathered.select("route", F.explode("methods").alias("method"), cases.alias("cases"))
+             .select("route", "method", F.explode("cases").alias("c")).select("route", "method", "c.*"))
+    is_get, none = F.col("method") == "GET", F.size("entries") == 0
+    # without arguments a body has no case with all of them
+    calls = calls.filter(is_get | ~none | (F.col("case_kind") == "none"))
+    pairs = F.array_join(F.transform("entries", lambda e: F.concat(e["k"], F.lit("="), e["v"])), "&")
+    query = F.when(is_get & ~none, F.concat(F.lit("?"), pairs)).when(is_get & (F.col("case_kind") != "none"), F.lit("?")).otherwise(F.lit(""))
+    data = F.when(~is_get, F.map_from_entries("entries"))
+    return calls.select("route", "method", "case_kind", F.concat(url, query).alias("url"), data.alias("data")).unionByName(bare)
+
+
 def rest_cases(specs: DataFrame, now_iso: str, routes: DataFrame | None = None) -> DataFrame:
     """M2: REST cases from flat argument specs (route_id, method, arg, type,
     format[, enum array]) -> (route_id, method, case_kind, arg, value).

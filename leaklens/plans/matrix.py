@@ -9,6 +9,7 @@ from leaklens.functions.predicates import STANDARD_NAMESPACES, non_default_names
 from leaklens.functions.regex import sql_str
 from leaklens.operators import matrix
 from leaklens.plans.registry import query
+from leaklens.session import scratch_path
 from leaklens.sources.adapters import cte
 
 NOW = "2024-01-01T00:00:00"  # the runner's clock, fixed for reproducible runs
@@ -131,3 +132,63 @@ def f8(t):
           .select(F.regexp_extract("url", _NS_RE, 1).alias("namespace")))
     return (ns.filter((F.col("namespace") != "") & non_default_namespace("namespace"))
             .groupBy("namespace").agg(F.count(F.lit(1)).alias("n_changes")))
+
+
+def _as_text(payload: str):
+    """A map as sorted ``key=value`` lines, for comparison."""
+    return F.array_join(F.sort_array(F.transform(F.map_entries(payload), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
+
+
+@query("m1_ajax_payloads", "M1 J8 J5", _J5 + f"""SELECT route_id, plugin_slug, method, 'arg' AS case_kind, arg_name || suffix || '=' || value AS payload
+ FROM j5 CROSS JOIN {_TPL} WHERE arg_name IS NOT NULL
+UNION ALL SELECT route_id, plugin_slug, m, 'all', payload FROM (
+ SELECT route_id, plugin_slug, string_agg(arg_name || '=' || {sql_str(matrix.string.printable)}, '&' ORDER BY arg_name) AS payload
+ FROM (SELECT DISTINCT route_id, plugin_slug, arg_name FROM j5 WHERE arg_name IS NOT NULL) GROUP BY route_id, plugin_slug)
+ CROSS JOIN (VALUES ('POST'), ('GET')) AS v(m)
+UNION ALL SELECT route_id, plugin_slug, 'POST', 'plain', 'action=' || action FROM j5 WHERE arg_name IS NULL""")
+def m1_payloads(t):
+    """M1: every AJAX case with its whole payload, the combined ones too."""
+    r, a = _routes(t)
+    cases = matrix.ajax_payloads(r, a)
+    return cases.select("route_id", "plugin_slug", "method", "case_kind", _as_text("payload").alias("payload"))
+
+
+_SITE = "http://localhost:8080/wp-json"
+# Fixed values of the stand-in index: four arguments a route; every 7th route
+# has none; methods by the route's number.
+_INDEX_SQL = cte("arg_specs") + f""", a AS (
+ SELECT route_id // 4 AS r, route_id % 4 AS pos, 'a' || CAST(route_id % 4 AS VARCHAR) AS arg, {_valid_sql()} AS valid, {_invalid_sql()} AS invalid,
+  route_id % 5 = 0 AS has_enum FROM arg_specs),
+routes AS (SELECT DISTINCT r, '/shop/v1/r' || CAST(r AS VARCHAR) AS route, r % 7 = 0 AS bare FROM a),
+methods AS (SELECT r, route, bare, unnest(CASE r % 3 WHEN 0 THEN ['GET'] WHEN 1 THEN ['POST', 'PUT'] ELSE ['GET', 'DELETE'] END) AS method FROM routes),
+cases AS (
+ SELECT r, 'enum' AS case_kind, arg || '=' || v AS entries FROM a CROSS JOIN (VALUES ('x y'), ('z')) AS e(v) WHERE has_enum
+ UNION ALL SELECT r, 'valid', arg || '=' || valid FROM a UNION ALL SELECT r, 'invalid', arg || '=' || invalid FROM a
+ UNION ALL SELECT r, 'all_valid', string_agg(arg || '=' || valid, '&' ORDER BY pos) FROM a GROUP BY r
+ UNION ALL SELECT r, 'all_invalid', string_agg(arg || '=' || invalid, '&' ORDER BY pos) FROM a GROUP BY r
+ UNION ALL SELECT r, 'none', '' FROM routes)
+SELECT route, method, case_kind, '{_SITE}' || route || CASE WHEN method = 'GET' AND entries <> '' THEN '?' || entries ELSE '' END AS url,
+ CASE WHEN method <> 'GET' THEN entries END AS data FROM methods JOIN cases USING (r) WHERE NOT bare
+UNION ALL SELECT route, CASE r % 3 WHEN 1 THEN 'POST' ELSE 'GET' END, 'no_arguments', '{_SITE}' || route, NULL FROM routes WHERE bare"""
+
+
+@query("m2_rest_index_cases", "M2 P12 P13 S4", _INDEX_SQL)
+def m2_index(t):
+    """M2 from REST index documents: enum, valid, invalid and combined cases in
+    the url or the body, and routes without arguments."""
+    path = scratch_path(t.spark, "m2-index")
+    r = F.floor(F.col("route_id") / 4)
+    spec = F.struct("type", "format", F.when(F.col("route_id") % 5 == 0, F.array(F.lit("x y"), F.lit("z"))).alias("enum"))
+    # stand-in: one index document per line, its routes with their endpoints
+    a = t["arg_specs"].select(r.alias("r"), F.struct(F.concat(F.lit("a"), (F.col("route_id") % 4).cast("string")).alias("k"), spec.alias("v")).alias("e"))
+    in_order = F.array_sort(F.collect_list("e"), lambda x, y: F.when(x["k"] < y["k"], -1).otherwise(1))
+    routes = a.groupBy("r").agg(F.map_from_entries(in_order).alias("m"))
+    methods = F.when(F.col("r") % 3 == 0, F.array(F.lit("GET"))).when(F.col("r") % 3 == 1, F.array(F.lit("POST"), F.lit("PUT"))) \
+        .otherwise(F.array(F.lit("GET"), F.lit("DELETE")))
+    args = F.when(F.col("r") % 7 == 0, F.lit("[]")).otherwise(F.to_json("m"))
+    text = F.concat(F.lit('{"routes": {"/shop/v1/r'), F.col("r").cast("string"), F.lit('": {"endpoints": [{"methods": '), F.to_json(methods),
+                    F.lit(', "args": '), args, F.lit("}]}}}"))
+    routes.select(text.alias("value")).write.text(path)
+    calls = matrix.rest_index_cases(t.spark.read.schema(matrix.REST_INDEX).json(path), _SITE, NOW)
+    data = F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
+    return calls.select("route", "method", "case_kind", "url", data.alias("data"))

@@ -224,3 +224,28 @@ def test_merge_routes_hash_keys(spark):
     args_b = b.select("route_id", F.lit("POST").alias("method"), F.lit("x").alias("arg_name"))
     routes_m, args_m = merge.merge_routes(a, b, args_a, args_b)
     assert routes_m.count() == 2 and args_m.count() == 2
+
+
+def test_rest_index_shapes(spark, tmp_path):
+    """Empty and missing arguments, type lists, enums, several endpoints."""
+    import json
+
+    from leaklens.operators import matrix
+
+    index = {"routes": {
+        "/a/v1/none": {"endpoints": [{"methods": ["PUT", "GET"], "args": []}, {"methods": ["GET"]}]},
+        "/a/v1/empty": {"endpoints": [{"methods": ["GET", "POST"], "args": {}}]},
+        "/a/v1/one": {"endpoints": [{"methods": ["POST"], "args": {"q": {"type": ["string", "null"], "enum": ["x", "y"]}}}]}}}
+    (tmp_path / "index.json").write_text(json.dumps(index))
+    rows = spark.read.schema(matrix.REST_INDEX).json(str(tmp_path / "index.json"))
+    got = matrix.rest_index_cases(rows, "http://h", "now").collect()
+    assert sorted((r.method, r.case_kind, r.url) for r in got if r.route == "/a/v1/none") == [
+        ("GET", "no_arguments", "http://h/a/v1/none"), ("PUT", "no_arguments", "http://h/a/v1/none")]
+    assert sorted((r.method, r.url, r.data) for r in got if r.route == "/a/v1/empty") == [
+        ("GET", "http://h/a/v1/empty", None), ("GET", "http://h/a/v1/empty?", None), ("GET", "http://h/a/v1/empty?", None),
+        ("POST", "http://h/a/v1/empty", {})]
+    one = [(r.case_kind, r.data) for r in got if r.route == "/a/v1/one"]
+    assert [c for c, _ in one].count("enum") == 2 and {"q": "x"} in [d for _, d in one]
+    assert sorted(c for c, _ in one) == ["all_invalid", "all_valid", "enum", "enum", "invalid", "none", "valid"]
+    from leaklens.functions.scalar import PRINTABLE
+    assert dict(one)["valid"] == {"q": PRINTABLE}      # a list of types has no sample of its own
