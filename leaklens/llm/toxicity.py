@@ -27,6 +27,7 @@ toxic if one says so; without labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -337,6 +338,7 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, cache = Model(*shipped.value), {}
+        gc.disable()        # nothing here forms cycles, and every pass would walk all words
         for batch in batches:
             texts, scores, size = batch.column("text").to_pylist(), [], 0
             at = 0
