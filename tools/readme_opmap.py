@@ -1,4 +1,4 @@
-"""Regenerate the operator map at the end of README.md from the registry."""
+"""Regenerate the operator map in README.md from the registry."""
 
 import os
 import re
@@ -26,8 +26,9 @@ def main() -> None:
         lines.append(f"| {i} | {what.strip()[:70]} | {', '.join('`' + n + '`' for n in cov.get(i, []))} |")
     path = os.path.join(ROOT, "README.md")
     text = open(path).read()
-    head = text[:text.index("## Operator map")]
-    open(path, "w").write(head + "## Operator map (SURVEY §2 → query keys)\n\n" + "\n".join(lines) + "\n")
+    head, rest = text.split("## Operator map", 1)
+    after = rest[rest.index("\n## "):] if "\n## " in rest else "\n"
+    open(path, "w").write(head + "## Operator map (SURVEY §2 → query keys)\n\n" + "\n".join(lines) + "\n" + after)
 
 
 if __name__ == "__main__":
