@@ -270,7 +270,7 @@ def _decided(docs: DataFrame, n: int, threshold: float) -> DataFrame:
     reps = sig.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(F.when(
         F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))).alias("first"))
     reps = written(reps.select("d1", "d2", F.col("first.doc_id").alias("copy_of"), F.col("first.th").alias("rep_th")), "near-reps")
-    nodes = reps.groupBy(F.col("copy_of").alias("doc_id")).agg(F.min("rep_th").alias("th"))
+    nodes = written(reps.filter("copy_of is not null").groupBy(F.col("copy_of").alias("doc_id")).agg(F.min("rep_th").alias("th")), "near-nodes")
     band = (sig.join(nodes, ["doc_id", "th"], "left_semi")
             .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")))
     lead = band.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
