@@ -2,14 +2,17 @@
 
 Every source has a target number of words; the documents of a source all get
 the same expected number of copies, target / size of the source.  Its whole
-part is given outright.  The fractional parts are rounded in pairs: of two
-documents with fractions p and q and sizes s and t, mass moves from one to the
-other so that s*p + t*q stays and one of them becomes 0 or 1, with
-probabilities that keep every document's expectation.  Groups of documents are
-reduced this way to one fractional document each, and the residuals meet in
-the next level of a tree until a source has one left, which a last draw
-settles.  Large documents go first, so the last one is small; the words taken
-from a source differ from its target by less than one document.
+part is given outright.  The fractional parts are rounded in pairs: the largest
+open document against the bundle of all smaller ones.  Mass moves from one side
+to the other so that the sum of size times fraction stays and a document becomes
+0 or 1, with probabilities that keep every document's expectation.  A bundle
+shares a move by size*q*(1 - q).  Every group of documents leaves its smallest
+ones open, and those that outweigh all smaller ones of the group; these residuals
+meet in the next level of a tree until a source is one group with one document
+left, which a last draw settles.  That is the smallest document of the source's
+last group, unless a document outweighs the open mass of all smaller ones
+together: the words taken from a source differ from its target by less than the
+document that is left.
 
 All draws are hashes of the source, doc_id and ``seed``: reruns agree, however
 the rows are partitioned.
@@ -34,7 +37,9 @@ from leaklens.llm.graph import written
 WEIGHTS = (5, 2, 1)         # of the sources in code point order, repeating
 SHARE = 1.5                 # of all sizes, to be taken in total
 MOST_COPIES = 2             # a target stops at so many times its source's size
-GROUP = 4096                # documents that one step of the tree rounds together
+GROUP = 4096                # documents that one step of the tree rounds together, about half of it on average
+KEPT = 64                   # small documents that a group leaves open for the next level
+NEAR = 1e-12                # a chance so near to 0 or 1 is that number
 
 
 def text_size(text: Column) -> Column:
@@ -88,24 +93,34 @@ def _draw(*columns: Column | str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Round the documents of one group pairwise; at most one stays open."""
+def _reduce(pdf: pd.DataFrame, last: bool = True) -> pd.DataFrame:
+    """Round the documents of one group; at most one stays open.
+
+    Of a group that is not the ``last``, the ``KEPT`` smallest documents stay
+    open, and those that outweigh the open mass of all smaller ones."""
     pdf = pdf.sort_values(["size", "draw", "tie"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
     size, chance = pdf["size"].to_numpy(np.float64), pdf["chance"].to_numpy(np.float64, copy=True)
-    random = pdf["draw"].to_numpy()
-    i = 0
-    for j in range(1, len(pdf)):
-        p, q, s, t = chance[i], chance[j], size[i], size[j]
-        up, down = min(1 - p, q * t / s), min(p, (1 - q) * t / s)     # the most that i can gain, lose
-        if random[j] * (up + down) < down:
-            p, q = (1.0, max(0.0, q - (1 - p) * s / t)) if up == 1 - p else (p + up, 0.0)
-        else:
-            p, q = (0.0, min(1.0, q + p * s / t)) if down == p else (p - down, 1.0)
-        chance[i], chance[j] = p, q
-        if 0.0 < q < 1.0:
-            i = j
-        elif not 0.0 < p < 1.0:
-            i = j if not 0.0 < chance[i] < 1.0 else i
+    random = np.random.default_rng([int(d * 2**52) for d in pdf["draw"].iloc[:4]])
+    for i in range(len(pdf) - 1 if last else len(pdf) - KEPT):
+        p, s = chance[i], size[i]
+        while 0.0 < p < 1.0:
+            q, t = chance[i + 1:], size[i + 1:]
+            share = t * q * (1 - q)             # of the moved mass; smaller documents keep their expectation by it
+            open_ = share > 0
+            if not open_.any():
+                break
+            total = share.sum()
+            # the most that i can gain or lose before it or a smaller document is integral
+            up = min(1 - p, total / (s * (1 - q[open_]).max()))
+            down = min(p, total / (s * q[open_].max()))
+            if not last and (up < 1 - p or down < p):
+                break
+            move = up if random.random() * (up + down) < down else -down
+            q -= move * s * q * (1 - q) / total
+            q[q < NEAR], q[q > 1 - NEAR] = 0.0, 1.0
+            p += move
+            p = 0.0 if p < NEAR else 1.0 if p > 1 - NEAR else p
+        chance[i] = p
     return pdf.assign(chance=chance)
 
 
@@ -116,22 +131,22 @@ def _rounded(units: DataFrame) -> DataFrame:
     free = free.select("source", "doc_id", (F.col("draw") < F.col("chance")).cast("int").alias("extra"))
     open_ = units.filter("size > 0 and chance > 0 and chance < 1")
     most = open_.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    done, fan = [free], GROUP // 2
-    groups = max(1, math.ceil(most / fan))
+    done = [free]
+    groups = max(1, math.ceil(most / (GROUP // 2)))
     while True:
         # hash(draw) deals the documents of a source to the same groups in every run
         keyed = open_.withColumn("g", F.floor(_draw("source", "draw", F.lit(groups)) * groups).cast("long"))
-        rows = keyed.groupBy("source", "g").applyInPandas(
-            lambda key, pdf: _reduce(pdf), keyed.schema)
-        rows = written(rows, "mix-level")
         last = groups == 1
+        # ``written`` runs it at once, with this level's ``last``
+        rows = keyed.groupBy("source", "g").applyInPandas(lambda key, pdf: _reduce(pdf, last), keyed.schema)
+        rows = written(rows, "mix-level")
         settled = rows if last else rows.filter("chance <= 0 or chance >= 1")
         again = _draw("source", "doc_id", F.lit(29))
         done.append(settled.select("source", "doc_id", (again < F.col("chance")).cast("int").alias("extra")))
         if last:
             break
         open_ = rows.filter("chance > 0 and chance < 1").drop("g")
-        groups = math.ceil(groups / fan)
+        groups = math.ceil(groups / (GROUP // 2 // KEPT))
     out = done[0]
     for part in done[1:]:
         out = out.union(part)

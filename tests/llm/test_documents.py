@@ -216,6 +216,26 @@ def test_reduction_conserves_words():
     out = mixing._reduce(pdf)
     assert (out["size"] * out["chance"]).sum() == pytest.approx((pdf["size"] * pdf["chance"]).sum())
     assert ((out["chance"] > 0) & (out["chance"] < 1)).sum() <= 1 and out["chance"].between(0, 1).all()
+    level = mixing._reduce(pdf, last=False)
+    assert (level["size"] * level["chance"]).sum() == pytest.approx((pdf["size"] * pdf["chance"]).sum())
+    assert ((level["chance"] > 0) & (level["chance"] < 1)).sum() == mixing.KEPT
+
+
+def test_the_document_left_open_is_a_small_one():
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    expected = np.zeros(40)
+    size = np.array([9000, 4000, 700] + [100 + i for i in range(36)] + [3])
+    for run in range(400):
+        pdf = pd.DataFrame({"size": size, "chance": np.full(40, 0.37), "draw": rng.random(40), "tie": [str(i) for i in range(40)]})
+        out = mixing._reduce(pdf)
+        left = out["size"][(out["chance"] > 0) & (out["chance"] < 1)]
+        if run == 0:
+            even = mixing._reduce(pdf[3:].reset_index(drop=True))
+            assert even["size"][(even["chance"] > 0) & (even["chance"] < 1)].max() <= 110
+        assert len(left) <= 1
+        expected += out.sort_values("tie", key=lambda c: c.astype(int))["chance"].to_numpy()
+    assert np.abs(expected / 400 - 0.37).max() < 0.1     # draws keep every document's expectation
 
 
 def test_toxicity_learns_words_and_bears_marks(spark):
