@@ -9,10 +9,10 @@
 * D13 + J9: functions of the plugin whose name matches the callback as a
   start-anchored regex (faithful: ``cb_1`` also hits ``cb_12``) or equals it
   (fixed); P14 on the function text.  The faithful match runs as an
-  equi-join on name prefixes - exact for plain identifiers; a function only
-  emits the prefixes whose length some callback of its plugin has, so the
-  join input stays near the number of functions.  Callbacks holding regex
-  metacharacters (rare) use a theta join bounded by plugin.
+  equi-join of name prefixes with the literal start of the callback; a
+  function only emits the prefixes whose length some callback of its plugin
+  has, so the join input stays near the number of functions.  Callbacks
+  holding regex metacharacters are then matched on these candidates.
 * J4: argument rows get the route id of their (plugin, action, priv); when
   a key has several routes the smallest id wins; unmatched rows are
   returned separately (quarantine) instead of reusing a previous id.
@@ -20,7 +20,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaklens.functions.predicates import is_closure
@@ -73,38 +73,47 @@ def callback_routes(files: DataFrame) -> DataFrame:
     return last.select("plugin_slug", "hook", "callback", action.alias("action"), priv.alias("priv"))
 
 
-def first_argument_length(text: str) -> F.Column:
-    """Characters of the call argument that ``text`` starts with: up to the
-    first comma or closing parenthesis outside all brackets, strings and
-    comments; NULL where there is none."""
+def _first_argument(text: Column) -> Column:
+    """Fold over the tokens of a call argument that ``text`` starts with: its
+    ``size`` in characters once ``done``, which is at the first comma or closing
+    parenthesis outside all brackets, strings and comments.  ``torn``: before
+    that stood a quote or slash alone, which a longer text may make part of a
+    string or comment."""
     opened = lambda t: F.when(t.isin("(", "{", "["), 1).when(t.isin(")", "}", "]"), -1).otherwise(0)
 
     def step(s, t):
         ends = s["done"] | ((s["depth"] == 0) & t.isin(",", ")"))
         return F.struct(F.when(ends, s["depth"]).otherwise(s["depth"] + opened(t)).alias("depth"),
-                        F.when(ends, s["size"]).otherwise(s["size"] + F.length(t)).alias("size"), ends.alias("done"))
+                        F.when(ends, s["size"]).otherwise(s["size"] + F.length(t)).alias("size"), ends.alias("done"),
+                        (s["torn"] | (~ends & t.isin("'", '"', "/"))).alias("torn"))
 
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
-    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN_RE), F.lit(0)), start, step,
-                       lambda s: F.when(s["done"], s["size"]))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"), F.lit(False).alias("torn"))
+    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN_RE), F.lit(0)), start, step)
 
 
 def second_arguments(files: DataFrame) -> DataFrame:
     """D12 + W4 + P8 (closure branch): the last registration per (plugin,
     hook) with its whole second argument, flagged by F11 (is it a closure?).
 
-    The text after a registration's head is read to the end of the file if
-    need be; a call that never closes is no registration."""
+    Most arguments end before the next registration of the file, and are read
+    from that stretch alone; only one that does not is read on, to the end of
+    the file if need be.  A call that never closes is no registration."""
+    head = rf"\A{REG_HEAD_RE}"
     parts = (files.filter(F.col("content").rlike(REG_HEAD_RE))
              .select("path", slug_of("path").alias("plugin_slug"), F.split("content", rf"(?={REG_HEAD_RE})").alias("parts")))
-    tails = parts.select("plugin_slug", "path", F.posexplode(F.transform(
-        "parts", lambda p, i: F.array_join(F.slice("parts", i + 1, F.size("parts") - i), ""))).alias("n", "tail"))
-    heads = (tails.filter(F.col("tail").rlike(rf"\A{REG_HEAD_RE}"))
-             .select("plugin_slug", "path", "n", F.regexp_extract("tail", rf"\A{REG_HEAD_RE}", 1).alias("hook"),
-                     F.regexp_replace("tail", rf"\A{REG_HEAD_RE}", "").alias("rest"))
-             .withColumn("size", first_argument_length("rest")).filter("size is not null"))
+
+    def reach(part, i):
+        own = _first_argument(F.regexp_replace(part, head, ""))
+        onward = F.array_join(F.slice("parts", i + 1, F.size("parts") - i), "")
+        return F.when(part.rlike(head), F.when(own["done"] & ~own["torn"], part).otherwise(onward))
+
+    texts = parts.select("plugin_slug", "path", F.posexplode(F.transform("parts", reach)).alias("n", "text"))
+    heads = (texts.filter("text is not null")
+             .select("plugin_slug", "path", "n", F.regexp_extract("text", head, 1).alias("hook"),
+                     F.regexp_replace("text", head, "").alias("rest"))
+             .withColumn("first", _first_argument(F.col("rest"))).filter("first.done"))
     regs = heads.select("plugin_slug", "path", "n", "hook",
-                        F.regexp_replace(F.expr("substring(rest, 1, size)"), rf"{WS}+\z", "").alias("closure"))
+                        F.regexp_replace(F.expr("substring(rest, 1, first.size)"), rf"{WS}+\z", "").alias("closure"))
     last = last_per_hook(regs, ["path", "n"], ["closure"])
     action, priv = hook_to_route_closure("hook")
     return last.select("plugin_slug", "hook", "closure", action.alias("action"), priv.alias("priv"),
@@ -129,6 +138,16 @@ def functions_of(files: DataFrame) -> DataFrame:
                     "body"))
 
 
+def literal_prefix(pattern: str) -> Column:
+    """Characters that every match of a start-anchored pattern begins with:
+    those before its first metacharacter, less the one that a following
+    ``?``, ``*`` or ``{`` makes optional; none where there are alternatives."""
+    plain = F.regexp_extract(pattern, r"\A([^\\.^$|?*+()\[\]{}]*)", 1)
+    optional = F.regexp_like(pattern, F.lit(r"\A[^\\.^$|?*+()\[\]{}]+[?*{]"))
+    return (F.when(F.contains(pattern, F.lit("|")), "")
+            .when(optional, F.regexp_replace(plain, r"(?s).\z", "")).otherwise(plain))
+
+
 def match_callbacks(routes: DataFrame, funcs: DataFrame, faithful: bool = True) -> DataFrame:
     """Routes x functions of the same plugin by callback name.
 
@@ -137,33 +156,31 @@ def match_callbacks(routes: DataFrame, funcs: DataFrame, faithful: bool = True)
     if not faithful:
         return routes.join(funcs.withColumnRenamed("fname", "callback"), ["plugin_slug", "callback"]) \
             .withColumn("fname", F.col("callback"))
-    plain = routes.filter(~F.col("callback").rlike(REGEX_META_RE))
-    meta = routes.filter(F.col("callback").rlike(REGEX_META_RE))
+    keyed = routes.withColumn("__lit", literal_prefix("callback"))
     # Only prefixes whose length some callback of the same plugin has can
-    # match: per plugin, the set of callback lengths (bounded by identifier
-    # length).  The table is derived, so AQE sizes it at run time and
-    # broadcasts it when small instead of a count forcing it twice.
-    lengths = plain.groupBy("plugin_slug").agg(F.collect_set(F.length("callback")).alias("__lens"))
+    # match: per plugin, the set of lengths (bounded by identifier length).
+    # The table is derived, so AQE sizes it at run time and broadcasts it when
+    # small instead of a count forcing it twice.
+    lengths = keyed.groupBy("plugin_slug").agg(F.collect_set(F.length("__lit")).alias("__lens"))
     prefixes = (funcs.join(lengths, "plugin_slug")
                 .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("fname"))).alias("__n"))
-                .withColumn("callback", F.expr("substring(fname, 1, __n)"))
+                .withColumn("__lit", F.expr("substring(fname, 1, __n)"))
                 .drop("__lens", "__n"))
-    by_prefix = plain.join(prefixes, ["plugin_slug", "callback"])
-    by_regex = (meta.alias("r").join(funcs.alias("f"), "plugin_slug")
-                .filter(F.expr("f.fname rlike concat('^', r.callback)"))
-                .select("plugin_slug", *[F.col(f"r.{c}") for c in meta.columns if c != "plugin_slug"],
-                        *[F.col(f"f.{c}") for c in funcs.columns if c != "plugin_slug"]))
-    return by_prefix.unionByName(by_regex)
+    plain = ~F.col("callback").rlike(REGEX_META_RE)
+    return (keyed.join(prefixes, ["plugin_slug", "__lit"]).drop("__lit")
+            .filter(plain | F.expr("fname rlike concat('^', callback)")))
 
 
 def callback_arguments(files: DataFrame, faithful: bool = True) -> DataFrame:
     """(plugin, action, priv, callback, function, method, arg) for every
-    request argument read inside a function matched to a route callback."""
+    request argument read inside a function matched to a route callback.
+
+    Arguments are read where the text is scanned; no function text is shuffled."""
     routes = callback_routes(files)
-    funcs = functions_of(files)
-    matched = match_callbacks(routes, funcs, faithful)
-    return (matched.select("plugin_slug", "action", "priv", "callback", "fname",
-                           F.explode(request_args("body")).alias("a"))
+    funcs = (functions_of(files).select("plugin_slug", "fname", request_args("body").alias("args"))
+             .filter(F.size("args") > 0))
+    return (match_callbacks(routes, funcs, faithful)
+            .select("plugin_slug", "action", "priv", "callback", "fname", F.explode("args").alias("a"))
             .select("plugin_slug", "action", "priv", "callback", "fname",
                     F.col("a.method").alias("method"), F.col("a.arg").alias("arg")))
 

@@ -100,3 +100,33 @@ def test_every_rule_and_a_closure_occur_in_the_test_tables(spark):
     assert rules == set(static_scan.LINE_RULES) | {r for r, _ in static_scan.VAR_RULES.values()}
     closures = queries["d12_f11_closure_routes"](spark, SF_SMALL).collect()
     assert closures and {r.n_args for r in closures} == {2}
+
+
+def test_arguments_that_run_past_the_next_registration(spark):
+    from leaklens.operators import routes
+
+    php = "\n".join([
+        "add_action('wp_ajax_a', function() { $s = 'add_action(\"wp_ajax_no\", x)'; $n = 1 / 2; });",
+        "add_action('wp_ajax_b', function() { /* , ) add_action('wp_ajax_c', 'in') */ $x = $_GET['k']; }, 3);",
+        "add_action('wp_ajax_d', 'it, add_action(\"wp_ajax_e\", is) odd');"])
+    files = spark.createDataFrame([("plugins/p/a.php", php)], "path string, content string")
+    got = {r.hook: r.closure for r in routes.second_arguments(files).collect()}
+    assert got["'wp_ajax_a'"] == "function() { $s = 'add_action(\"wp_ajax_no\", x)'; $n = 1 / 2; }"
+    assert got["'wp_ajax_b'"].endswith("$x = $_GET['k']; }") and got["'wp_ajax_c'"] == "'in'"
+    assert got["'wp_ajax_d'"] == "'it, add_action(\"wp_ajax_e\", is) odd'" and got['"wp_ajax_e"'] == "is"
+
+
+def test_callback_patterns_equal_brute_force(spark):
+    import re
+
+    from leaklens.operators import routes
+
+    patterns = ["save", "save_[0-9]?", "sav?e", "savee*", "save{1}_1", "save+", "x|load", "(load|save)_1", ".*_1", "[ls].*", "load$", "loa.\\w*"]
+    names = ["save", "save_1", "sae", "savee", "load", "load_1", "xx", "upload", "SAVE", "savve"]
+    r = spark.createDataFrame([("p", c) for c in patterns] + [("q", "save")], "plugin_slug string, callback string")
+    f = spark.createDataFrame([("p", n) for n in names], "plugin_slug string, fname string")
+    got = {(x.callback, x.fname) for x in routes.match_callbacks(r, f).collect()}
+    assert got == {(c, n) for c in patterns for n in names if re.search("^" + c, n)}
+    shuffled = routes.callback_arguments(spark.createDataFrame([("plugins/p/a.php", "")], "path string, content string"))
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "body" in line]
