@@ -21,7 +21,7 @@ from __future__ import annotations
 import string
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaklens.functions.scalar import http_outcome, invalid_sample, valid_sample
@@ -210,6 +210,45 @@ def attempt_metrics(attempts: DataFrame) -> DataFrame:
                  F.col("num_rest_endpoints_called") - F.col("num_rest_endpoints_http_ok"))
 
 
+def run_metrics(log: DataFrame) -> DataFrame:
+    """A23 in full, from a log of all calls (attempt_id, plugin_slug, ts,
+    interface, method, route, url, data, status): one row per plugin.
+
+    ``num_unique_rest_endpoints`` and ``num_ajax_endpoints`` count distinct
+    (method, url, data).  The runner's own count holds only the cases of the
+    route it tested last: ``last_route_cases``.  A POST with a body is one
+    case though the runner sends it twice.  ``time_spend`` is the time in
+    seconds from the first call to the last.  NULL status: the call failed.
+
+    Calls are combined by case, then by route, then by plugin, each before its
+    shuffle, so a plugin with most of the calls is not one task.
+    """
+    case = ["plugin_slug", "interface", "route", "method", "url", "data"]
+    rest = F.col("interface") == "REST"
+    ajax = F.col("interface") == "AJAX"
+    ok = (rest & (F.col("status") < 400)) | (ajax & (F.col("status") == 200))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cases = log.groupBy(*case).agg(
+        F.count(F.lit(1)).alias("called"), F.count_if(ok).alias("ok"), F.min(micros).alias("first"), F.max(micros).alias("last"),
+        F.max(F.struct(micros.alias("at"), F.col("attempt_id"))).alias("newest"))
+    by_route = cases.groupBy("plugin_slug", "interface", "route").agg(
+        F.count(F.lit(1)).alias("cases"), F.sum("called").alias("called"), F.sum("ok").alias("ok"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.max("newest").alias("newest"))
+
+    def total(which: Column, col: str) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col(col))), F.lit(0))
+
+    return by_route.groupBy("plugin_slug").agg(
+        total(rest, "cases").alias("num_unique_rest_endpoints"),
+        F.coalesce(F.max_by(F.when(rest, F.col("cases")), F.when(rest, F.col("newest"))), F.lit(0)).alias("last_route_cases"),
+        total(rest, "called").alias("num_rest_endpoints_called"),
+        total(rest, "ok").alias("num_rest_endpoints_http_ok"),
+        total(ajax, "cases").alias("num_ajax_endpoints"),
+        total(ajax, "called").alias("num_ajax_endpoints_called"),
+        total(ajax, "ok").alias("num_ajax_endpoints_http_ok"),
+        ((F.max("last") - F.min("first")) / 1e6).alias("time_spend"))
+
+
 def outcome_counts(attempts: DataFrame) -> DataFrame:
     """P11 applied: calls per interface and outcome class."""
     return attempts.groupBy("interface", http_outcome("status").alias("outcome")).agg(

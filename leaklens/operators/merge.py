@@ -9,9 +9,11 @@ a scalar subquery (one tiny aggregate, evaluated once and inlined), not a
 join.  ``faithful=True`` reproduces the reference's ``max`` offset (which
 collides: ids start at 0) for comparison.
 
-Routes and their arguments need no shift here: their ids are W3 hash keys
-of (plugin, action, priv), equal in every shard for the same route, so the
-merged route tables are a union with duplicates dropped.
+Routes with W3 hash keys of (plugin, action, priv) are equal in every shard,
+so their tables are a union with duplicates dropped (``merge_routes``).  Where
+each warehouse numbered its routes itself, ``merge_warehouses`` maps old ids to
+new ones by the natural key: a route that the base knows takes the base's id,
+any other its own id past the base's.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leaklens.operators.ingest import insert_or_ignore
 from leaklens.session import checkpoint_dir
 
 
@@ -74,6 +77,57 @@ def dense_ids(df: DataFrame, order: list[str], col: str = "id") -> DataFrame:
             .withColumn(col, rank).drop("__pid", "__mono", "__off"))
 
 
+def remapped_ids(base: DataFrame, shard: DataFrame, natural: list[str], col: str) -> DataFrame:
+    """(old, new, fresh) for every id of ``shard``.
+
+    ``natural`` columns say which rows are the same thing (NULLs are equal).
+    Rows that the base knows take its smallest id, the others their own
+    smallest id shifted past the base's; ``fresh`` marks the one row of a
+    natural key that the base lacks.
+    """
+    off = id_offset(base, col=col)
+
+    def smallest(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(c).alias(f"{name}_{c}") for c in natural]).agg(F.min(col).alias(name))
+
+    def same(name: str) -> Column:
+        on = F.lit(True)
+        for c in natural:
+            on = on & F.col(c).eqNullSafe(F.col(f"{name}_{c}"))
+        return on
+
+    return (shard.select(col, *natural).distinct()
+            .join(smallest(shard, "own"), same("own")).join(smallest(base, "known"), same("known"), "left")
+            .select(F.col(col).alias("old"), F.coalesce("known", F.col("own") + off).alias("new"),
+                    (F.col("known").isNull() & (F.col(col) == F.col("own"))).alias("fresh")))
+
+
+def merge_warehouses(base: dict[str, DataFrame], shard: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """U4 for whole warehouses with ids of their own: plugins (by slug; the
+    base's row wins), semgrep_runs, findings_semgrep, ajax_routes (by plugin,
+    action, priv) and ajax_route_arguments.
+
+    Arguments whose route their shard lacks come back as ``orphan_arguments``.
+    """
+    runs, (findings,) = merge_shard(base["semgrep_runs"], shard["semgrep_runs"],
+                                    [base["findings_semgrep"]], [shard["findings_semgrep"]])
+    ids = remapped_ids(base["ajax_routes"], shard["ajax_routes"], ["plugin_slug", "action", "priv"], "route_id")
+    new_routes = (shard["ajax_routes"].join(ids.filter("fresh"), F.col("route_id") == F.col("old"))
+                  .withColumn("route_id", F.col("new")).select(*base["ajax_routes"].columns))
+    keyed = (shard["ajax_route_arguments"].join(ids, F.col("route_id") == F.col("old"), "left"))
+    args = (keyed.filter("old is not null").withColumn("route_id", F.col("new"))
+            .select(*base["ajax_route_arguments"].columns))
+    return {
+        "plugins": insert_or_ignore(base["plugins"], shard["plugins"]),
+        "semgrep_runs": runs,
+        "findings_semgrep": findings,
+        "ajax_routes": base["ajax_routes"].unionByName(new_routes),
+        "ajax_route_arguments": base["ajax_route_arguments"].unionByName(args)
+        .dropDuplicates(["route_id", "method", "arg_name"]),
+        "orphan_arguments": keyed.filter("old is null").select(*shard["ajax_route_arguments"].columns),
+    }
+
+
 def merge_routes(base_routes: DataFrame, shard_routes: DataFrame,
                  base_args: DataFrame, shard_args: DataFrame) -> tuple[DataFrame, DataFrame]:
     """U4 for the route tables: hash-keyed ids, so union and drop duplicates."""

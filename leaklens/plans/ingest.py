@@ -7,6 +7,7 @@ rows only); the library's readers and jobs then do the work.
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaklens.functions.scalar import other_calls, params_text, parse_thousands
@@ -244,6 +245,51 @@ def u4_faithful(t):
     return runs.agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct("run_id").alias("n_distinct_run_ids"))
 
 
+_ROUTE_SHARDS = (_SHARDS.replace(cte("semgrep_runs", "findings_semgrep"), cte("semgrep_runs", "findings_semgrep", "plugins", "ajax_routes", "ajax_route_arguments"))
+                 + """, off AS (SELECT coalesce(max(run_id) + 1, 0) AS o FROM a_runs), foff AS (SELECT coalesce(max(finding_id) + 1, 0) AS o FROM a_f)
+, a_rt AS (SELECT * FROM ajax_routes WHERE route_id % 3 <> 0), a_ar AS (SELECT * FROM ajax_route_arguments WHERE route_id % 3 <> 0)
+, b_rt AS (SELECT 1000000007 - route_id AS route_id, plugin_slug, action, priv FROM ajax_routes WHERE route_id % 2 = 0)
+, b_ar AS (SELECT 1000000007 - route_id AS route_id, method, arg_name FROM ajax_route_arguments WHERE route_id % 2 = 0)
+, roff AS (SELECT coalesce(max(route_id) + 1, 0) AS o FROM a_rt)
+, map AS (SELECT b.route_id AS old, coalesce(min(a.route_id), min(b.route_id) + (SELECT o FROM roff)) AS new, min(a.route_id) IS NULL AS fresh
+ FROM b_rt b LEFT JOIN a_rt a ON a.plugin_slug = b.plugin_slug AND a.action = b.action AND a.priv = b.priv GROUP BY b.route_id)
+""")
+
+
+@query("u4_merge_whole_warehouses", "U4 U5 U6",
+       _ROUTE_SHARDS + """SELECT 'plugin' AS kind, CAST(NULL AS BIGINT) AS id, slug AS ref FROM plugins
+UNION ALL SELECT 'run', run_id, plugin_slug FROM a_runs
+UNION ALL SELECT 'run', run_id + (SELECT o FROM off), plugin_slug FROM b_runs
+UNION ALL SELECT 'finding', finding_id, CAST(run_id AS STRING) FROM a_f
+UNION ALL SELECT 'finding', finding_id + (SELECT o FROM foff), CAST(run_id + (SELECT o FROM off) AS STRING) FROM b_f
+UNION ALL SELECT 'route', route_id, plugin_slug || ' ' || action FROM a_rt
+UNION ALL SELECT 'route', m.new, b.plugin_slug || ' ' || b.action FROM b_rt b JOIN map m ON m.old = b.route_id WHERE m.fresh
+UNION ALL SELECT 'argument', route_id, method || ' ' || arg_name FROM (SELECT route_id, method, arg_name FROM a_ar
+ UNION SELECT m.new, b.method, b.arg_name FROM b_ar b JOIN map m ON m.old = b.route_id)""")
+def u4_whole(t):
+    """U4 for whole warehouses: two shards with ids of their own and plugins,
+    routes and arguments in common become one."""
+    a_runs, b_runs, a_f, b_f = _shards(t)
+    plugins, rts, args = t["plugins"], t["ajax_routes"], t["ajax_route_arguments"]
+    own = (F.lit(1000000007) - F.col("route_id")).cast(rts.schema["route_id"].dataType)
+    odd = F.regexp_extract("slug", "([0-9]+)", 1).cast("long") % 3
+    merged = merge.merge_warehouses(
+        {"plugins": plugins.filter(odd != 0), "semgrep_runs": a_runs, "findings_semgrep": a_f,
+         "ajax_routes": rts.filter("route_id % 3 <> 0"), "ajax_route_arguments": args.filter("route_id % 3 <> 0")},
+        {"plugins": plugins.filter(odd != 1), "semgrep_runs": b_runs, "findings_semgrep": b_f,
+         "ajax_routes": rts.filter("route_id % 2 = 0").withColumn("route_id", own),
+         "ajax_route_arguments": args.filter("route_id % 2 = 0").withColumn("route_id", own)})
+
+    def part(name: str, kind: str, id_: Column, ref: Column) -> DataFrame:
+        return merged[name].select(F.lit(kind).alias("kind"), id_.cast("long").alias("id"), ref.cast("string").alias("ref"))
+
+    return (part("plugins", "plugin", F.lit(None), F.col("slug"))
+            .unionByName(part("semgrep_runs", "run", F.col("run_id"), F.col("plugin_slug")))
+            .unionByName(part("findings_semgrep", "finding", F.col("finding_id"), F.col("run_id")))
+            .unionByName(part("ajax_routes", "route", F.col("route_id"), F.concat_ws(" ", "plugin_slug", "action")))
+            .unionByName(part("ajax_route_arguments", "argument", F.col("route_id"), F.concat_ws(" ", "method", "arg_name"))))
+
+
 @query("w3_dense_finding_ids", "W3",
        cte("findings_semgrep") + "SELECT finding_id, row_number() OVER (ORDER BY run_id, finding_id) - 1 AS id FROM findings_semgrep")
 def w3(t):

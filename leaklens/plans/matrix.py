@@ -119,6 +119,27 @@ def a23(t):
     return matrix.attempt_metrics(t["http_attempts"])
 
 
+@query("a23_run_metrics", "A23",
+       cte("request_log") + """, c AS (SELECT plugin_slug, interface, route, method, url, data, count(*) AS called,
+ count(*) FILTER (WHERE interface = 'REST' AND status < 400 OR interface = 'AJAX' AND status = 200) AS ok,
+ min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM request_log GROUP BY ALL)
+, newest AS (SELECT plugin_slug, route FROM (SELECT *, row_number() OVER (PARTITION BY plugin_slug ORDER BY ts DESC, attempt_id DESC) AS rn
+ FROM request_log WHERE interface = 'REST') WHERE rn = 1)
+, tail AS (SELECT c.plugin_slug, count(*) AS n FROM c JOIN newest w ON w.plugin_slug = c.plugin_slug AND w.route = c.route
+ WHERE c.interface = 'REST' GROUP BY c.plugin_slug)
+SELECT c.plugin_slug, count(*) FILTER (WHERE interface = 'REST') AS num_unique_rest_endpoints, coalesce(max(tail.n), 0) AS last_route_cases,
+ CAST(coalesce(sum(called) FILTER (WHERE interface = 'REST'), 0) AS BIGINT) AS num_rest_endpoints_called,
+ CAST(coalesce(sum(ok) FILTER (WHERE interface = 'REST'), 0) AS BIGINT) AS num_rest_endpoints_http_ok,
+ count(*) FILTER (WHERE interface = 'AJAX') AS num_ajax_endpoints,
+ CAST(coalesce(sum(called) FILTER (WHERE interface = 'AJAX'), 0) AS BIGINT) AS num_ajax_endpoints_called,
+ CAST(coalesce(sum(ok) FILTER (WHERE interface = 'AJAX'), 0) AS BIGINT) AS num_ajax_endpoints_http_ok,
+ (max(last) - min(first)) / 1e6 AS time_spend
+FROM c LEFT JOIN tail ON tail.plugin_slug = c.plugin_slug GROUP BY c.plugin_slug""")
+def a23_full(t):
+    """A23 in full: unique, called and ok endpoints and the time spent per plugin."""
+    return matrix.run_metrics(t["request_log"])
+
+
 _NS_RE = r"/wp-json/([^/]+/[^/]+)"
 
 

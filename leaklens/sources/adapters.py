@@ -101,6 +101,15 @@ SELECT o_orderkey AS attempt_id, 'plugin-' || CAST(o_custkey AS STRING) AS plugi
  'GET' AS method, CAST(CASE o_orderkey % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 302 WHEN 3 THEN NULL ELSE 200 END AS INT) AS status FROM orders
 """
 
+# One row per HTTP call as the runner makes it: the route it tests, the url called, the body.
+ADAPTERS["request_log"] = """
+SELECT event_id AS attempt_id, 'plugin-' || CAST(user_id AS STRING) AS plugin_slug, ts, CASE event_id % 3 WHEN 0 THEN 'AJAX' ELSE 'REST' END AS interface,
+ CASE event_id % 5 WHEN 0 THEN 'POST' ELSE 'GET' END AS method, '/shop/v1/slots' || CAST(event_id % 4 AS STRING) AS route,
+ 'http://localhost:8080/wp-json/shop/v1/slots' || CAST(event_id % 4 AS STRING) || CASE event_id % 6 WHEN 1 THEN '?a=1' WHEN 2 THEN '?' ELSE '' END AS url,
+ CASE event_id % 10 WHEN 0 THEN '{"a":1}' END AS data,
+ CAST(CASE event_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 302 WHEN 3 THEN NULL ELSE 200 END AS INT) AS status FROM events
+"""
+
 ADAPTERS["source_files"] = """
 SELECT 'plugins/' || source || CASE doc_id % 5 WHEN 0 THEN '/vendor/' WHEN 1 THEN '/tests/' ELSE '/inc/' END || CAST(doc_id AS STRING) || CASE doc_id % 7 WHEN 0 THEN '.js' ELSE '.php' END AS path,
  '$log = $base . "/my-log.txt";' || chr(10) || CASE doc_id % 12 WHEN 0 THEN 'file_put_contents($log, $x);' WHEN 1 THEN '$fh = fopen($log, "a");' || chr(10) || 'fwrite($fh, 1);'

@@ -249,3 +249,41 @@ def test_rest_index_shapes(spark, tmp_path):
     assert sorted(c for c, _ in one) == ["all_invalid", "all_valid", "enum", "enum", "invalid", "none", "valid"]
     from leaklens.functions.scalar import PRINTABLE
     assert dict(one)["valid"] == {"q": PRINTABLE}      # a list of types has no sample of its own
+
+
+def test_whole_warehouses_with_ids_of_their_own(spark):
+    def tables(plugins, runs, findings, rts, args):
+        return {"plugins": spark.createDataFrame(plugins, "slug string, name string"),
+                "semgrep_runs": spark.createDataFrame(runs, "run_id long, plugin_slug string"),
+                "findings_semgrep": spark.createDataFrame(findings, "finding_id long, run_id long"),
+                "ajax_routes": spark.createDataFrame(rts, "route_id long, plugin_slug string, action string, priv boolean"),
+                "ajax_route_arguments": spark.createDataFrame(args, "route_id long, method string, arg_name string")}
+
+    base = tables([("p", "old")], [(0, "p"), (1, "p")], [(0, 1)], [(0, "p", "a", True), (1, "p", None, None)], [(0, "GET", "x")])
+    shard = tables([("p", "new"), ("q", "q")], [(0, "q")], [(0, 0), (1, 0)],
+                   [(5, "p", "a", True), (6, "p", None, None), (7, "q", "a", True), (8, "q", "a", True)],
+                   [(5, "GET", "x"), (5, "POST", "y"), (6, "GET", "z"), (7, "GET", "x"), (8, "GET", "x"), (99, "GET", "lost")])
+    got = {k: sorted(map(tuple, v.collect()), key=str) for k, v in merge.merge_warehouses(base, shard).items()}
+    assert got["plugins"] == [("p", "old"), ("q", "q")]
+    assert got["semgrep_runs"] == [(0, "p"), (1, "p"), (2, "q")] and got["findings_semgrep"] == [(0, 1), (1, 2), (2, 2)]
+    assert got["ajax_routes"] == [(0, "p", "a", True), (1, "p", None, None), (9, "q", "a", True)]
+    assert got["ajax_route_arguments"] == [(0, "GET", "x"), (0, "POST", "y"), (1, "GET", "z"), (9, "GET", "x")]
+    assert got["orphan_arguments"] == [(99, "GET", "lost")]
+    empty = {k: v.limit(0) for k, v in base.items()}
+    alone = {k: sorted(map(tuple, v.collect()), key=str) for k, v in merge.merge_warehouses(empty, shard).items()}
+    assert alone["semgrep_runs"] == [(0, "q")] and alone["findings_semgrep"] == [(0, 0), (1, 0)]
+    assert [r[0] for r in alone["ajax_routes"]] == [5, 6, 7] and len(alone["ajax_route_arguments"]) == 4
+
+
+def test_run_metrics(spark):
+    from leaklens.operators import matrix
+
+    log = spark.createDataFrame([
+        (1, "p", 10, "REST", "GET", "/a", "/a", None, 200), (2, "p", 11, "REST", "GET", "/a", "/a", None, 404),
+        (3, "p", 12, "REST", "GET", "/a", "/a?x=1", None, 302), (4, "p", 13, "REST", "POST", "/b", "/b", "{}", None),
+        (5, "p", 14, "AJAX", "POST", "r", "/ajax", "d", 200), (6, "p", 15, "AJAX", "POST", "r", "/ajax", "d", 302),
+        (7, "q", 9, "AJAX", "POST", "r", "/ajax", "d", 500)],
+        "attempt_id long, plugin_slug string, s long, interface string, method string, route string, url string, data string, status int")
+    got = {r.plugin_slug: tuple(r)[1:] for r in matrix.run_metrics(log.selectExpr("*", "timestamp_seconds(s) AS ts")).collect()}
+    # the last REST route, /b, has one case
+    assert got == {"p": (3, 1, 4, 2, 1, 2, 1, 5.0), "q": (0, 0, 0, 0, 1, 1, 0, 0.0)}
