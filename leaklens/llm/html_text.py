@@ -51,7 +51,7 @@ PROSE = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|head|title|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|select|textarea|head|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -65,7 +65,8 @@ _BAD_WORDS = set("""ad ads advert advertisement adverts adbox adsense sponsor sp
 breadcrumb breadcrumbs header masthead topbar footer colophon sidebar side aside rail widget widgets comment comments commentlist respond replies reply
 disqus discussion cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share
 sharing social related recommended recommendations pagination pager search form copyright legal toolbar skip hidden""".split())
-_GOOD_WORDS = set("article articlebody content entry post main story body text".split())
+_COMMENT_WORDS = set("comment comments commentlist respond replies reply disqus".split())
+_LAYOUT_WORDS = set("no has with without".split())      # "no-sidebar" and "with-sidebar" tell of the layout, not of the element
 
 
 def _words(value: str) -> list[str]:
@@ -75,10 +76,14 @@ def _words(value: str) -> list[str]:
 def _signature(tag: str, attrs: str) -> str:
     """tag, its class and id, and marks: ``!`` boilerplate, ``*`` main content."""
     found = {m[1].lower(): m[2].strip("\"'") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
-    names = _words(found.get("class", "")) + _words(found.get("id", ""))
+    named = [_words(n) for n in (found.get("class", "") + " " + found.get("id", "")).split()]
+    names, evidence = [w for n in named for w in n], {w for n in named if not _LAYOUT_WORDS & set(n) for w in n}
     bad = tag in _BAD_TAGS or found.get("role", "").lower() in _BAD_ROLES or found.get("aria-hidden", "") == "true"
     bad |= tag == "header"
-    bad |= any(w in _BAD_WORDS for w in names) and not (set(names) & {"article", "articlebody"} and tag == "article")
+    if tag in ("article", "main"):          # other names of a frame tell of its parts; comments are articles on many hosts
+        bad |= bool(evidence & _COMMENT_WORDS) and not evidence & {"article", "articlebody"}
+    elif tag not in ("html", "body"):
+        bad |= bool(evidence & _BAD_WORDS)
     bad |= bool(re.search(r"display\s*:\s*none", found.get("style", ""))) or bool(re.search(r"\bhidden\b(?!\s*=)", attrs))
     good = tag in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
     return tag + "".join("." + w for w in names) + ("!" if bad else "*" if good else "")
@@ -217,13 +222,17 @@ def _join(one: dict | None, other: dict) -> dict:
 
 def _is_bad(path: str) -> bool:
     """A boilerplate element encloses the block; a header inside an article
-    holds its title and counts as part of it."""
-    parts, inside = path.split("/"), False
-    for part in parts:
-        if part.endswith("*"):
-            inside = True
-        elif part.endswith("!") and not (inside and part.startswith("header") and part.count(".") == 0):
-            return True
+    holds its title and counts as part of it, and a form around an article or
+    main element holds the page."""
+    parts = path.split("/")
+    frames = [i for i, part in enumerate(parts) if part.endswith("*")]
+    for i, part in enumerate(parts):
+        if part.endswith("!"):
+            tag, *names = part[:-1].split(".")
+            title = tag == "header" and frames and frames[0] < i and not set(names) & _BAD_WORDS - {"header"}
+            whole = tag == "form" and frames and i < frames[-1]
+            if not title and not whole:
+                return True
     return False
 
 

@@ -148,3 +148,18 @@ def test_embeddings_equal_brute_force(spark):
     assert {i: r.n_links for i, r in got.items()} == links
     assert {i: r.component_id for i, r in got.items()} == root
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_names_of_the_page_and_its_frame_do_not_empty_it():
+    unknown = {"known": (), "links": (), "template": ()}
+    pages = {
+        '<body class="no-sidebar"><p>Text.</p></body>': "Text.",
+        '<div class="content-with-sidebar"><article><p>Text.</p></article></div>': "Text.",
+        "<form><article><p>Text.</p></article></form>": "Text.",
+        '<article class="post share"><p>Text.</p></article>': "Text.",
+        '<article><header class="entry-header"><h1>Title</h1></header><p>Sum <math><mi>x</mi></math>.</p></article>': "Title\n\nSum x.",
+        '<article><p>Text.</p></article><article class="comment"><p>reader</p></article>': "Text.",
+        '<header class="site-header"><p>logo</p></header><article><p>Text.</p><form><p>mail</p></form></article>': "Text.",
+        '<div class="sidebar"><p>side</p></div><main><p>Text.</p></main>': "Text.",
+    }
+    assert {p: html_text.main_text(p, unknown) for p in pages} == pages
