@@ -2,7 +2,8 @@
 
 The model is over characters, of order ``ORDER`` (lower-cased text, every white
 space character a space, ``ORDER - 1`` start marks before each text), and is
-trained on all documents that the labels call good.  Counts, continuation
+trained on the documents that the labels call good, but for one in
+``HELD_OUT`` (by a hash of the text, so copies stay together).  Counts, continuation
 counts, discounts, back-off weights and probabilities are tables made by
 aggregations and joins on the n-gram, so the model is sharded by n-gram and
 never gathered in one place.
@@ -10,8 +11,10 @@ never gathered in one place.
 Documents are scored in blocks: the distinct n-grams of a block (pre-aggregated
 by the task that read it) are joined with the model, and the block's documents
 meet the block's probabilities.  A document is kept if its perplexity per
-character is at most the ``QUANTILE`` of the good documents of its language
-(of all good documents where its language has none).
+character is at most the ``QUANTILE`` of the good documents of its language that
+were left out of the counts (of all such documents where its language has none; of
+all good documents where nothing was left out).  Texts that the model has seen have
+lower perplexities than new ones of the same kind: their quantile would drop new ones.
 
 Results in corner cases: a null or empty text has no perplexity and is not
 kept; characters beyond the basic plane are folded into it; a null language is
@@ -36,6 +39,7 @@ from leaklens.llm.graph import written
 
 ORDER = 4               # four characters of 16 bits fill a 64-bit key
 QUANTILE = 0.99
+HELD_OUT = 5            # one of so many good texts sets the thresholds instead of the counts
 BLOCK_CHARS = 32_000_000
 
 _U = np.uint64
@@ -134,10 +138,15 @@ def probabilities(grams: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
     return found.select("gram", F.log(value).alias("logp"))
 
 
+def held_out(text: Column) -> Column:
+    """Whether a good text is kept from the counts."""
+    return F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, row, doc_id, lang, packed): documents in blocks of about
+    """(block, row, doc_id, lang, held, packed): documents in blocks of about
     BLOCK_CHARS characters of one task's input, texts compressed."""
-    rows = docs.select("doc_id", "lang", "text").withColumn("part", F.spark_partition_id())
+    rows = docs.select("doc_id", "lang", "text", held_out(F.col("text")).alias("held")).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, chars, block, row = zstandard.ZstdCompressor(level=3), 0, 0, 0
@@ -149,12 +158,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 base = part.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 24
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(base + block), pa.array(np.arange(row, row + len(texts))), part.column("doc_id").cast(pa.int64()),
-                     part.column("lang").cast(pa.string()), pa.array(packed, pa.binary())], ["block", "row", "doc_id", "lang", "packed"])
+                     part.column("lang").cast(pa.string()), part.column("held"), pa.array(packed, pa.binary())],
+                    ["block", "row", "doc_id", "lang", "held", "packed"])
                 row += len(texts)
                 if chars >= BLOCK_CHARS:
                     block, chars = block + 1, 0
 
-    return rows.mapInArrow(run, "block long, row long, doc_id long, lang string, packed binary")
+    return rows.mapInArrow(run, "block long, row long, doc_id long, lang string, held boolean, packed binary")
 
 
 def _unpacked(packed) -> pa.Array:
@@ -183,8 +193,8 @@ def _block_grams(blocks: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, n, perplexity) of every row of ``docs`` under the model
-    of the texts of ``trusted``."""
+    """(doc_id, lang, held, n, perplexity) of every row of ``docs`` under the
+    model of the texts of ``trusted``."""
     model = train(trusted)
     blocks = written(_blocks(docs), "kn-blocks")
     grams = written(_block_grams(blocks), "kn-grams")
@@ -203,10 +213,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         total, size = np.concatenate(total), np.concatenate(size)
         with np.errstate(invalid="ignore", divide="ignore"):
             perplexity = np.where(size > 0, np.exp(-total / size), np.nan)
-        return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "n": size, "perplexity": perplexity})
+        return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "held": docs["held"], "n": size, "perplexity": perplexity})
 
     scored = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(
-        score, "doc_id long, lang string, n long, perplexity double")
+        score, "doc_id long, lang string, held boolean, n long, perplexity double")
     return scored.withColumn("perplexity", F.when(F.col("n") > 0, F.col("perplexity")))
 
 
@@ -214,8 +224,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """doc_id, lang, perplexity, threshold and kept, one row per document row."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
     trusted = docs.join(good, docs["doc_id"] == good["__good"], "left_semi")
-    scored = written(perplexities(docs, trusted), "kn-scores")
-    of_good = scored.join(good, scored["doc_id"] == good["__good"], "left_semi")
+    scored = written(perplexities(docs, trusted.filter(~held_out(F.col("text")))), "kn-scores")
+    of_good = scored.join(good, scored["doc_id"] == good["__good"], "left_semi").filter("n > 0")
+    if of_good.filter("held").isEmpty():
+        of_good = of_good.withColumn("held", F.lit(True))
+    of_good = of_good.filter("held")
     by_lang = of_good.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     overall = of_good.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
     by_lang = by_lang.withColumnRenamed("lang", "__lang")

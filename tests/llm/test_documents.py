@@ -307,3 +307,22 @@ def test_quality_probabilities_sum_to_one_and_junk_goes(spark):
     every = spark.createDataFrame([((context << 16) | c,) for c in letters], "gram long")
     total = sum(2.718281828459045 ** r.logp for r in quality.probabilities(every, model).collect())
     assert 0.98 < total <= 1.0 + 1e-9
+
+
+def test_unseen_good_texts_are_kept(spark):
+    """Thresholds come from good texts outside the counts: new texts of the same
+    kind pass as well as those in the counts."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows = [(i, prose(), "s") for i in range(300)] + [(i, prose(), "s") for i in range(300, 400)]
+    rows += [(i, "".join(rng.choice("xqzjk#%&0123 ") for _ in range(300)), "s") for i in range(400, 420)]
+    rows += [(500, None, "s"), (501, "", "s"), (0, rows[0][1], "s")]
+    labels = [(i, 1, 0) for i in [*range(300), 500, 501]] + [(400, 0, 0), (None, 1, 0)]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(frame(spark, rows), marks).collect()
+    kept = [r.doc_id for r in got if r.kept]
+    assert len(got) == len(rows) and kept.count(0) == 2
+    assert sum(i < 300 for i in kept) > 290 and sum(300 <= i < 400 for i in kept) >= 94 and max(kept) < 400
+    bare = quality.classify(frame(spark, rows[:1]), marks).collect()       # nothing left out, or nothing counted
+    assert len(bare) == 1
