@@ -112,11 +112,11 @@ def _pred_sql(expr: str, kind: str, patterns: list[str]) -> str:
     return sql_like_any(expr, patterns) if kind == "like" else sql_similar_any(expr, patterns)
 
 
-def category_columns(rule_col: str = "rule_id", lines_col: str = "lines") -> list[Column]:
-    """Aggregate columns for every (category) over rows of the 4 rules.
+def category_flags(rule_col: str = "rule_id", lines_col: str = "lines") -> dict[str, Column]:
+    """Category name -> predicate over rows of the 4 rules.
 
     Each category predicate is dispatched by rule with a CASE, so one
-    ``groupBy(rule_id)`` pass counts everything.  Faithful and fixed variants
+    pass over the rows tells everything.  Faithful and fixed variants
     differ only where the reference is clearly mistaken:
 
     * htaccess of ``file-put-contents_`` queries a misspelt rule id -> 0;
@@ -126,7 +126,6 @@ def category_columns(rule_col: str = "rule_id", lines_col: str = "lines") -> lis
     """
     rule = F.col(rule_col)
     lines = F.col(lines_col)
-    out: list[Column] = [F.count(F.lit(1)).alias("n_total")]
 
     def per_rule(cat: str, fixed: bool = False) -> Column:
         expr = None
@@ -141,11 +140,14 @@ def category_columns(rule_col: str = "rule_id", lines_col: str = "lines") -> lis
             expr = F.when(rule == r, pred) if expr is None else expr.when(rule == r, pred)
         return expr
 
-    for cat in CATEGORIES:
-        out.append(F.count_if(per_rule(cat)).alias(f"n_{cat}"))
-    out.append(F.count_if(per_rule("htaccess", fixed=True)).alias("n_htaccess_fixed"))
-    out.append(F.count_if(per_rule("securing", fixed=True)).alias("n_securing_fixed"))
-    return out
+    flags = {cat: per_rule(cat) for cat in CATEGORIES}
+    return flags | {f"{cat}_fixed": per_rule(cat, fixed=True) for cat in ("htaccess", "securing")}
+
+
+def category_columns(rule_col: str = "rule_id", lines_col: str = "lines") -> list[Column]:
+    """Aggregate columns ``n_total`` and ``n_<category>`` over rows of the 4 rules."""
+    return [F.count(F.lit(1)).alias("n_total"),
+            *[F.count_if(flag).alias(f"n_{cat}") for cat, flag in category_flags(rule_col, lines_col).items()]]
 
 
 def add_residuals(df, rule_col: str = "rule_id"):

@@ -112,8 +112,7 @@ def distinct_log_paths(hooks: DataFrame) -> DataFrame:
 
 def log_paths_naming(hooks: DataFrame) -> DataFrame:
     """L2: distinct log-like params naming ``error`` or ``debug`` (F10),
-    one row per (params, word)."""
-    d = distinct_log_paths(hooks)
-    err = d.filter(name_contains_ci("params", "error")).withColumn("word", F.lit("error"))
-    dbg = d.filter(name_contains_ci("params", "debug")).withColumn("word", F.lit("debug"))
-    return err.unionByName(dbg)
+    one row per (params, word): one scan and one distinct serve both words."""
+    words = F.array(*[F.when(name_contains_ci("params", w), F.lit(w)) for w in ("error", "debug")])
+    return (distinct_log_paths(hooks).select("params", F.explode(words).alias("word"))
+            .filter(F.col("word").isNotNull()))

@@ -116,16 +116,19 @@ def plugin_classification(findings: DataFrame, runs: DataFrame, plugins: DataFra
     whose run belongs to a catalogued plugin (J1's join path), per rule,
     with the number of affected plugins.
 
-    The category counts are pre-aggregated per (run, rule) in the scan stage
-    (map-side combine), so only one small row per run and rule reaches the
-    joins; the final aggregate sums them per rule.
+    The scan turns each finding's text into booleans, so a finding is a few
+    bytes when it meets its run, the only join of all findings (a run holds a
+    few of each rule: a count before it would save nothing).  Counts per rule
+    and plugin, combined map-side, then meet the catalogue.
     """
-    f = findings.filter(classify.any_rule()).select("run_id", "rule_id", "lines")
-    per_run = f.groupBy("run_id", "rule_id").agg(*classify.category_columns())
+    flags = classify.category_flags()
+    f = findings.filter(classify.any_rule()).select("run_id", "rule_id", *[x.alias(c) for c, x in flags.items()])
     r = runs.select("run_id", "plugin_slug")
+    per_plugin = f.join(r, "run_id").groupBy("plugin_slug", "rule_id").agg(
+        F.count(F.lit(1)).alias("n_total"), *[F.count_if(F.col(c)).alias(f"n_{c}") for c in flags])
     p = plugins.select(F.col("slug").alias("plugin_slug"))
-    joined = per_run.join(r, "run_id").join(p, "plugin_slug", "left_semi")
-    counts = [c for c in per_run.columns if c.startswith("n_")]
+    joined = per_plugin.join(p, "plugin_slug", "left_semi")
+    counts = [c for c in per_plugin.columns if c.startswith("n_")]
     out = joined.groupBy("rule_id").agg(
         F.countDistinct("plugin_slug").alias("n_plugins"),
         *[F.sum(c).alias(c) for c in counts])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leaklens.functions.scalar import strip_plugins_dir
+from leaklens.operators.merge import dense_ids
 
 # ---------------------------------------------------------------------------
 # Rule ids of the scanner rule file and our textual contract.
@@ -55,6 +56,20 @@ VAR_RULES = {
 }
 QUALIFY = {"log": r"log", "fopen_log": r"(?s)fopen\(.*log.*\)"}
 
+# rule id -> the message its findings carry
+MESSAGES = {
+    "file-put-contents_": "Possible file write sink file_put_contents",
+    "file-put-contents_log-file-var-assignment": "Variable passed to file_put_contents contains 'log'",
+    "fopen_var-assignment": "Variable passed to file_put_contents contains 'log'",
+    "fwrite_with-fopen": "Variable passed to file_put_contents contains 'log'",
+    "fprintf_with-fopen": "Variable passed to file_put_contents contains 'log'",
+    "fputs_with-fopen": "Variable passed to file_put_contents contains 'log'",
+    "wp-upload-dir_": "Use of wp_upload_dir (may indicate log or file path handling)",
+    "hardcoded-wp-content-path": "Hardcoded path under /wp-content/ detected",
+    "WP-DEBUG_enabling": "Plugin enabled WP_DEBUG is assumed to be FALSE in wp-config.php",
+    "WP-DEBUG-LOG_enabling": "Plugin enabled WP_DEBUG_LOG is assumed to be FALSE in wp-config.php",
+}
+
 SCAN_EXCLUDE_RE = r"/(vendor|tests)/"
 
 
@@ -157,3 +172,22 @@ def scan_sources(files: DataFrame) -> DataFrame:
     """S8 + all ten rules over a source tree in ONE scan of the text:
     findings (rule, plugin, file, start, end, lines)."""
     return _findings(_records(source_lines(php_sources(files)), True, True))
+
+
+def scan_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S8 + S9: a scan in the warehouse's shape, (runs, findings), that J1 and
+    every report read.
+
+    One run per plugin that has a scanned file, also without findings, numbered
+    by slug; a text scan has no scanner errors.  Findings are numbered by run,
+    file, lines and rule, so a repeated scan gives the same ids.
+    """
+    slugs = php_sources(files).select(slug_of().alias("plugin_slug")).distinct()
+    runs = dense_ids(slugs, ["plugin_slug"], "run_id").select(
+        "run_id", "plugin_slug", F.lit(0).alias("error_count"), F.lit("null").alias("errors"))
+    message = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    found = scan_sources(files).join(runs.select("run_id", "plugin_slug"), "plugin_slug").select(
+        "run_id", "rule_id", "file_path", F.col("start_line").cast("int").alias("start_line"),
+        F.col("end_line").cast("int").alias("end_line"), message[F.col("rule_id")].alias("message"), "lines")
+    order = ["run_id", "file_path", "start_line", "end_line", "rule_id", "lines"]
+    return runs, dense_ids(found, order, "finding_id").select("finding_id", *found.columns)

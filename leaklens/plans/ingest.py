@@ -338,7 +338,7 @@ def s11(t):
     """The findings-per-rule report written as one CSV file, read back."""
     spark = t.spark
     path = scratch_path(spark, "s11-report")
-    sinks.write_report_csv(reports.findings_per_rule(t["rules"], t["findings_semgrep"]), path)
+    sinks.write_report_csv(reports.findings_per_rule(t["rules"], t["findings_semgrep"]), path, one_file=True)
     return spark.read.schema("rule_id string, n_findings long").option("header", True).csv(path)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leaklens.functions import classify
 from leaklens.functions.regex import sql_str
 from leaklens.functions.scalar import request_args
-from leaklens.operators import routes, static_scan
+from leaklens.operators import reports, routes, static_scan
 from leaklens.operators.static_scan import ASSIGN_RE, LINE_RULES, QUALIFY, USE_RE, VAR_RULES, WS
 from leaklens.plans.registry import query
 from leaklens.sources.adapters import cte
@@ -74,6 +75,32 @@ def scan_all(t):
     return static_scan.scan_sources(t["source_files"])
 
 
+_MESSAGE = "CASE rule_id " + " ".join(f"WHEN {sql_str(r)} THEN {sql_str(m)}" for r, m in static_scan.MESSAGES.items()) + " END"
+_SCAN_TABLES = _F + _line_hits_sql() + _var_sql() + f""", runs AS (
+ SELECT row_number() OVER (ORDER BY plugin_slug) - 1 AS run_id, plugin_slug FROM (SELECT DISTINCT plugin_slug FROM f))
+, scanned AS (SELECT row_number() OVER (ORDER BY run_id, file_path, start_line, end_line, rule_id, lines) - 1 AS finding_id,
+ run_id, rule_id, file_path, start_line, end_line, {_MESSAGE} AS message, lines
+ FROM (SELECT * FROM line_findings UNION ALL SELECT * FROM var_findings) JOIN runs USING (plugin_slug))
+"""
+
+
+@query("s8_s9_scan_tables", "S8 S9 W3 D1 D2 D3 D4 D5 D6 D7 D8 D9 D10 J6", _SCAN_TABLES + "SELECT * FROM scanned")
+def scan_tables(t):
+    """The scan of the source tree as the warehouse's findings: ids, runs and messages."""
+    return static_scan.scan_tables(t["source_files"])[1]
+
+
+@query("flagship_scanned_sources", "J1 A7 A8 A9 A10 A11 S8",
+       _SCAN_TABLES + "SELECT *, " + classify.residual_sql()
+       + " FROM (SELECT rule_id, count(DISTINCT run_id) AS n_plugins,\n " + classify.category_sql()
+       + "\nFROM scanned WHERE rule_id IN (" + ", ".join(f"'{r}'" for r in classify.CLASSIFIED_RULES) + ") GROUP BY rule_id) c")
+def flagship_scanned(t):
+    """The flagship's classification of what the scan of the source tree finds,
+    per rule, over the plugins that were scanned."""
+    runs, findings = static_scan.scan_tables(t["source_files"])
+    return reports.plugin_classification(findings, runs, runs.select(F.col("plugin_slug").alias("slug")))
+
+
 # ---- routes ------------------------------------------------------------------
 
 _CB = sql_str(routes.CALLBACK_RE)

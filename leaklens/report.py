@@ -28,6 +28,9 @@ from leaklens.sources import sinks
 TABLES = ["plugins", "rules", "semgrep_runs", "findings_semgrep", "ajax_routes", "ajax_route_arguments",
           "dynamic_analysis", "findings_function_hooks"]
 ROUTED = {"findings_rest": "REST", "findings_ajax": "AJAX", "findings_wp_cli": "WP_CLI"}
+#: Reports of one row, or one per rule.
+BOUNDED = {"route_counts", "argument_count", "plugin_count", "downloads_range", "installs_range", "findings_per_rule",
+           "scanner_errors", "log_name_classes", "dynamic_summary", "log_path_counts", "hook_overview", "rest_findings_counts"}
 
 
 def load_warehouse(spark: SparkSession, root: str) -> dict:
@@ -54,7 +57,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_reports(spark: SparkSession, root: str, out_dir: str) -> list[str]:
     reports = all_reports(load_warehouse(spark, root))
     for name, df in reports.items():
-        sinks.write_report_csv(df, os.path.join(out_dir, name))
+        sinks.write_report_csv(df, os.path.join(out_dir, name), name in BOUNDED)
     return sorted(reports)
 
 

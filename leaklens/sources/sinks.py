@@ -36,6 +36,10 @@ def write_routed(changes: DataFrame, path: str) -> None:
     write_table(changes, path, ["interface"])
 
 
-def write_report_csv(report: DataFrame, path: str) -> None:
-    """An already aggregated (small) report as one CSV file."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_report_csv(report: DataFrame, path: str, one_file: bool = True) -> None:
+    """A report as one CSV file, for reports with a bounded number of rows
+    such as one per rule.  Others are written in parallel (``one_file=False``):
+    their part files, by name, hold the order."""
+    if one_file:
+        report = report.coalesce(1)
+    report.write.mode("overwrite").option("header", True).csv(path)

@@ -44,6 +44,13 @@ def test_report_csv_is_one_file(spark, tmp_path):
     assert len(parts) == 1
 
 
+def test_long_report_keeps_its_order_over_files(spark, tmp_path):
+    path = str(tmp_path / "long")
+    sinks.write_report_csv(spark.range(0, 1000, 1, 8).orderBy("id"), path, one_file=False)
+    ids = [int(line) for p in sorted((tmp_path / "long").glob("part-*")) for line in p.read_text().split()[1:]]
+    assert ids == list(range(1000))
+
+
 def test_warehouse_overwrite_is_idempotent(spark, tmp_path):
     root = str(tmp_path / "wh")
     t = {"plugins": spark.createDataFrame([("a", 1)], "slug string, n int")}

@@ -130,3 +130,29 @@ def test_callback_patterns_equal_brute_force(spark):
     shuffled = routes.callback_arguments(spark.createDataFrame([("plugins/p/a.php", "")], "path string, content string"))
     plan = shuffled._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" in plan and not [line for line in plan.splitlines() if "Exchange" in line and "body" in line]
+
+
+def test_scan_in_warehouse_shape(spark):
+    rows = [("plugins/b/inc/a.php", PHP), ("plugins/a/x.php", "nothing here"), ("plugins/b/inc/a.php", PHP),
+            ("plugins/c/tests/a.php", PHP), ("plugins/d/e.php", None), ("plugins/a/y.php", "$u = wp_upload_dir();")]
+    runs, found = static_scan.scan_tables(spark.createDataFrame(rows, "path string, content string"))
+    assert [(r.run_id, r.plugin_slug) for r in runs.orderBy("run_id").collect()] == [(0, "a"), (1, "b"), (2, "d")]
+    got = found.orderBy("finding_id").collect()
+    assert [r.finding_id for r in got] == list(range(27))       # 13 of each row of b's file, one of a
+    assert (got[0].run_id, got[0].rule_id, got[0].file_path, got[0].start_line) == (0, "wp-upload-dir_", "a/y.php", 1)
+    assert got[0].message == "Use of wp_upload_dir (may indicate log or file path handling)"
+    assert {r.run_id for r in got[1:]} == {1} and all(r.message for r in got)
+    empty = static_scan.scan_tables(spark.createDataFrame([], "path string, content string"))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_flagship_reads_scan_tables(spark):
+    from leaklens.operators import reports
+    files = spark.createDataFrame([("plugins/b/a.php", PHP), ("plugins/z/a.php", PHP)], "path string, content string")
+    runs, found = static_scan.scan_tables(files)
+    plugins = spark.createDataFrame([("b", 10)], "slug string, num_downloads int")
+    got = {r.rule_id: r for r in reports.plugin_classification(found, runs, plugins).collect()}
+    assert got["file-put-contents_"].n_plugins == 1 and got["file-put-contents_"].n_total == 3
+    assert got["file-put-contents_"].n_error == 1
+    downloads = reports.debug_enabling_plugins(runs, found, plugins).collect()
+    assert [(r.plugin_slug, r.rule_id) for r in downloads] == [("b", "WP-DEBUG-LOG_enabling"), ("b", "WP-DEBUG_enabling")]
