@@ -71,19 +71,21 @@ def _context(key: Column) -> Column:
     return F.shiftrightunsigned(key, 16)
 
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the column text, summed in each task first."""
+def count_ngrams(texts: DataFrame, packed: bool = False) -> DataFrame:
+    """(gram, n) over the column text (or packed), summed in each task first."""
+    column = "packed" if packed else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
         for batch in batches:
-            for part in W.pieces(batch, "text"):
-                new, n = np.unique(ngrams(part.column("text"))[0], return_counts=True)
+            for part in W.pieces(batch, column):
+                values = _unpacked(part.column(column).to_pylist()) if packed else part.column(column)
+                new, n = np.unique(ngrams(values)[0], return_counts=True)
                 keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 counts = np.bincount(inverse, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select(column).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -97,9 +99,9 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def train(texts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+def train(texts: DataFrame, packed: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
     """{order: (probabilities (gram, p), back-off weights (context, gamma))}."""
-    counts = {ORDER: written(count_ngrams(texts), "kn-counts")}
+    counts = {ORDER: written(count_ngrams(texts, packed), "kn-counts")}
     for order in range(ORDER - 1, 0, -1):       # continuation counts: distinct characters before
         counts[order] = written(counts[order + 1].groupBy(_suffix(F.col("gram"), order).alias("gram"))
                                 .agg(F.count("*").alias("n")), "kn-counts")
@@ -192,11 +194,9 @@ def _block_grams(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "packed").mapInArrow(run, "block long, gram long").distinct()
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, lang, held, n, perplexity) of every row of ``docs`` under the
-    model of the texts of ``trusted``."""
-    model = train(trusted)
-    blocks = written(_blocks(docs), "kn-blocks")
+def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(doc_id, lang, held, n, perplexity) of every document of ``blocks``
+    under the model."""
     grams = written(_block_grams(blocks), "kn-grams")
     known = written(probabilities(grams.select("gram").distinct(), model), "kn-known")
     table = grams.join(known, "gram").select("block", "gram", "logp")
@@ -223,8 +223,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept, one row per document row."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
-    trusted = docs.join(good, docs["doc_id"] == good["__good"], "left_semi")
-    scored = written(perplexities(docs, trusted.filter(~held_out(F.col("text")))), "kn-scores")
+    blocks = written(_blocks(docs), "kn-blocks")
+    # compressed texts meet the labels
+    trusted = blocks.filter("not held").join(good, blocks["doc_id"] == good["__good"], "left_semi")
+    scored = written(perplexities(blocks, train(trusted, packed=True)), "kn-scores")
     of_good = scored.join(good, scored["doc_id"] == good["__good"], "left_semi").filter("n > 0")
     if of_good.filter("held").isEmpty():
         of_good = of_good.withColumn("held", F.lit(True))
