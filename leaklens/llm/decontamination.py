@@ -53,7 +53,7 @@ LCS_SURE, LCS_PARAPHRASE = 0.75, 0.5
 ANSWER = 6
 ITEM_BLOCK = 2000
 GROUPS = 24             # of passages, each with a bound of its own
-SLICE = 4096            # blocks of words whose latent sums are made at once
+SLICE = 4096            # blocks of STRIDE words whose sums are made at once
 
 _U = np.uint64
 
@@ -89,7 +89,12 @@ def _block_sums(words: W.Words, table: np.ndarray, stride: int) -> tuple[np.ndar
     start = np.repeat(words.ptr[:-1], blocks) + step * stride
     if not len(start):
         return np.zeros((0, table.shape[1]), table.dtype), blocks
-    return np.add.reduceat(table[_buckets(words)], start, axis=0), blocks
+    bucket, sums = _buckets(words), np.empty((len(start), table.shape[1]), table.dtype)
+    many, until = max(1, SLICE * STRIDE // stride), np.append(start, len(bucket))
+    for a in range(0, len(start), many):        # the rows of all words at once would fill the memory
+        b = min(a + many, len(start))
+        sums[a:b] = np.add.reduceat(table[bucket[until[a]:until[b]]], start[a:b] - until[a], axis=0)
+    return sums, blocks
 
 
 def _passages(sums: np.ndarray, blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

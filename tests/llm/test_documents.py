@@ -326,3 +326,24 @@ def test_unseen_good_texts_are_kept(spark):
     assert sum(i < 300 for i in kept) > 290 and sum(300 <= i < 400 for i in kept) >= 94 and max(kept) < 400
     bare = quality.classify(frame(spark, rows[:1]), marks).collect()       # nothing left out, or nothing counted
     assert len(bare) == 1
+
+
+def test_block_sums_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from leaklens.llm import words as W
+
+    words = W.split(pa.array(["a bc def " * 30_000, "", "a", "bc " * 17]))
+    table = np.random.default_rng(1).random((1 << decontamination.HASH_BITS, 40), dtype=np.float32)
+    for stride in (decontamination.STRIDE, decontamination.ITEM_PASSAGE):
+        tracemalloc.start()
+        sums, blocks = decontamination._block_sums(words, table, stride)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12_000_000          # all words' rows are 14 MB, beside 2 MB of sums and their places
+        doc, at = 3, int(blocks[:3].sum())
+        part = decontamination._buckets(words)[words.ptr[doc]:words.ptr[doc + 1]]
+        want = [table[part[a:a + stride]].sum(axis=0) for a in range(0, len(part), stride)]
+        assert np.allclose(sums[at:], want, rtol=1e-5) and len(sums) == blocks.sum()
