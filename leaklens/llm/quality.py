@@ -8,7 +8,9 @@ counts, discounts, back-off weights and probabilities are tables made by
 aggregations and joins on the n-gram, so the model is sharded by n-gram and
 never gathered in one place.
 
-Documents are scored in blocks: the distinct n-grams of a block (pre-aggregated
+Texts travel compressed in bundles of neighbouring documents; the labels meet
+document ids, and only the places of the trusted documents in their bundles go
+back to the texts.  Documents are scored in blocks: the distinct n-grams of a block (pre-aggregated
 by the task that read it) are joined with the model, and the block's documents
 meet the block's probabilities.  A document is kept if its perplexity per
 character is at most the ``QUANTILE`` of the good documents of its language that
@@ -41,6 +43,7 @@ ORDER = 4               # four characters of 16 bits fill a 64-bit key
 QUANTILE = 0.99
 HELD_OUT = 5            # one of so many good texts sets the thresholds instead of the counts
 BLOCK_CHARS = 32_000_000
+BUNDLE = 256            # documents at most that are compressed together
 
 _U = np.uint64
 
@@ -72,20 +75,25 @@ def _context(key: Column) -> Column:
 
 
 def count_ngrams(texts: DataFrame, packed: bool = False) -> DataFrame:
-    """(gram, n) over the column text (or packed), summed in each task first."""
+    """(gram, n) over the column text (or over the texts ``rows`` of the
+    bundles packed), summed in each task first."""
     column = "packed" if packed else "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, _U), np.zeros(0, np.int64)
         for batch in batches:
             for part in W.pieces(batch, column):
-                values = _unpacked(part.column(column).to_pylist()) if packed else part.column(column)
+                values = part.column(column)
+                if packed:
+                    values = pa.array([bundle[i] for bundle, rows in zip(map(_unpacked, values.to_pylist()), part.column("rows").to_pylist())
+                                       for i in rows], pa.large_string())
                 new, n = np.unique(ngrams(values)[0], return_counts=True)
                 keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
                 counts = np.bincount(inverse, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
-    return texts.select(column).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    wanted = texts.select("packed", "rows") if packed else texts.select("text")
+    return wanted.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -146,32 +154,53 @@ def held_out(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """(block, row, doc_id, lang, held, packed): documents in blocks of about
-    BLOCK_CHARS characters of one task's input, texts compressed."""
+    """(block, bundle, doc_id, lang, held, packed): documents in bundles, their
+    columns as lists and their texts compressed together; bundles in blocks of
+    about BLOCK_CHARS characters of one task's input."""
     rows = docs.select("doc_id", "lang", "text", held_out(F.col("text")).alias("held")).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, chars, block, row = zstandard.ZstdCompressor(level=3), 0, 0, 0
+        press, chars, block, bundle = zstandard.ZstdCompressor(level=9), 0, 0, 0
         for batch in batches:
             for part in W.pieces(batch, "text"):
-                texts = part.column("text").to_pylist()
-                chars += sum(len(t or "") for t in texts)
-                packed = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                base = part.column("part").to_numpy(zero_copy_only=False).astype(np.int64) << 24
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(base + block), pa.array(np.arange(row, row + len(texts))), part.column("doc_id").cast(pa.int64()),
-                     part.column("lang").cast(pa.string()), part.column("held"), pa.array(packed, pa.binary())],
-                    ["block", "row", "doc_id", "lang", "held", "packed"])
-                row += len(texts)
+                for at in range(0, part.num_rows, BUNDLE):
+                    some = part.slice(at, BUNDLE)
+                    texts = some.column("text").to_pylist()
+                    chars += sum(len(t or "") for t in texts)
+                    first = some.column("part")[0].as_py()
+                    lists = [pa.array([some.column(c).to_pylist()], pa.list_(kind))
+                             for c, kind in (("doc_id", pa.int64()), ("lang", pa.string()), ("held", pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([(first << 24) + block]), pa.array([(first << 32) + bundle]), *lists, pa.array([_packed(press, texts)], pa.binary())],
+                        ["block", "bundle", "doc_id", "lang", "held", "packed"])
+                    bundle += 1
                 if chars >= BLOCK_CHARS:
                     block, chars = block + 1, 0
 
-    return rows.mapInArrow(run, "block long, row long, doc_id long, lang string, held boolean, packed binary")
+    return rows.mapInArrow(run, "block long, bundle long, doc_id array<long>, lang array<string>, held array<boolean>, packed binary")
 
 
-def _unpacked(packed) -> pa.Array:
-    press = zstandard.ZstdDecompressor()
-    return pa.array([press.decompress(p).decode("utf-8", "surrogatepass") for p in packed], pa.large_string())
+def _packed(press: zstandard.ZstdCompressor, texts: list[str | None]) -> bytes:
+    """The number of texts, their sizes and bytes, compressed."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return press.compress(np.array([len(raw), *map(len, raw)], "<u4").tobytes() + b"".join(raw))
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int.from_bytes(raw[:4], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 * (n + 1), *ends.tolist()], ends.tolist())]
+
+
+def _trusted(blocks: DataFrame, good: DataFrame) -> DataFrame:
+    """(packed, rows): the bundles with the places of the documents that the
+    model is trained on.  Ids meet the labels; texts meet their places."""
+    ids = (blocks.select("bundle", F.posexplode(F.arrays_zip("doc_id", "held")).alias("row", "d"))
+           .select("bundle", "row", "d.doc_id", "d.held").filter("not held"))
+    places = ids.join(good, ids["doc_id"] == good["__good"], "left_semi").groupBy("bundle").agg(F.collect_list("row").alias("rows"))
+    places = written(places, "kn-places")       # of known size: texts move only if the places are many
+    return blocks.select("bundle", "packed").join(places, "bundle").select("packed", "rows")
 
 
 def _block_grams(blocks: DataFrame) -> DataFrame:
@@ -180,13 +209,9 @@ def _block_grams(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            ids = batch.column("block").to_numpy()
-            for at in range(0, batch.num_rows, 512):
-                part = ids[at:at + 512]
-                for block in np.unique(part):
-                    pick = np.flatnonzero(part == block) + at
-                    new = np.unique(ngrams(_unpacked([batch.column("packed")[int(i)].as_py() for i in pick]))[0])
-                    seen[block] = np.union1d(seen[block], new) if block in seen else new
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed")):
+                new = np.unique(ngrams(pa.array(_unpacked(packed.as_py()), pa.large_string()))[0])
+                seen[block] = np.union1d(seen[block], new) if block in seen else new
         for block, keys in seen.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(keys), block)), pa.array(keys.view(np.int64))], ["block", "gram"])
@@ -201,21 +226,23 @@ def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
     known = written(probabilities(grams.select("gram").distinct(), model), "kn-known")
     table = grams.join(known, "gram").select("block", "gram", "logp")
 
-    def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["gram"].to_numpy().view(_U))
-        keys, logp = table["gram"].to_numpy().view(_U)[order], table["logp"].to_numpy()[order]
+    def score(docs: pa.Table, table: pa.Table) -> pa.Table:
+        keys, logp = table.column("gram").to_numpy().view(_U), table.column("logp").to_numpy()
+        order = np.argsort(keys)
+        keys, logp = keys[order], logp[order]
         total, size = [], []
-        for at in range(0, len(docs), 256):
-            key, ptr = ngrams(_unpacked(docs["packed"].iloc[at:at + 256]))
+        for packed in docs.column("packed"):
+            key, ptr = ngrams(pa.array(_unpacked(packed.as_py()), pa.large_string()))
             value = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, key)])]) if len(key) else np.zeros(1)
             total.append(value[ptr[1:]] - value[ptr[:-1]])
             size.append(np.diff(ptr))
         total, size = np.concatenate(total), np.concatenate(size)
         with np.errstate(invalid="ignore", divide="ignore"):
             perplexity = np.where(size > 0, np.exp(-total / size), np.nan)
-        return pd.DataFrame({"doc_id": docs["doc_id"], "lang": docs["lang"], "held": docs["held"], "n": size, "perplexity": perplexity})
+        rows = {c: pc.list_flatten(docs.column(c)) for c in ("doc_id", "lang", "held")}
+        return pa.table({**rows, "n": size, "perplexity": perplexity})
 
-    scored = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(
+    scored = blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(
         score, "doc_id long, lang string, held boolean, n long, perplexity double")
     return scored.withColumn("perplexity", F.when(F.col("n") > 0, F.col("perplexity")))
 
@@ -224,9 +251,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     """doc_id, lang, perplexity, threshold and kept, one row per document row."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
     blocks = written(_blocks(docs), "kn-blocks")
-    # compressed texts meet the labels
-    trusted = blocks.filter("not held").join(good, blocks["doc_id"] == good["__good"], "left_semi")
-    scored = written(perplexities(blocks, train(trusted, packed=True)), "kn-scores")
+    scored = written(perplexities(blocks, train(_trusted(blocks, good), packed=True)), "kn-scores")
     of_good = scored.join(good, scored["doc_id"] == good["__good"], "left_semi").filter("n > 0")
     if of_good.filter("held").isEmpty():
         of_good = of_good.withColumn("held", F.lit(True))

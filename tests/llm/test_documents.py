@@ -328,6 +328,20 @@ def test_unseen_good_texts_are_kept(spark):
     assert len(bare) == 1
 
 
+def test_ids_meet_the_labels_and_texts_travel_in_bundles(spark):
+    rows = [(i % 300 if i % 50 else None, f"text {i % 200} é🙂" if i % 7 else None) for i in range(700)]
+    docs = spark.createDataFrame([(i, t, "en" if i else None) for i, t in rows], "doc_id long, text string, lang string").coalesce(2)
+    blocks = quality._blocks(docs).localCheckpoint()
+    assert blocks.count() <= 6
+    back = [(i, t) for r in blocks.collect() for i, t in zip(r.doc_id, quality._unpacked(bytes(r.packed)))]
+    key = lambda r: (r[0] is not None, r)       # noqa: E731
+    assert sorted(back, key=key) == sorted([(i, t or "") for i, t in rows], key=key)
+    good = spark.range(0, 300, 3).withColumnRenamed("id", "__good")
+    got = [quality._unpacked(bytes(r.packed))[i] for r in quality._trusted(blocks, good).collect() for i in r.rows]
+    kept = docs.filter("doc_id % 3 = 0").filter(~quality.held_out(quality.F.col("text"))).collect()
+    assert sorted(got) == sorted(r.text or "" for r in kept)
+
+
 def test_block_sums_take_bounded_memory():
     import tracemalloc
 
