@@ -97,6 +97,28 @@ def _block_sums(words: W.Words, table: np.ndarray, stride: int) -> tuple[np.ndar
     return sums, blocks
 
 
+def _row_sums(ptr: np.ndarray, row: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of ``_block_sums`` over STRIDE words, to the bit, where word i
+    has row ``row[i]`` of a small ``table``."""
+    n = np.diff(ptr)
+    blocks = -(-n // STRIDE)
+    step = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    start = np.repeat(ptr[:-1], blocks) + step * STRIDE
+    size = np.minimum(np.repeat(ptr[1:], blocks) - start, STRIDE)
+    sums = np.empty((len(start), table.shape[1]), table.dtype)
+    for a in range(0, len(start), SLICE):       # as in _block_sums
+        first, left = start[a:a + SLICE], size[a:a + SLICE]
+        rest = np.zeros((len(first), table.shape[1]), table.dtype)
+        for i in range(1, STRIDE):
+            if left.min() > i:
+                rest += np.take(table, row[first + i], axis=0)
+            else:
+                reach = np.flatnonzero(left > i)
+                rest[reach] += np.take(table, row[first[reach] + i], axis=0)
+        np.add(np.take(table, row[first], axis=0), rest, out=sums[a:a + SLICE])
+    return sums, blocks
+
+
 def _passages(sums: np.ndarray, blocks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(vector, document, first block) of every window of ``width`` blocks;
     a shorter document is one window."""
@@ -216,11 +238,19 @@ def _most(table: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return most
 
 
-def _windows(words: W.Words, idf2: np.ndarray, most: np.ndarray):
+def _bounds(most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each bucket, rows of ``most``): equal rows of zeros become one."""
+    some = most.any(axis=1)
+    return np.where(some, np.cumsum(some), 0), np.concatenate([np.zeros((1, most.shape[1]), np.float32), most[some]])
+
+
+def _windows(words: W.Words, idf2: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]):
     """Blocks of STRIDE words, and the windows of them that may reach COSINE:
     (block of each word, first block, document, place, weight) of the windows."""
-    weight, blocks = _block_sums(words, np.column_stack([idf2, most]).astype(np.float32), STRIDE)
-    total, doc, place = _passages(weight, blocks, PASSAGE // STRIDE)
+    bucket, (at, most) = _buckets(words), bounds
+    weight, blocks = _row_sums(words.ptr, bucket, idf2.astype(np.float32)[:, None])
+    best, _ = _row_sums(words.ptr, at[bucket], most)
+    total, doc, place = _passages(np.concatenate([weight, best], axis=1), blocks, PASSAGE // STRIDE)
     start = np.concatenate([[0], np.cumsum(blocks)])
     first = start[doc] + place
     best = total[:, 1:].max(axis=1)     # the words of a window must meet in one group of passages
@@ -347,13 +377,14 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, most, known, latent, vec, own, arrays, item, item_ids = shipped.value
         whole = _Whole(*arrays)
-        idf2 = weight**2
+        idf2, bounds, read = weight**2, _bounds(most), {}
         at_row = np.full(len(weight), -1)
         at_row[known] = np.arange(len(known))
+        lengths = np.array([len(x) for x in item])
         for batch in batches:
             for part in W.pieces(batch, "text"):
                 words = W.split(part.column("text"))
-                block, blocks, first, doc, place, total = _windows(words, idf2, most)
+                block, blocks, first, doc, place, total = _windows(words, idf2, bounds)
                 if not len(first):
                     continue
                 wanted = np.zeros(blocks.sum() + width, dtype=bool)
@@ -371,7 +402,7 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                 at = np.full(len(wanted), len(lead))
                 at[block[pick][lead]] = np.arange(len(lead))
                 doc_ids, hashes = part.column("doc_id").cast(pa.int64()).to_pylist(), part.column("th").to_pylist()
-                found: dict[tuple[int, int], list[tuple[int, float]]] = {}
+                hits: list[tuple[np.ndarray, ...]] = []     # document, item, place, cosine
                 ends = np.cumsum(blocks)[doc]
                 for a in range(0, len(first) if len(vec) else 0, 8192):
                     f = first[a:a + 8192]
@@ -379,17 +410,20 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
                     for i in range(1, width):
                         mine = mine + np.where((f + i < ends[a:a + 8192])[:, None], sums[at[f + i]], 0)
                     cosine = (mine / np.sqrt(total[a:a + 8192])[:, None].astype(np.float32)) @ vec.T
-                    for i, j in zip(*np.nonzero(cosine >= COSINE)):
-                        found.setdefault((int(doc[a + i]), int(own[j])), []).append((int(place[a + i]), float(cosine[i, j])))
+                    i, j = np.nonzero(cosine >= COSINE)
+                    hits.append((doc[a + i], own[j], place[a + i], cosine[i, j].astype(np.float64)))
                 if len(whole.vector):
                     start = words.ptr[doc] + place * STRIDE
                     end = np.minimum(start + PASSAGE, words.ptr[doc + 1])
                     for i, j, cosine in _whole_cosines(whole, _buckets(words), weight[_buckets(words)], start, end, np.sqrt(total)):
-                        for w, k, c in zip(i, own[j], cosine):
-                            found.setdefault((int(doc[w]), int(k)), []).append((int(place[w]), float(c)))
+                        hits.append((doc[i], own[j], place[i], cosine))
+                if not hits:
+                    continue
                 out = {name: [] for name in schema.names}
-                for (d, k), places in found.items():
-                    best = _check(words.hash[words.ptr[d]:words.ptr[d + 1]], item[k], sorted(places))
+                for d, k, stretches in _stretches([np.concatenate(x) for x in zip(*hits)], lengths):
+                    if k not in read:
+                        read[k] = _read(item[k])
+                    best = _check(words.hash[words.ptr[d]:words.ptr[d + 1]], item[k], read[k], stretches)
                     if best:
                         for name, value in zip(schema.names, (doc_ids[d], hashes[d], item_ids[k], len(item[k]), *best)):
                             out[name].append(value)
@@ -399,20 +433,41 @@ def _search(docs: DataFrame, idf: np.ndarray, items: DataFrame) -> DataFrame | N
         run, "doc_id long, th long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
 
 
-def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
+def _stretches(hits: list[np.ndarray], lengths: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """(document, item, its stretches) of the candidate windows ``hits``
+    (document, item, place, cosine); ``lengths`` are the items' words.  A
+    stretch (first word, end, best cosine) covers neighbouring windows and as
+    many words around them as the item has."""
+    order = np.lexsort((hits[2], hits[1], hits[0]))
+    doc, item, place, cosine = (x[order] for x in hits)
+    if not len(doc):
+        return
+    n = lengths[item]
+    first, end = np.maximum(0, place * STRIDE - n), place * STRIDE + PASSAGE + n
+    pair = np.ones(len(doc), dtype=bool)
+    pair[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    new = pair.copy()
+    new[1:] |= first[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    runs = list(zip(first[at].tolist(), end[np.append(at[1:], len(doc)) - 1].tolist(), np.maximum.reduceat(cosine, at).tolist()))
+    of = np.flatnonzero(pair[at])
+    for a, b in zip(of.tolist(), np.append(of[1:], len(at)).tolist()):
+        yield int(doc[at[a]]), int(item[at[a]]), runs[a:b]
+
+
+def _read(item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(its distinct words, the place of each word in them, the distinct words
+    of its answer)."""
+    return *np.unique(item, return_inverse=True), np.unique(item[-ANSWER:])
+
+
+def _check(text: np.ndarray, item: np.ndarray, read: tuple[np.ndarray, np.ndarray, np.ndarray],
+           stretches: list[tuple[int, int, float]]):
     """(lcs, first word, last word, cosine) of the best stretch of a document
-    that passes the word checks for an item, or None.  A stretch covers
-    neighbouring candidate passages and as many words around them as the item
-    has; long stretches are read in overlapping pieces."""
+    that passes the word checks for an item, or None; long stretches are read
+    in overlapping pieces."""
     n, best = len(item), None
-    answer, known = np.unique(item[-ANSWER:]), np.unique(item)
-    stretches: list[list] = []
-    for place, cosine in places:
-        a, b = max(0, place * STRIDE - n), place * STRIDE + PASSAGE + n
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1], stretches[-1][2] = b, max(stretches[-1][2], cosine)
-        else:
-            stretches.append([a, b, cosine])
+    known, place, answer = read
     reach = 2 * n + PASSAGE
     for a, b, cosine in stretches:
         near = text[a:b + reach]
@@ -426,7 +481,7 @@ def _check(text: np.ndarray, item: np.ndarray, places: list[tuple[int, float]]):
                 continue
             found = np.zeros(len(known), dtype=bool)
             found[at_known[here][hit[here]]] = True
-            if found[np.searchsorted(known, item)].sum() < LCS_PARAPHRASE * n:
+            if np.count_nonzero(found[place]) < LCS_PARAPHRASE * n:
                 continue
             common = _lcs(item, part)
             if common < LCS_PARAPHRASE * n or (best and common <= best[0]):

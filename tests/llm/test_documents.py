@@ -342,6 +342,33 @@ def test_ids_meet_the_labels_and_texts_travel_in_bundles(spark):
     assert sorted(got) == sorted(r.text or "" for r in kept)
 
 
+def test_bounds_of_windows_are_summed_over_few_rows():
+    import pyarrow as pa
+
+    from leaklens.llm import words as W
+
+    rng = np.random.default_rng(2)
+    words = W.split(pa.array(["", "a", " ".join(f"w{i % 90}" for i in range(1001)), "b c", " ".join(["x"] * 5000)] + ["ab cd " * 8] * 9000))
+    most = np.zeros((1 << decontamination.HASH_BITS, 30), dtype=np.float32)
+    used = np.unique(decontamination._buckets(words))[::2]
+    most[used] = rng.random((len(used), 30), dtype=np.float32)
+    at, rows = decontamination._bounds(most)
+    assert len(rows) == len(used) + 1 and (rows[at] == most).all()
+    want, blocks = decontamination._block_sums(words, most, decontamination.STRIDE)
+    got, of = decontamination._row_sums(words.ptr, at[decontamination._buckets(words)], rows)
+    assert (got == want).all() and (of == blocks).all()
+
+
+def test_stretches_join_neighbouring_windows():
+    s, w = decontamination.STRIDE, decontamination.PASSAGE
+    hits = [np.array(x) for x in ([1, 0, 1, 1, 1], [0, 1, 0, 0, 1], [40, 3, 2, 0, 2], [0.3, 0.4, 0.5, 0.9, 0.6])]
+    assert list(decontamination._stretches(hits, np.array([10, 20]))) == [
+        (0, 1, [(3 * s - 20, 3 * s + w + 20, 0.4)] if 3 * s > 20 else [(0, 3 * s + w + 20, 0.4)]),
+        (1, 0, [(0, 2 * s + w + 10, 0.9), (40 * s - 10, 40 * s + w + 10, 0.3)]),
+        (1, 1, [(0, 2 * s + w + 20, 0.6)])]
+    assert not list(decontamination._stretches([x[:0] for x in hits], np.array([10, 20])))
+
+
 def test_block_sums_take_bounded_memory():
     import tracemalloc
 
