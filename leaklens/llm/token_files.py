@@ -23,7 +23,9 @@ Encoding goes through the tokenizer piece by piece: this pre-tokenizer never
 lets a token cross a space that another character follows or precedes, so the
 pieces between such spaces encode alone as they do in the text, and each
 distinct piece is encoded once per task (of pieces not in use any more at most
-``CACHE`` are kept).
+``CACHE`` are kept).  A word and the ASCII marks after it (without an
+apostrophe) never share a token either and are encoded apart.  New pieces are
+encoded many at a time, as one text, and told apart by their leading space.
 Other kinds of tokenizer encode whole texts.
 
 Results in corner cases: a null or empty text is the end id alone; null
@@ -37,8 +39,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 from urllib.parse import urlparse
 
 import numpy as np
@@ -55,6 +58,9 @@ SHARD = r"part-(\d+)"
 
 _LOOSE = re.compile(r"\s (?!\S)")    # a space that may not be cut at
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
+_MARKED = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)")     # a word and marks after it
+_PLAIN = re.compile(r"\S(?:[^ ]*\S)?")
+JOINED = 500            # pieces encoded as one text
 
 
 def id_type(tokenizer: str, end_id: int = END_ID) -> str:
@@ -74,60 +80,151 @@ def splits_at_spaces(tokenizer: str) -> bool:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE")
 
 
-class Encoder:
-    """Texts to id bytes, each distinct piece encoded once."""
+@lru_cache(maxsize=1)
+def _loaded(tokenizer: str) -> tuple["Tokenizer", np.ndarray]:
+    """The tokenizer, and which of its ids begin with a space; a worker keeps
+    them for its next task."""
+    import os
 
-    def __init__(self, tokenizer: str, end_id: int, kind: str, cuts: bool):
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_str(tokenizer)
+    found.encode_special_tokens = True      # their strings in a text are ordinary text
+    vocab = found.get_vocab(with_added_tokens=True)
+    spaced = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+    spaced[[i for token, i in vocab.items() if token[:1] in ("\u0120", " ")]] = True
+    return found, spaced
+
+
+class _Numbers(dict):
+    """Piece -> number; a piece that is not known takes the next one and joins ``new``."""
+
+    def __init__(self, numbers: Iterator[int]):
+        self.numbers, self.new = numbers, []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = next(self.numbers)
+        self.new.append(piece)
+        return number
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # tasks are the parallelism
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True         # their strings in a text are ordinary text
-        self.kind, self.cuts, self.first, self.rest = kind, cuts, [{}, {}], [{}, {}]
-        self.end = np.array([end_id], kind).tobytes()
+class Encoder:
+    """Texts to ids, each distinct piece encoded once.
+
+    Pieces have numbers, 0 is the end of a document; the ids of piece i are
+    ``pool[at[i]:at[i] + size[i]]``."""
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def __init__(self, tokenizer: str, end_id: int, kind: str, cuts: bool):
+        self.tokenizer, self.spaced = _loaded(tokenizer)
+        self.kind, self.cuts, self.turn = kind, cuts, 0
+        self.end = np.array([end_id], kind)
+        self._set({}, {}, self.end, np.ones(1, np.int64), np.zeros(1, np.int64))
+
+    def _set(self, first: dict[str, int], rest: dict[str, int], pool: np.ndarray, size: np.ndarray, last: np.ndarray) -> None:
+        numbers = iter(range(len(size), 1 << 62))
+        self.first, self.rest = _Numbers(numbers), _Numbers(numbers)        # pieces at the start of a text, pieces after a space
+        self.first.update(first)
+        self.rest.update(rest)
+        self.pool, self.size, self.last, self.at = pool, size, last, np.cumsum(size) - size
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        code = "H" if self.kind == "<u2" else "I"
-        return [array(code, x.ids).tobytes() for x in found]
+        return [np.array(x.ids, self.kind) for x in found]
+
+    def _encode_spaced(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their numbers) of pieces without spaces of any kind at their
+        ends or plain ones inside, each after a space."""
+        ids, sizes = [], []
+        runs = [pieces[a:a + JOINED] for a in range(0, len(pieces), JOINED)]
+        for run, found in zip(runs, self._encode([" " + " ".join(run) for run in runs])):
+            at = np.flatnonzero(self.spaced[found])
+            if len(at) == len(run) and at[0] == 0:
+                ids.append(found)
+                sizes.append(np.diff(at, append=len(found)))
+            else:       # a vocabulary that does not show the spaces
+                alone = self._encode([" " + x for x in run])
+                ids += alone
+                sizes.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate(ids or [self.end[:0]]), np.concatenate(sizes or [np.zeros(0, np.int64)])
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        place = np.arange(size.sum()) + np.repeat(self.at[numbers] - np.cumsum(size) + size, size)
+        return self.pool[place]
+
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.at[numbers] = len(self.pool) + np.cumsum(size) - size
+        self.size[numbers] = size
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _learn(self) -> None:
+        """Encode the pieces that came up."""
+        whole, marked = [], []
+        for piece in self.rest.new:
+            match = _MARKED.fullmatch(piece)
+            if match:
+                marked.append((piece, *match.groups()))
+            else:
+                whole.append(piece)
+        self.rest.new = []
+        parts = np.array([(self.rest[piece], self.rest[word], self.first[marks]) for piece, word, marks in marked],
+                         np.int64).reshape(-1, 3)
+        whole += self.rest.new          # words that came up with marks alone
+        heads, self.first.new, self.rest.new = self.first.new, [], []
+        many = 1 + len(self.first) + len(self.rest) - len(self.size)
+        self.at, self.size, self.last = (np.concatenate([x, np.zeros(many, np.int64)]) for x in (self.at, self.size, self.last))
+        plain = [x for x in whole if _PLAIN.fullmatch(x)]
+        self._add(np.array([self.rest[x] for x in plain], np.int64), *self._encode_spaced(plain))
+        other = set(whole).difference(plain)
+        alone = self._encode(heads + [" " + x for x in other])
+        self._add(np.array([self.first[x] for x in heads] + [self.rest[x] for x in other], np.int64),
+                  np.concatenate([*alone, self.end[:0]]), np.array([len(x) for x in alone], np.int64))
+        self._add(parts[:, 0], self._gather(parts[:, 1:].ravel()), self.size[parts[:, 1:]].sum(axis=1))
+
+    def _forget(self) -> None:
+        """Leave the latest pieces, at most half of CACHE, if there are more than CACHE."""
+        if len(self.size) <= CACHE:
+            return
+        keep = self.last > np.sort(self.last)[-(CACHE // 2) - 1]
+        keep[0] = True
+        kept, number = np.flatnonzero(keep), (np.cumsum(keep) - 1).tolist()
+        first, rest = ({x: number[i] for x, i in known.items() if keep[i]} for known in (self.first, self.rest))
+        self._set(first, rest, self._gather(kept), self.size[kept], self.last[kept])
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id, and how many each has)."""
+        if not self.cuts:
+            found = self._encode(texts)
+            return (np.concatenate([x for text in found for x in (text, self.end)] or [self.end[:0]]),
+                    np.array([len(x) + 1 for x in found], np.int64))
+        self._forget()
+        numbers, count = [], []
+        for text in texts:
+            cut = text.split(" ") if not _LOOSE.search(text) else _CUT.split(text)
+            numbers.append(self.first[cut[0]])
+            numbers.extend(map(self.rest.__getitem__, islice(cut, 1, None)))
+            numbers.append(0)
+            count.append(len(cut) + 1)
+        if self.first.new or self.rest.new:
+            self._learn()
+        numbers = np.array(numbers, np.int64)
+        self.turn += 1
+        self.last[numbers] = self.turn
+        size = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        ends = np.cumsum(count, dtype=np.int64)
+        return self._gather(numbers), size[ends] - size[ends - np.array(count, np.int64)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, with the end id, as bytes."""
-        if not self.cuts:
-            return [x + self.end for x in self._encode(texts)]
-        heads, tails = [], []
-        for text in texts:
-            head, *tail = text.split(" ") if not _LOOSE.search(text) else _CUT.split(text)
-            heads.append(head)
-            tails.append(tail)
-        first = self._look_up(self.first, set(heads), "")
-        rest = self._look_up(self.rest, set().union(*tails), " ")
-        get = rest.__getitem__
-        return [first[head] + b"".join(map(get, tail)) + self.end for head, tail in zip(heads, tails)]
-
-    def _look_up(self, known: list[dict[str, bytes]], wanted: set[str], before: str) -> dict[str, bytes]:
-        """The ids of all ``wanted`` pieces; ``before`` precedes each in its
-        text.  ``known`` is a recent and an older generation: pieces in use
-        stay, the others are forgotten."""
-        fresh = wanted - known[0].keys()
-        if len(known[0]) + len(fresh) > CACHE:
-            known[:] = [{}, known[0]]
-            fresh = wanted
-        recent, older = known
-        again = older.keys() & fresh
-        recent.update((x, older[x]) for x in again)
-        fresh = list(fresh - again)
-        recent.update(zip(fresh, self._encode([before + x for x in fresh])))
-        return recent
+        ids, size = self.ids(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] if texts else []
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the shards of ``docs`` (doc_id, text); ``tokenizer`` is the JSON
     of a tokenizers file."""
     kind, cuts = id_type(tokenizer, end_id), splits_at_spaces(tokenizer)
-    width = np.dtype(kind).itemsize
     # only a range's own rows meet in a task; equal ids with different texts spread
     placed = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
               .withColumn("tie", F.xxhash64("text"))
@@ -141,15 +238,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
             for piece in pieces(batch, "text"):
                 if not piece.num_rows:
                     continue
-                ids = encode(piece.column("text").to_pylist())
-                size = np.array([len(x) // width for x in ids], dtype=np.int64)
+                ids, size = encode.ids(piece.column("text").to_pylist())
                 start = at + np.cumsum(size) - size
                 at += int(size.sum())
                 doc = piece.column("doc_id")
                 names = np.zeros((piece.num_rows, 2), dtype="<i8")
                 names[:, 0] = doc.fill_null(0).to_numpy(zero_copy_only=False)
                 names[:, 1] = doc.is_null().to_numpy(zero_copy_only=False)
-                arrays = [b"".join(ids), start.astype("<u8").tobytes(), names.tobytes()]
+                arrays = [ids.tobytes(), start.astype("<u8").tobytes(), names.tobytes()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([IDS, OFFSETS, DOCS], pa.int32()), pa.array([turn] * 3, pa.int64()),
                      pa.array([x[:-1] for x in arrays], pa.binary())], ["kind", "turn", "value"])

@@ -94,6 +94,19 @@ def test_pieces_encode_as_whole_texts(tokenizer, monkeypatch):
     assert got == [np.array(x, "<u2").tobytes() for x in encoded(tokenizer, texts)]
 
 
+def test_new_pieces_are_encoded_together_and_once(tokenizer):
+    words = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}" for i in range(1000)]
+    texts = ["Start " + " ".join(w + mark for w in words) for mark in ("", ",", ".", "!!", "'s", "é", "\u0149.", "_", "\n")]
+    encode = token_files.Encoder(tokenizer, 2, "<u2", True)
+    seen, plain = [], encode._encode
+    encode._encode = lambda pieces: seen.extend(pieces) or plain(pieces)
+    want = [np.array(x, "<u2").tobytes() for x in encoded(tokenizer, texts)]
+    assert encode(texts[:4]) == want[:4]
+    assert len(seen) < 20 and sum(map(len, seen)) < 2 * len(texts[0])       # not 4000 texts, and the words once
+    encode.spaced = np.zeros_like(encode.spaced)        # a vocabulary that does not show the spaces
+    assert encode(texts) == want and encode(texts[4:]) == want[4:] and encode([]) == []
+
+
 def expected(tokenizer, rows):
     """Entries in ascending doc_id order; rows of one id in any order."""
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
