@@ -8,16 +8,20 @@ others with the list of what they violate to ``valid=false``, the quarantine.
 A row whose parent was quarantined is an orphan too.
 
 Of several rows with one key the smallest one (by its columns in order) is
-kept and the others are quarantined; keys are aggregated before the shuffle,
-so a key with very many rows is no single task.
+kept and the others are quarantined.  The rows meet by key in one shuffle and
+are written as JSON only if they break a rule; rows of a key with more than
+``HOT_KEY`` are aggregated before the shuffle, so such a key is no single task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+HOT_KEY = 100_000       # rows of one key that may meet in a task
 
 
 @dataclass(frozen=True)
@@ -74,7 +78,8 @@ def _listed(rules: list[tuple[Column, str]]) -> Column:
 
 
 def typed(rows: DataFrame, table: Table) -> DataFrame:
-    """``rows`` in the table's types, with ``raw`` (the row as it came) and
+    """``rows`` in the table's types, with ``raw`` (the row as it came, as a
+    struct; as JSON if it holds maps, which cannot be compared) and
     ``violations`` of types, NULLs and domains."""
     missing = [c for c in table.columns if c not in rows.columns]
     rows = rows.select("*", *[F.lit(None).cast("string").alias(c) for c in missing]).select(*table.columns)
@@ -87,12 +92,66 @@ def typed(rows: DataFrame, table: Table) -> DataFrame:
             rules.append((F.col(name).isNull(), f"null:{name}"))
         if name in table.domains:
             rules.append((~F.col(name).isin(*table.domains[name]), f"domain:{name}"))
-    return rows.select(*cast, F.to_json(F.struct(*rows.columns)).alias("raw"), _listed(rules).alias("violations"))
+    raw = F.struct(*rows.columns)
+    raw = F.to_json(raw) if "map<" in rows.schema.simpleString() else raw
+    return rows.select(*cast, raw.alias("raw"), _listed(rules).alias("violations"))
+
+
+def _json(rows: DataFrame) -> Column:
+    """``raw`` as JSON."""
+    return F.to_json("raw") if isinstance(rows.schema["raw"].dataType, T.StructType) else F.col("raw")
+
+
+def _tells(source: T.DataType, kind: T.DataType) -> bool:
+    """Whether a value that took type ``kind`` without fault tells the JSON of what it was."""
+    if isinstance(source, T.IntegralType):
+        return isinstance(kind, (T.IntegralType, T.StringType))
+    return source == kind and isinstance(kind, (T.StringType, T.BooleanType))
+
+
+def _hot_keys(rows: DataFrame, table: Table) -> DataFrame:
+    """The keys with more than ``HOT_KEY`` rows."""
+    return (rows.dropna(subset=list(table.key)).groupBy(*table.key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_KEY))
+
+
+def _hot_tables(tables: dict[str, DataFrame], contract: dict[str, Table]) -> set[str]:
+    """The tables with such keys, found in one job that reads only the keys."""
+    found = None
+    for name, table in contract.items():
+        hot = _hot_keys(typed(tables[name], table), table).agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(F.lit(name).alias("name"))
+        found = hot if found is None else found.unionByName(hot)
+    return {r["name"] for r in found.collect()} if found is not None else set()
 
 
-def _unique(rows: DataFrame, table: Table) -> DataFrame:
+def _unique(rows: DataFrame, table: Table, hot: bool) -> DataFrame:
     """``rows`` with the key violations added: one row per key keeps its place."""
-    whole = F.struct(*[c for c in table.columns if c not in table.key], "raw")
+    if not hot:
+        return _ranked(rows, table)
+    keys = _hot_keys(rows, table).select(*[F.col(c).alias(f"__{c}") for c in table.key])
+    same_key = F.lit(True)
+    for c in table.key:
+        same_key = same_key & (F.col(c) == F.col(f"__{c}"))
+    return _ranked(rows.join(keys, same_key, "left_anti"), table).unionByName(_aggregated(rows.join(keys, same_key, "left_semi"), table))
+
+
+def _ranked(rows: DataFrame, table: Table) -> DataFrame:
+    """``_unique`` by ranking the rows of each key."""
+    good = F.size("violations") == 0
+    rest = [F.col(c) for c in table.columns if c not in table.key]
+    raw = rows.schema["raw"].dataType
+    if not (isinstance(raw, T.StructType) and all(_tells(f.dataType, rows.schema[f.name].dataType) for f in raw)):
+        rest.append(_json(rows))
+    # rows that are bad anyway stay with those of their partition, whatever their key
+    place = F.row_number().over(Window.partitionBy(*table.key, "__apart").orderBy(*(rest or table.key)))
+    again = good & (F.col("__place") > 1)
+    return (rows.withColumn("__apart", F.when(good, F.lit(-1)).otherwise(F.spark_partition_id())).withColumn("__place", place)
+            .withColumn("violations", F.when(again, F.array(F.lit(f"key:{','.join(table.key)}"))).otherwise(F.col("violations")))
+            .drop("__apart", "__place"))
+
+
+def _aggregated(rows: DataFrame, table: Table) -> DataFrame:
+    """``_unique`` by the smallest row of each key, whose rows need not meet."""
+    whole = F.struct(*[c for c in table.columns if c not in table.key], _json(rows).alias("__json"), "raw")
     good = F.size("violations") == 0
     # equal rows become one with their number; only rows of keys with several go on to a join
     per = (rows.filter(good).groupBy(*table.key).agg(F.min(whole).alias("__first"), F.count(F.lit(1)).alias("__n")))
@@ -109,10 +168,11 @@ def _unique(rows: DataFrame, table: Table) -> DataFrame:
     return first.unionByName(repeated.select(*rows.columns)).unionByName(rows.filter(~good))
 
 
-def checked(rows: DataFrame, table: Table, parents: dict[str, DataFrame]) -> DataFrame:
+def checked(rows: DataFrame, table: Table, parents: dict[str, DataFrame], hot: bool = False) -> DataFrame:
     """``rows`` typed, with ``raw`` and all their ``violations``; ``parents``
-    are the checked tables that ``table`` refers to."""
-    rows = _unique(typed(rows, table), table)
+    are the checked tables that ``table`` refers to; ``hot``: a key may have
+    more than ``HOT_KEY`` rows."""
+    rows = _unique(typed(rows, table), table, hot)
     for name, (parent, column) in table.references.items():
         known = parents[parent].select(F.col(column).alias("__parent"))
         rows = rows.join(known, rows[name] == known["__parent"], "left")
@@ -126,12 +186,12 @@ def load(tables: dict[str, DataFrame], root: str, contract: dict[str, Table] = W
     and quarantined of each, counted while they are written.
 
     Writes overwrite whole tables, so a repeated load leaves no duplicates."""
-    counts, written = {}, {}
+    counts, written, hot = {}, {}, _hot_tables(tables, contract)
     for name, table in contract.items():
         seen = Observation(f"load-{name}")
         spark = tables[name].sparkSession
-        rows = checked(tables[name], table, written).withColumn("valid", F.size("violations") == 0)
-        rows = rows.withColumn("raw", F.when(~F.col("valid"), F.col("raw"))).observe(
+        rows = checked(tables[name], table, written, name in hot).withColumn("valid", F.size("violations") == 0)
+        rows = rows.withColumn("raw", F.when(~F.col("valid"), _json(rows))).observe(
             seen, F.count(F.lit(1)).alias("read"), F.count_if("valid").alias("kept"), F.count_if(~F.col("valid")).alias("quarantined"))
         rows.write.mode("overwrite").partitionBy("valid").parquet(f"{root}/{name}")
         counts[name] = dict(seen.get)
