@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leaklens.llm.words import pieces
+from leaklens.llm.words import pieces, without_cycles
 
 END_ID = 2
 CACHE = 400_000
@@ -162,7 +162,7 @@ class Encoder:
         """Encode the pieces that came up."""
         whole, marked = [], []
         for piece in self.rest.new:
-            match = _MARKED.fullmatch(piece)
+            match = None if piece.isalpha() else _MARKED.fullmatch(piece)
             if match:
                 marked.append((piece, *match.groups()))
             else:
@@ -174,7 +174,7 @@ class Encoder:
         heads, self.first.new, self.rest.new = self.first.new, [], []
         many = 1 + len(self.first) + len(self.rest) - len(self.size)
         self.at, self.size, self.last = (np.concatenate([x, np.zeros(many, np.int64)]) for x in (self.at, self.size, self.last))
-        plain = [x for x in whole if _PLAIN.fullmatch(x)]
+        plain = [x for x in whole if x.isalpha() or _PLAIN.fullmatch(x)]
         self._add(np.array([self.rest[x] for x in plain], np.int64), *self._encode_spaced(plain))
         other = set(whole).difference(plain)
         alone = self._encode(heads + [" " + x for x in other])
@@ -233,23 +233,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, at, turn = None, 0, 0
-        for batch in batches:
-            encode = encode or Encoder(tokenizer, end_id, kind, cuts)
-            for piece in pieces(batch, "text"):
-                if not piece.num_rows:
-                    continue
-                ids, size = encode.ids(piece.column("text").to_pylist())
-                start = at + np.cumsum(size) - size
-                at += int(size.sum())
-                doc = piece.column("doc_id")
-                names = np.zeros((piece.num_rows, 2), dtype="<i8")
-                names[:, 0] = doc.fill_null(0).to_numpy(zero_copy_only=False)
-                names[:, 1] = doc.is_null().to_numpy(zero_copy_only=False)
-                arrays = [ids.tobytes(), start.astype("<u8").tobytes(), names.tobytes()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([IDS, OFFSETS, DOCS], pa.int32()), pa.array([turn] * 3, pa.int64()),
-                     pa.array([x[:-1] for x in arrays], pa.binary())], ["kind", "turn", "value"])
-                turn += 1
+        with without_cycles():
+            for batch in batches:
+                encode = encode or Encoder(tokenizer, end_id, kind, cuts)
+                for piece in pieces(batch, "text"):
+                    if not piece.num_rows:
+                        continue
+                    ids, size = encode.ids(piece.column("text").to_pylist())
+                    start = at + np.cumsum(size) - size
+                    at += int(size.sum())
+                    doc = piece.column("doc_id")
+                    names = np.zeros((piece.num_rows, 2), dtype="<i8")
+                    names[:, 0] = doc.fill_null(0).to_numpy(zero_copy_only=False)
+                    names[:, 1] = doc.is_null().to_numpy(zero_copy_only=False)
+                    arrays = [ids.tobytes(), start.astype("<u8").tobytes(), names.tobytes()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([IDS, OFFSETS, DOCS], pa.int32()), pa.array([turn] * 3, pa.int64()),
+                         pa.array([x[:-1] for x in arrays], pa.binary())], ["kind", "turn", "value"])
+                    turn += 1
 
     (placed.select("doc_id", "text").mapInArrow(run, "kind int, turn long, value binary")
      .sortWithinPartitions("kind", "turn").select("kind", F.col("value").cast("string").alias("value"))

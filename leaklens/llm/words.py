@@ -7,7 +7,9 @@ the Arrow data buffer is read as one byte array.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +28,19 @@ class Words(NamedTuple):
     data: np.ndarray    # the bytes
 
 
+@contextmanager
+def without_cycles() -> Iterator[None]:
+    """No cycle collection within: for work that forms no cycles but keeps very
+    many words, which every pass would walk.  Later tasks of the worker have it again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit word."""
     x = x ^ (x >> U64(30))
