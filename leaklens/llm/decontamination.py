@@ -500,8 +500,9 @@ def contaminations(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``contaminations`` with ``th``, the hash of the row's text."""
     spark: SparkSession = docs.sparkSession
-    found = spark.createDataFrame(
-        [], "doc_id long, th long, item_id long, item_words long, lcs long, first_word long, last_word long, cosine double")
+    # no rows, without the RDD whose Python workers would stay beside those of the search
+    found = spark.range(0).select(*[F.lit(None).cast("double" if c == "cosine" else "long").alias(c) for c in (
+        "doc_id", "th", "item_id", "item_words", "lcs", "first_word", "last_word", "cosine")])
     idf = inverse_frequencies(docs.select("text"))
     for block in _item_blocks(items):
         part = _search(docs, idf, block)

@@ -27,7 +27,6 @@ toxic if one says so; without labels of both classes every score is 0.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -40,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leaklens.llm.words import without_cycles
+
 DECAY = 0.8
 LANDMARKS = 192
 TRAIN_ROWS = 1500
@@ -338,19 +339,19 @@ def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, cache = Model(*shipped.value), {}
-        gc.disable()        # nothing here forms cycles, and every pass would walk all words
-        for batch in batches:
-            texts, scores, size = batch.column("text").to_pylist(), [], 0
-            at = 0
-            for to, text in enumerate(texts, 1):
-                size += len(text or "")
-                if size > 2_000_000 or to == len(texts):
-                    if len(cache) > 400_000:
-                        cache.clear()
-                    scores.append(fitted.probability(fitted.strongest(texts[at:to], cache)))
-                    at, size = to, 0
-            value = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(value, pa.float64())], names + [out])
+        with without_cycles():
+            for batch in batches:
+                texts, scores, size = batch.column("text").to_pylist(), [], 0
+                at = 0
+                for to, text in enumerate(texts, 1):
+                    size += len(text or "")
+                    if size > 2_000_000 or to == len(texts):
+                        if len(cache) > 400_000:
+                            cache.clear()
+                        scores.append(fitted.probability(fitted.strongest(texts[at:to], cache)))
+                        at, size = to, 0
+                value = np.concatenate(scores) if scores else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(value, pa.float64())], names + [out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from leaklens.llm import decontamination, mixing, near_dup, quality, substring_dedup, toxicity
 
@@ -388,3 +389,40 @@ def test_block_sums_take_bounded_memory():
         part = decontamination._buckets(words)[words.ptr[doc]:words.ptr[doc + 1]]
         want = [table[part[a:a + stride]].sum(axis=0) for a in range(0, len(part), stride)]
         assert np.allclose(sums[at:], want, rtol=1e-5) and len(sums) == blocks.sum()
+
+
+def test_workers_collect_cycles_after_the_scoring(spark):
+    docs = spark.createDataFrame([(i, f"some plain words {i}") for i in range(16)], "doc_id long, text string").repartition(4)
+    model = toxicity.Model(["plain"], np.array([1.0]), 0.0, 1.0, 0.0)
+    assert toxicity.score(docs, model).count() == 16
+
+    def state(batches):
+        import gc
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()])], ["on"])
+
+    toxicity.score(docs, model).collect()
+    assert all(r.on for r in docs.mapInArrow(state, "on boolean").collect())
+
+
+def test_no_rdd_beside_the_search_and_bounded_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "w " * 2000) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    none = decontamination._found(docs, docs.limit(0))
+    assert "Scan ExistingRDD" not in none._jdf.queryExecution().toString().split("Physical Plan")[-1] and none.count() == 0
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        corpus_pipeline.drop_contaminated(spark, docs.limit(3), "/root/testdata/sf0.001")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+        got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in got) == 6000 and max(r.rows for r in got) <= 2000 and max(r.bytes for r in got) < 12e6
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
