@@ -406,7 +406,7 @@ def test_workers_collect_cycles_after_the_scoring(spark):
     assert all(r.on for r in docs.mapInArrow(state, "on boolean").collect())
 
 
-def test_no_rdd_beside_the_search_and_bounded_batches(spark):
+def test_no_rdd_beside_the_search_and_bounded_batches(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.createDataFrame([(i, "w " * 2000) for i in range(6000)], "doc_id long, text string").coalesce(1)
@@ -415,7 +415,12 @@ def test_no_rdd_beside_the_search_and_bounded_batches(spark):
     names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
     before = {name: spark.conf.get(name) for name in names}
     try:
-        corpus_pipeline.drop_contaminated(spark, docs.limit(3), "/root/testdata/sf0.001")
+        items = str(tmp_path / "benchmark.parquet")
+        spark.createDataFrame([(1, "w " * 60)], "item_id long, text string").write.parquet(items)
+        for text, kept in (("7m", "7m"), ("1g", str(8 << 20)), (str(8 << 20), str(8 << 20))):
+            spark.conf.set(names[1], text)
+            corpus_pipeline.drop_contaminated(spark, docs.limit(3), str(tmp_path))
+            assert spark.conf.get(names[1]) == kept
 
         def sizes(batches):
             for batch in batches:
