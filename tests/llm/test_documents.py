@@ -410,7 +410,7 @@ def test_no_rdd_beside_the_search_and_bounded_batches(spark, tmp_path):
     import corpus_pipeline
 
     docs = spark.createDataFrame([(i, "w " * 2000) for i in range(6000)], "doc_id long, text string").coalesce(1)
-    none = decontamination._found(docs, docs.limit(0))
+    none = decontamination._found(docs, docs.limit(0).withColumnRenamed("doc_id", "item_id"))
     assert "Scan ExistingRDD" not in none._jdf.queryExecution().toString().split("Physical Plan")[-1] and none.count() == 0
     names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
     before = {name: spark.conf.get(name) for name in names}
