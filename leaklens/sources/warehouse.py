@@ -10,15 +10,25 @@ A row whose parent was quarantined is an orphan too.
 Of several rows with one key the smallest one (by its columns in order) is
 kept and the others are quarantined; keys are aggregated before the shuffle,
 so a key with very many rows is no single task.
+
+A large table is checked and written in parts, all rows of a key in one part;
+the shuffle files of a part are gone before the next one, so they take no more
+disk for more rows.  Shuffles carry a row's text (``raw``) only where it can't
+be told from the typed columns.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from leaklens.session import shuffles_dropped
+
+PART_ROWS = 1 << 24     # about 2 GB of shuffle files for rows of 200 bytes
+
 
 @dataclass(frozen=True)
 class Table:
@@ -90,35 +100,64 @@ def typed(rows: DataFrame, table: Table) -> DataFrame:
     return rows.select(*cast, F.to_json(F.struct(*rows.columns)).alias("raw"), _listed(rules).alias("violations"))
 
 
+# Types that keep a value as it came, and its text; equal ones have one text
+# (0.0 and -0.0, of a floating type, have two).
+_EXACT = {"string": "string", "int": "int", "long": "bigint", "boolean": "boolean"}
+
+
+def _retold(rows: DataFrame, table: Table) -> bool:
+    """Whether ``raw`` can be made from the typed columns."""
+    came = dict(rows.dtypes)
+    return all(came[c] == _EXACT.get(kind) for c, (kind, _) in table.columns.items() if c in came)
+
+
 def _unique(rows: DataFrame, table: Table) -> DataFrame:
     """``rows`` with the key violations added: one row per key keeps its place."""
-    whole = F.struct(*[c for c in table.columns if c not in table.key], "raw")
-    good = F.size("violations") == 0
+    names = [c for c in rows.columns if c != "violations"]
+    others = [c for c in names if c not in table.key]
+    whole = F.struct(*others) if others else F.struct(F.lit(0).alias("__none"))
+    faultless = F.size("violations") == 0
+    good = rows.filter(faultless)
+    for c in table.key:
+        if not table.columns[c][1]:     # holds for all of them; said for the join's sake, which would ask it of one side
+            good = good.filter(F.col(c).isNotNull())
+    good = good.select(*names)
     # equal rows become one with their number; only rows of keys with several go on to a join
-    per = (rows.filter(good).groupBy(*table.key).agg(F.min(whole).alias("__first"), F.count(F.lit(1)).alias("__n")))
-    first = per.select(*table.key, "__first.*", F.array().cast("array<string>").alias("violations")).select(*rows.columns)
+    # (every key has a number above 0: read by both uses, so that they share one shuffle)
+    per = good.groupBy(*table.key).agg(F.min(whole).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    first = per.filter("__n > 0").select(*[F.col(c) if c in table.key else F.col(f"__first.{c}") for c in names])
     several = per.filter("__n > 1").select(*[F.col(c).alias(f"__{c}") for c in table.key], "__first")
     same_key = F.lit(True)
     for c in table.key:
         same_key = same_key & (F.col(c) == F.col(f"__{c}"))
-    repeated = rows.filter(good).join(several, same_key).groupBy(*rows.columns, "__first").agg(F.count(F.lit(1)).alias("__n"))
+    repeated = good.join(several, same_key).groupBy(*names, "__first").agg(F.count(F.lit(1)).alias("__n"))
     copies = F.col("__n") - F.when(whole == F.col("__first"), F.lit(1)).otherwise(F.lit(0))
     repeated = (repeated.withColumn("__n", copies).filter("__n > 0")
-                .withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
-                .withColumn("violations", F.array(F.lit(f"key:{','.join(table.key)}"))))
-    return first.unionByName(repeated.select(*rows.columns)).unionByName(rows.filter(~good))
+                .withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int")))))
+    return (first.withColumn("violations", F.array().cast("array<string>"))
+            .unionByName(repeated.select(*names, F.array(F.lit(f"key:{','.join(table.key)}")).alias("violations")))
+            .unionByName(rows.filter(~faultless)))
 
 
 def checked(rows: DataFrame, table: Table, parents: dict[str, DataFrame]) -> DataFrame:
     """``rows`` typed, with ``raw`` and all their ``violations``; ``parents``
     are the checked tables that ``table`` refers to."""
-    rows = _unique(typed(rows, table), table)
+    retold = _retold(rows, table)
+    rows = typed(rows, table)
+    rows = _unique(rows.drop("raw") if retold else rows, table)
     for name, (parent, column) in table.references.items():
         known = parents[parent].select(F.col(column).alias("__parent"))
         rows = rows.join(known, rows[name] == known["__parent"], "left")
         orphan = F.col(name).isNotNull() & F.col("__parent").isNull()
         rows = rows.withColumn("violations", F.concat("violations", _listed([(orphan, f"orphan:{name}")]))).drop("__parent")
-    return rows
+    raw = F.to_json(F.struct(*table.columns)) if retold else F.col("raw")
+    return rows.select(*table.columns, raw.alias("raw"), "violations")
+
+
+def _part(rows: DataFrame, table: Table, n: int, i: int) -> DataFrame:
+    """Part ``i`` of ``n``; the rows of a key are in one part."""
+    key = [(F.col(c) if c in rows.columns else F.lit(None).cast("string")).try_cast(table.columns[c][0]) for c in table.key]
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(n)) == i) if n > 1 else rows
 
 
 def load(tables: dict[str, DataFrame], root: str, contract: dict[str, Table] = WAREHOUSE) -> dict[str, dict[str, int]]:
@@ -128,13 +167,17 @@ def load(tables: dict[str, DataFrame], root: str, contract: dict[str, Table] = W
     Writes overwrite whole tables, so a repeated load leaves no duplicates."""
     counts, written = {}, {}
     for name, table in contract.items():
-        seen = Observation(f"load-{name}")
-        spark = tables[name].sparkSession
-        rows = checked(tables[name], table, written).withColumn("valid", F.size("violations") == 0)
-        rows = rows.withColumn("raw", F.when(~F.col("valid"), F.col("raw"))).observe(
-            seen, F.count(F.lit(1)).alias("read"), F.count_if("valid").alias("kept"), F.count_if(~F.col("valid")).alias("quarantined"))
-        rows.write.mode("overwrite").partitionBy("valid").parquet(f"{root}/{name}")
-        counts[name] = dict(seen.get)
+        spark, total = tables[name].sparkSession, Counter()
+        with shuffles_dropped(spark):
+            n = max(1, -(-tables[name].count() // PART_ROWS))
+            for i in range(n):
+                seen = Observation(f"load-{name}-{i}")
+                rows = checked(_part(tables[name], table, n, i), table, written).withColumn("valid", F.size("violations") == 0)
+                rows = rows.withColumn("raw", F.when(~F.col("valid"), F.col("raw"))).observe(
+                    seen, F.count(F.lit(1)).alias("read"), F.count_if("valid").alias("kept"), F.count_if(~F.col("valid")).alias("quarantined"))
+                rows.write.mode("append" if i else "overwrite").partitionBy("valid").parquet(f"{root}/{name}")
+                total.update(seen.get)
+        counts[name] = dict(total)
         written[name] = read(spark, root, name, contract)
     return counts
 

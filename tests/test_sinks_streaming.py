@@ -1,5 +1,6 @@
 """Sinks (S9, S11, S12) and the streaming jobs' restart behaviour."""
 
+import dataclasses
 import datetime as dt
 import io
 import json
@@ -202,3 +203,55 @@ def test_warehouse_quarantines_every_kind_of_fault(spark, tmp_path):
     assert {"many"} == {r["num_downloads"] for r in raw if r["slug"] == "b"}
     (row,) = warehouse.read(spark, root, "findings_semgrep", contract).collect()
     assert (row.finding_id, row.message) == (1, None)
+
+
+def _finding_rows(spark):
+    """Keys that come once, with equal rows, with other rows, with a fault, and none."""
+    rows = [(k, 1, "r", f"f{k % 7}", k, k + 1, None if k % 5 else "line") for k in range(60)]
+    rows += rows[:10] + rows[:5] + [(k, 2, "r", "a", 0, 0, None) for k in range(5, 15)] + [(3, 9, "s", None, 1, 1, "x"), (None, 1, "r", "f", 1, 1, "x")]
+    return spark.createDataFrame(rows, "finding_id long, run_id long, rule_id string, file_path string, start_line int, end_line int, lines string")
+
+
+def test_warehouse_in_parts_is_the_warehouse_at_once(spark, tmp_path, monkeypatch):
+    table = warehouse.WAREHOUSE["findings_semgrep"]
+    contract = {"findings_semgrep": dataclasses.replace(table, references={}), "args": warehouse.Table(
+        {"a": ("int", False), "b": ("double", True)}, ("a", "b"))}
+    given = {"findings_semgrep": _finding_rows(spark),
+             "args": spark.createDataFrame([(str(k % 9), [0.0, -0.0, 1.5][k % 3]) for k in range(40)] + [("x", 1.0)], "a string, b double")}
+
+    def loaded(root):
+        counts = warehouse.load(given, root, contract)
+        return counts, {n: [sorted(map(str, read(spark, root, n, contract).collect())) for read in (warehouse.read, warehouse.quarantine)]
+                        for n in contract}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    whole = loaded(str(tmp_path / "whole"))
+    counts, got = whole
+    assert counts["findings_semgrep"] == {"read": 87, "kept": 60, "quarantined": 27}
+    assert sum("key:finding_id" in r for r in got["findings_semgrep"][1]) == 25
+    monkeypatch.setattr(warehouse, "PART_ROWS", 45)
+    shuffles = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    there = shuffles.size()
+    assert loaded(str(tmp_path / "parts")) == whole
+    assert spark.conf.get(key, None) == before and shuffles.size() <= there      # no shuffle files are left
+
+
+def test_warehouse_shuffles_no_text_of_rows(spark):
+    """Where the typed columns tell a row's text, it is made after the last shuffle."""
+    table = dataclasses.replace(warehouse.WAREHOUSE["findings_semgrep"], references={})
+    rows = _finding_rows(spark)
+    for given, retold in ((rows, True), (rows.withColumn("start_line", F.col("start_line").cast("string")), False)):
+        checked = warehouse.checked(given, table, {})
+        assert any("raw#" in below for below in _below_aggregates(checked._jdf.queryExecution().optimizedPlan())) != retold
+        line = 0 if retold else "0"
+        again = {"finding_id": 5, "run_id": 2, "rule_id": "r", "file_path": "a", "start_line": line, "end_line": 0}
+        text = [r.raw for r in checked.collect() if r.finding_id == 5 and r.violations == ["key:finding_id"]]
+        assert sorted(json.loads(t)["run_id"] for t in text) == [1, 2] and json.dumps(again, separators=(",", ":")) in text
+
+
+def _below_aggregates(plan):
+    if plan.nodeName() == "Aggregate":
+        yield plan.child().toString()
+    for i in range(plan.children().size()):
+        yield from _below_aggregates(plan.children().apply(i))
